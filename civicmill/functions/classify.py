@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,10 +40,8 @@ DEAD_IN_COMMITTEE = ("94", "90", "40", "93", "92", "97", "98", "81")
 
 
 def contains_any(c, phrases: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for phrase in phrases:
-        found = found | c.contains(phrase)
-    return found
+    """Some phrase occurs. One alternation, so the text is evaluated once however many phrases there are."""
+    return col(c).rlike("|".join(re.escape(p) for p in phrases))
 
 
 def yes(c) -> Column:

@@ -149,7 +149,8 @@ def members(d):
     return "supplier", [
         ("member", "concat('M', cast(s_suppkey as string))"),
         ("name", f"concat({d.pick('s_suppkey % 7', 'Lee', 'Ann', 'R. Lee', 'Bo', 'Cy', 'Dee', 'Eve')}, ' ', "
-                 f"{d.pick('s_nationkey % 5', 'Ware', 'Bell-Fox', 'Hill', 'Knox', 'Yu')}, cast(s_nationkey as string), "
+                 f"{d.pick(d.div('s_suppkey', 3) + ' % 5', 'Ware', 'Bell-Fox', 'Hill', 'Knox', 'Yu')}, "
+                 f"translate(cast({d.div('s_suppkey', 3)} as string), '0123456789', 'abcdefghij'), "
                  "case when s_suppkey % 4 = 0 then ', Jr.' else '' end)"),
         ("party", "case when s_nationkey % 7 = 0 then '' when s_nationkey % 2 = 0 then 'D' else 'R' end"),
         ("chamber", "case when s_suppkey % 2 = 0 then 'H' else 'S' end"),

@@ -15,6 +15,11 @@ FORWARD_DAYS, INTERIM_DAYS = 14, 45
 QUIET_START, QUIET_END = 23, 6
 
 
+def micros(c) -> Column:
+    """Microseconds since the epoch; timestamps without a zone are read in the session zone (UTC)."""
+    return F.unix_micros(col(c).cast("timestamp"))
+
+
 def parse_date(c) -> Column:
     """First of the accepted date shapes, as a DATE; null when none parses or the day does not exist."""
     s = blank(c)
@@ -100,7 +105,7 @@ def quiet_minutes(start, end, offset_hours: int = -5) -> Column:
     night = (24 - QUIET_START + QUIET_END) * 60.0
 
     def elapsed(ts):
-        local = F.unix_micros(col(ts)) / 60e6 + offset_hours * 60 - QUIET_START * 60
+        local = micros(ts) / 60e6 + offset_hours * 60 - QUIET_START * 60
         days = F.floor(local / 1440.0)
         return days * night + F.least(local - days * 1440.0, F.lit(night))
 

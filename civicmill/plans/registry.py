@@ -18,6 +18,8 @@ def oracle(views: str, body: str) -> str:
     body = body.strip()
     if not parts:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ", ".join(parts) + ", " + body[5:]
     return "WITH " + ", ".join(parts) + " " + body

@@ -52,7 +52,7 @@ def _(t):
 _REC = f"""rec AS (SELECT doc_id AS key, session, {S.spelling('title')} AS nt, array_to_string(list_filter(string_split({S.spelling('title')},' '), lambda w: w<>'')[1:2],' ') AS h, source AS cm, title, text FROM texts),
  lab AS (SELECT doc_id AS key, CASE quality WHEN 1 THEN 'good' ELSE 'poor' END AS label FROM labels UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic=1),
  tt AS (SELECT DISTINCT key, tok FROM (SELECT key, unnest({S.subject_tokens('title')}) AS tok FROM rec)), at0 AS (SELECT key, unnest({S.subject_tokens('text')}) AS tok FROM rec), adf AS (SELECT tok, count(*) AS df FROM at0 GROUP BY 1),
- at AS (SELECT key, tok, df FROM (SELECT key, tok, df, row_number() OVER (PARTITION BY key ORDER BY df, tok) AS rn FROM at0 JOIN adf USING (tok)) WHERE rn<=12)"""
+ atk AS (SELECT key, tok, df FROM (SELECT key, tok, df, row_number() OVER (PARTITION BY key ORDER BY df, tok) AS rn FROM at0 JOIN adf USING (tok)) WHERE rn<=12)"""
 
 
 def near_sql(name, queries, items, cap):
@@ -80,14 +80,14 @@ def text_tokens(t):
     return Sim.rarest_tokens(records(t), "key", "text", 12).select("key", "tok")
 
 
-@query("C12_nearest", "texts", f"WITH {_REC}, q AS (SELECT key, tok FROM at), it AS (SELECT key, tok FROM at WHERE key IN (SELECT key FROM lab)), {near_sql('nr', 'q', 'it', 30)} SELECT key, item, round(sim,6) AS similarity FROM nr")
+@query("C12_nearest", "texts", f"WITH {_REC}, q AS (SELECT key, tok FROM atk), it AS (SELECT key, tok FROM atk WHERE key IN (SELECT key FROM lab)), {near_sql('nr', 'q', 'it', 30)} SELECT key, item, round(sim,6) AS similarity FROM nr")
 def _(t):
     tok = text_tokens(t)
     items = tok.join(t.labels.select(F.col("doc_id").alias("key")), "key", "left_semi").select(F.col("key").alias("item"), "tok")
     return Sim.nearest(tok, items, 30).select("key", "item", F.round("similarity", 6).alias("similarity"))
 
 
-@query("F05_rarest_tokens", "texts", f"WITH {_REC} SELECT key, tok, df FROM at")
+@query("F05_rarest_tokens", "texts", f"WITH {_REC} SELECT key, tok, df FROM atk")
 def _(t):
     return Sim.rarest_tokens(records(t), "key", "text", 12)
 
@@ -105,7 +105,7 @@ def text_pairs(t):
     """Each House text with the first Senate text of the same title and session, and with a text that does not exist."""
     g = Sim.companion_groups(t.texts)
     house = t.texts.filter("bill LIKE 'HB%'").select("session", Sim.title_key("title").alias("key"), F.col("bill").alias("house"))
-    return house.join(g, ["session", "key"]).select("house", F.when(F.length("house") == 3, F.lit("SB-1")).otherwise(F.col("first_senate")).alias("senate"))
+    return house.join(g.select("session", "key", "first_senate"), ["session", "key"]).select("house", F.when(F.length("house") == 3, F.lit("SB-1")).otherwise(F.col("first_senate")).alias("senate"))
 
 
 _PAIRS = f"""{_SHN}, gp AS (SELECT session, lower(trim(title)) AS key, min(bill) FILTER (WHERE bill[1]='S') AS fs FROM texts WHERE trim(title)<>'' GROUP BY 1,2 HAVING fs IS NOT NULL),
@@ -283,7 +283,7 @@ def vocabulary(t):
 
 _TARGET = "tg AS (SELECT * FROM rec WHERE key NOT IN (SELECT key FROM lab)), sp AS (SELECT DISTINCT label FROM lab), fl AS (SELECT key, min(label) AS label FROM lab GROUP BY 1)"
 _VOTES = f"""{_REC}, {_NB}, {_TAX}, {_LEX}, {_TARGET}, {_pure('ph', 'h', 1, 0.6, "WHERE h<>''")}, {_pure('pt', 'nt', 1, 0.6, "WHERE nt<>''")}, {_pure('pc', 'cm', 10, 0.6)},
- qt AS (SELECT key, tok FROM tt WHERE key IN (SELECT key FROM tg)), itt AS (SELECT key, tok FROM tt WHERE key IN (SELECT key FROM lab)), {near_sql('n1', 'qt', 'itt', 800)}, qa AS (SELECT key, tok FROM at WHERE key IN (SELECT key FROM tg)), ita AS (SELECT key, tok FROM at WHERE key IN (SELECT key FROM lab)), {near_sql('n2', 'qa', 'ita', 1500)},
+ qt AS (SELECT key, tok FROM tt WHERE key IN (SELECT key FROM tg)), itt AS (SELECT key, tok FROM tt WHERE key IN (SELECT key FROM lab)), {near_sql('n1', 'qt', 'itt', 800)}, qa AS (SELECT key, tok FROM atk WHERE key IN (SELECT key FROM tg)), ita AS (SELECT key, tok FROM atk WHERE key IN (SELECT key FROM lab)), {near_sql('n2', 'qa', 'ita', 1500)},
  rv AS (SELECT key, nb.label, 'headnb' AS route, 1 AS ro, margin/6 AS conf FROM tg JOIN nb USING (h) UNION ALL SELECT key, label, 'head', 2, share FROM tg JOIN ph USING (h) UNION ALL SELECT key, label, 'lex', 3, conf FROM tg JOIN lx USING (nt) WHERE label IN (SELECT label FROM sp) UNION ALL SELECT key, label, 'xtitle', 4, share FROM tg JOIN pt USING (nt)
  UNION ALL SELECT key, 'good', 'vocab', 5, 0.99 FROM tg WHERE substr(md5(h),1,1)='7' AND h<>'' UNION ALL SELECT n1.key, fl.label, 'near', 6, sim FROM n1 JOIN fl ON fl.key=n1.item UNION ALL SELECT n2.key, fl.label, 'abs', 7, sim FROM n2 JOIN fl ON fl.key=n2.item UNION ALL SELECT key, label, 'cmte', 8, share FROM tg JOIN pc USING (cm)),
  rl AS (SELECT key, label, count(*) AS agree FROM rv GROUP BY 1,2), rb AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY agree DESC, label) AS rn FROM rl), dc AS (SELECT key, label, agree, (SELECT sum(conf) FROM rv WHERE rv.key=rb.key)+agree AS conf, (SELECT string_agg(route,'+' ORDER BY ro) FROM rv WHERE rv.key=rb.key) AS routes FROM rb WHERE rn=1)"""

@@ -1,3 +1,10 @@
 """civicmill: legislative-activity analytics as Spark jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with the task, so workers need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

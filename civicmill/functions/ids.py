@@ -13,6 +13,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, also where the body uses it inside another lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank(c) -> Column:
     """Trimmed text, with null as ''."""
     return F.trim(F.coalesce(col(c).cast("string"), F.lit("")))

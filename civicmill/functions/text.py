@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from civicmill.functions.ids import blank, col
+from civicmill.functions.ids import blank, col, let
 
 # Words that carry no subject.
 STOP_WORDS = ("the", "of", "and", "for", "to", "in", "a", "an", "or", "by", "on", "with", "certain", "relating", "act", "other",
@@ -127,7 +128,7 @@ def flag_words(c, include: Sequence[str], exclude: Sequence[str] = ()) -> Column
     return contains(list(include)) & ~(contains(list(exclude)) if exclude else F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
@@ -160,10 +161,13 @@ def words(c) -> Column:
 
 def shingles(c, k: int = 8) -> Column:
     """Distinct k-word windows of normalised text; short text is one shingle, empty text none."""
-    tokens = words(c)
-    n = F.size(tokens)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(windows))
+
+    def windows(tokens):
+        n = F.size(tokens)
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(cut))
+
+    return let(words(c), windows)
 
 
 def shingle_hashes(c, k: int = 8) -> Column:
@@ -180,13 +184,16 @@ def subject_tokens(c) -> Column:
 def procedure_tokens(c, bigrams: bool = False) -> Column:
     """Unigrams of three or more characters without stop words; bigrams keep stop words."""
     raw = F.regexp_extract_all(F.lower(blank(c)), F.lit("([a-z0-9]+)"), F.lit(1))
-    single = F.filter(raw, lambda w: (F.length(w) >= 3) & ~w.isin(*PROCEDURE_STOP_WORDS))
+    single = lambda r: F.filter(r, lambda w: (F.length(w) >= 3) & ~w.isin(*PROCEDURE_STOP_WORDS))
     if not bigrams:
-        return single
-    pairs = F.zip_with(
-        F.slice(raw, F.lit(1), F.greatest(F.size(raw) - 1, F.lit(0))), F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 1, F.lit(0))),
-        lambda a, b: F.when((F.length(a) >= 2) & (F.length(b) >= 2), F.concat_ws("_", a, b)))
-    return F.when(F.size(raw) < 2, single).otherwise(F.concat(single, F.filter(pairs, lambda p: p.isNotNull())))
+        return single(raw)
+
+    def both(r):
+        less = F.greatest(F.size(r) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(r, F.lit(1), less), F.slice(r, F.lit(2), less), lambda a, b: F.when((F.length(a) >= 2) & (F.length(b) >= 2), F.concat_ws("_", a, b)))
+        return F.when(F.size(r) < 2, single(r)).otherwise(F.concat(single(r), F.filter(pairs, lambda p: p.isNotNull())))
+
+    return let(raw, both)
 
 
 def jaccard(a, b) -> Column:
@@ -197,12 +204,11 @@ def jaccard(a, b) -> Column:
 
 def ngrams(c, longest: int) -> Column:
     """(words, position, text) of every n-gram of the key up to ``longest`` words."""
-    tokens = words(c)
-    n = F.size(tokens)
-    per_size = [
-        F.when(n >= size, F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.struct(
-            F.lit(size).alias("size"), i.alias("pos"), F.array_join(F.slice(tokens, i + 1, size), " ").alias("gram"))))
-        .otherwise(F.array().cast("array<struct<size:int,pos:int,gram:string>>"))
-        for size in range(1, longest + 1)
-    ]
-    return F.concat(*per_size)
+
+    def per_size(tokens, size):
+        n = F.size(tokens)
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.struct(
+            F.lit(size).alias("size"), i.alias("pos"), F.array_join(F.slice(tokens, i + 1, size), " ").alias("gram")))
+        return F.when(n >= size, grams).otherwise(F.array().cast("array<struct<size:int,pos:int,gram:string>>"))
+
+    return let(words(c), lambda tokens: F.concat(*[per_size(tokens, s) for s in range(1, longest + 1)]))

@@ -93,7 +93,7 @@ def forward_horizon(scrape_end, session_end, today, live) -> Column:
     """End of the window to look at: +14 days in session (capped at its end), +45 off season, pinned in replays."""
     s, e, t = col(scrape_end), col(session_end), col(today)
     in_session = F.least(F.greatest(s, F.date_add(t, FORWARD_DAYS)), e)
-    return F.when(~col(live), s).when(s < t, F.date_add(t, INTERIM_DAYS)).otherwise(in_session)
+    return F.when(~col(live), s).when(e < t, F.date_add(t, INTERIM_DAYS)).otherwise(in_session)
 
 
 def quiet_minutes(start, end, offset_hours: int = -5) -> Column:

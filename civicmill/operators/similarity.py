@@ -12,6 +12,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from civicmill import scale
 from civicmill.functions import classify as K
@@ -144,7 +145,7 @@ def nearest(queries: DataFrame, items: DataFrame, cap: int, top: int = 40) -> Da
     return picked.select("key", "b.item", "b.similarity").filter("similarity > 0")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _difference(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
         wa, wb = (x or "").split(), (y or "").split()

@@ -13,7 +13,9 @@ from civicmill.operators import routing
 from civicmill.plans import sqltext as S
 from civicmill.plans.registry import query
 
-N = F.count(F.lit(1)).alias("n")
+
+def N():
+    return F.count(F.lit(1)).alias("n")
 
 
 def stamp(c):
@@ -69,12 +71,12 @@ def _(t):
 
 @query("D01_counts", "calendar", "SELECT committee, count(*) AS n FROM calendar GROUP BY 1")
 def _(t):
-    return t.calendar.groupBy("committee").agg(N).orderBy(F.desc("n"), "committee")
+    return t.calendar.groupBy("committee").agg(N()).orderBy(F.desc("n"), "committee")
 
 
 @query("D02_value_counts", "calendar", "SELECT CASE WHEN trim(route)='' THEN 'blank' ELSE lower(trim(route)) END AS route, count(*) AS n, CASE WHEN trim(route)='' THEN false ELSE route NOT IN ('admin','meeting') END AS unseen FROM calendar GROUP BY 1,3")
 def _(t):
-    return t.calendar.groupBy(O.blank_label("route").alias("route")).agg(N).withColumn("unseen", ~F.col("route").isin("admin", "meeting", "blank"))
+    return t.calendar.groupBy(O.blank_label("route").alias("route")).agg(N()).withColumn("unseen", ~F.col("route").isin("admin", "meeting", "blank"))
 
 
 @query("D04_class_time_matrix", "calendar", f"WITH {S.ACTED}, l AS (SELECT * FROM acted WHERE source<>'SYSTEM') SELECT cls, count(*) FILTER (WHERE has_time) AS with_time, count(*) FILTER (WHERE NOT has_time) AS without_time, count(*) AS total FROM l GROUP BY 1 UNION ALL SELECT 'all', count(*) FILTER (WHERE has_time), count(*) FILTER (WHERE NOT has_time), count(*) FROM l")
@@ -165,7 +167,7 @@ def _(t):
 
 @query("D48_ledger_contamination", "calendar", f"WITH {S.ACTED} SELECT origin, source, count(*) AS n FROM acted WHERE committee='Ledger Updates' AND cls='meeting' GROUP BY 1,2")
 def _(t):
-    return O.classed(t.calendar).filter((F.col("committee") == "Ledger Updates") & (F.col("cls") == "meeting")).groupBy("origin", "source").agg(N)
+    return O.classed(t.calendar).filter((F.col("committee") == "Ledger Updates") & (F.col("cls") == "meeting")).groupBy("origin", "source").agg(N())
 
 
 @query("D50_code_profile", "legevents", f"""WITH {S.ROUTED}, m AS (SELECT trim(event_code) AS code, count(*) AS n, count(*) FILTER (WHERE {S.real_time('event_date')}) AS real_time, count(*) FILTER (WHERE route='meeting') AS meeting, count(*) FILTER (WHERE route='admin') AS admin, count(*) FILTER (WHERE route='executive') AS executive,
@@ -184,7 +186,7 @@ def _(t):
 @query("D51_reference_crosstab", "legevents", f"SELECT CASE WHEN reference_type='' THEN 'blank' ELSE lower(reference_type) END AS reference, count(*) AS n, count(*) FILTER (WHERE trim(vote_tally)<>'') AS voted, count(*) FILTER (WHERE {S.real_time('event_date')}) AS timed, count(*) FILTER (WHERE trim(event_code)[1]='G') AS governor FROM legevents GROUP BY 1")
 def _(t):
     return t.legevents.groupBy(O.blank_label("reference_type").alias("reference")).agg(
-        N, F.count_if(I.blank("vote_tally") != "").alias("voted"), F.count_if(C.has_real_time("event_date")).alias("timed"), F.count_if(I.blank("event_code").startswith("G")).alias("governor"))
+        N(), F.count_if(I.blank("vote_tally") != "").alias("voted"), F.count_if(C.has_real_time("event_date")).alias("timed"), F.count_if(I.blank("event_code").startswith("G")).alias("governor"))
 
 
 @query("D52_published_safety", "calendar", f"""WITH p AS (SELECT DISTINCT date, committee AS name, {S.minutes('time')} AS minutes FROM calendar WHERE {S.minutes('time')} IS NOT NULL), r AS (SELECT date, committee AS name, min({S.minutes('time')}) + CASE WHEN min(event_id) % 7 = 0 THEN 1441 ELSE 0 END AS minutes FROM calendar WHERE user_id % 9 <> 0 AND {S.minutes('time')} IS NOT NULL GROUP BY 1,2)
@@ -231,13 +233,13 @@ def _(t):
 @query("D36_hour_histogram", "runlog", "SELECT CAST(hour(ts - INTERVAL 5 HOUR) AS BIGINT) AS hour, count(*) AS n, count(*) FILTER (WHERE kind='view') AS added, count(*) FILTER (WHERE kind='click') AS changed FROM runlog GROUP BY 1")
 def _(t):
     local = F.hour(F.col("ts") - F.expr("interval 5 hours")).cast("bigint")
-    return t.runlog.groupBy(local.alias("hour")).agg(N, F.count_if(F.col("kind") == "view").alias("added"), F.count_if(F.col("kind") == "click").alias("changed"))
+    return t.runlog.groupBy(local.alias("hour")).agg(N(), F.count_if(F.col("kind") == "view").alias("added"), F.count_if(F.col("kind") == "click").alias("changed"))
 
 
 @query("D36_zone_histogram", "runlog", "SELECT CAST(hour(timezone('America/New_York', timezone('UTC', ts))) AS BIGINT) AS hour, count(*) AS n FROM runlog GROUP BY 1")
 def _(t):
     local = F.hour(F.from_utc_timestamp("ts", "America/New_York")).cast("bigint")
-    return t.runlog.groupBy(local.alias("hour")).agg(N)
+    return t.runlog.groupBy(local.alias("hour")).agg(N())
 
 
 @query("D41_vote_breakdown", "legevents", "SELECT user_id, count(*) FILTER (WHERE k='AYE') + count(*) FILTER (WHERE k='AYEWR') AS yes, count(*) FILTER (WHERE k='NAY') AS no, CASE WHEN count(*)>0 THEN (count(*) FILTER (WHERE k='AYE') + count(*) FILTER (WHERE k='AYEWR'))||'-Y '||count(*) FILTER (WHERE k='NAY')||'-N' ELSE '' END AS tally FROM (SELECT user_id, (['AYE','AYEWR','NAY','EXC'])[CAST(event_id % 4 AS INT)+1] AS k FROM legevents) GROUP BY 1")
@@ -351,7 +353,7 @@ def _(t):
 
 @query("J05_hourly_drops", "runlog", "SELECT strftime(date_trunc('hour', ts),'%Y-%m-%d %H:%M:%S') AS hour, kind, count(*) AS n FROM runlog GROUP BY 1,2")
 def _(t):
-    return t.runlog.groupBy(F.window("ts", "1 hour").start.alias("h"), "kind").agg(N).select(stamp("h").alias("hour"), "kind", "n")
+    return t.runlog.groupBy(F.window("ts", "1 hour").start.alias("h"), "kind").agg(N()).select(stamp("h").alias("hour"), "kind", "n")
 
 
 @query("J07_blind_dates", "runlog calendar", f"""WITH {_GAPS}, d AS (SELECT DISTINCT strftime(unnest(generate_series(date_trunc('day', prev), date_trunc('day', ts), INTERVAL 1 DAY)),'%Y-%m-%d') AS date FROM gaps WHERE cause='outage'),
@@ -379,7 +381,7 @@ _SK = f"trim(regexp_replace({_SK}, '\\s+', ' ', 'g'))"
 def _(t):
     sched = t.calendar.filter("kind = 'view' AND user_id % 24 < 9").select("date", F.replace("committee", F.lit(" of "), F.lit(" ")).alias("owner"),
                                                                           F.when(F.col("event_id") % 3 == 0, "TBA").otherwise(F.col("sort_time")).alias("schedule_time"))
-    return O.join_gaps(t.calendar.filter(~C.is_concrete_time("time")), sched).groupBy("gap_type").agg(N)
+    return O.join_gaps(t.calendar.filter(~C.is_concrete_time("time")), sched).groupBy("gap_type").agg(N())
 
 
 @query("C05_completeness_check", "history", """WITH need AS (SELECT DISTINCT committee_code AS code, date FROM history WHERE line=1), have AS (SELECT DISTINCT committee_code AS code, date FROM history WHERE line IN (2,3,4,5)), gap AS (SELECT * FROM need EXCEPT SELECT * FROM have)
@@ -395,7 +397,7 @@ def _(t):
 def _(t):
     reports = t.history.filter("line = 1").select("seq", "bill", "committee", "day")
     books = t.history.filter("line = 1 AND part % 3 <> 0").select("committee", "bill", F.date_add("day", (F.col("part") % 4).cast("int")).alias("day")).distinct()
-    return O.nearest_book(reports, books).groupBy("verdict", "offset").agg(N)
+    return O.nearest_book(reports, books).groupBy("verdict", "offset").agg(N())
 
 
 _TOK = S.subject_tokens
@@ -421,7 +423,7 @@ def _(t):
 
 @query("C09_linkage_class", "legevents", f"WITH {_LINK} SELECT linkage, real_time, count(*) AS n, CAST(sum(codes) AS BIGINT) AS codes FROM lk GROUP BY 1,2")
 def _(t):
-    return linked(t).groupBy("linkage", "real_time").agg(N, F.sum("codes").alias("codes"))
+    return linked(t).groupBy("linkage", "real_time").agg(N(), F.sum("codes").alias("codes"))
 
 
 def _schedule(t):

@@ -14,7 +14,9 @@ from civicmill.plans import sqltext as S
 from civicmill.plans.registry import query
 from civicmill.plans.scalars import vote_keys
 
-N = F.count(F.lit(1)).alias("n")
+
+def N():
+    return F.count(F.lit(1)).alias("n")
 CUT0, CUT1 = "1996-03-01", "2000-12-31"
 
 
@@ -32,7 +34,7 @@ _DIFF = f"{_IX('p', f'''date <= '{CUT1}' ''', 'action')}, {_IX('c', f'''date >=
 @query("G01_union_repair", "bills titles", "SELECT kind, count(*) AS n, count(*) FILTER (WHERE note='-') AS filled FROM (SELECT 'bill' AS kind, bill, status AS note FROM bills UNION ALL SELECT 'title', bill, '-' FROM titles) GROUP BY 1")
 def _(t):
     u = G.union_repaired(t.bills.select("bill", F.col("status").alias("note"), F.lit("bill").alias("kind")), t.titles.select("bill", F.lit("title").alias("kind")), {"note": "-"})
-    return u.groupBy("kind").agg(N, F.count_if(F.col("note") == "-").alias("filled"))
+    return u.groupBy("kind").agg(N(), F.count_if(F.col("note") == "-").alias("filled"))
 
 
 @query("G02_key_sets", "history bills", "WITH a AS (SELECT DISTINCT bill FROM history), b AS (SELECT DISTINCT bill FROM bills WHERE year<2001) SELECT (SELECT count(*) FROM a) AS \"left\", (SELECT count(*) FROM b) AS \"right\", (SELECT count(*) FROM a JOIN b USING (bill)) AS both, (SELECT count(*) FROM a WHERE bill NOT IN (SELECT bill FROM b)) AS only_left, (SELECT count(*) FROM b WHERE bill NOT IN (SELECT bill FROM a)) AS only_right")
@@ -73,7 +75,7 @@ def witness_state(df, filled):
  j AS (SELECT c.date, CASE WHEN p.date IS NULL THEN 'ADDED' WHEN c.tm=p.tm AND c.so=p.so AND c.st=p.st AND c.lo<>p.lo AND p.lo='' THEN 'BACKFILL' WHEN c.tm<>p.tm OR c.so<>p.so OR c.st<>p.st OR c.lo<>p.lo THEN 'CHANGED' END AS event_type FROM c LEFT JOIN p USING (date, committee)) SELECT date, event_type, count(*) AS n FROM j WHERE event_type IS NOT NULL GROUP BY 1,2""")
 def _(t):
     a, b = meeting_snapshots(t)
-    return G.change_feed(witness_state(a, False), witness_state(b, True)).groupBy("date", "event_type").agg(N)
+    return G.change_feed(witness_state(a, False), witness_state(b, True)).groupBy("date", "event_type").agg(N())
 
 
 @query("G07_unannounced", "bills", "SELECT bill, status FROM bills WHERE (bill, status) NOT IN (SELECT bill, CASE WHEN patron_id % 3 = 0 THEN 'Introduced' ELSE status END FROM bills WHERE year < 2000)")
@@ -95,7 +97,7 @@ def _(t):
 @query("C06_membership_flag", "history", "SELECT in_parts, count(*) AS n FROM (SELECT part IN (SELECT p_partkey FROM part WHERE p_size>25) AS in_parts FROM history) GROUP BY 1")
 def _(t):
     keys = t.part.filter("p_size > 25").select(F.col("p_partkey").alias("part"))
-    return routing.with_membership(t.history, keys, "part", "in_parts").groupBy("in_parts").agg(N)
+    return routing.with_membership(t.history, keys, "part", "in_parts").groupBy("in_parts").agg(N())
 
 
 @query("D07_fan_out", "history", f"WITH {S.REFID_PREP} SELECT r, date, fanout FROM fan")
@@ -184,7 +186,7 @@ def _(t):
 
 @query("D55_committee_stage", "bills", f"SELECT substr(bill,1,1) AS chamber, CASE WHEN right(last_actid,2) IN {S.lst(K.DEAD_IN_COMMITTEE)} THEN 0 ELSE 1 END AS survived, count(*) AS n, count(*) FILTER (WHERE upper(trim(passed))='Y') AS passed FROM bills GROUP BY 1,2")
 def _(t):
-    return t.bills.groupBy(F.substring("bill", 1, 1).alias("chamber"), K.survived_committee("last_actid").alias("survived")).agg(N, F.count_if(K.yes("passed")).alias("passed"))
+    return t.bills.groupBy(F.substring("bill", 1, 1).alias("chamber"), K.survived_committee("last_actid").alias("survived")).agg(N(), F.count_if(K.yes("passed")).alias("passed"))
 
 
 @query("D56_archive_overlap", "bills", "WITH d AS (SELECT DISTINCT year AS session, patron_id AS id FROM bills), z AS (SELECT session, count(*) AS size FROM d GROUP BY 1) SELECT a.session, a.session+1 AS later, a.size, b.size AS later_size, (SELECT count(*) FROM d x JOIN d y ON x.id=y.id AND y.session=x.session+1 WHERE x.session=a.session) AS shared, round((SELECT count(*) FROM d x JOIN d y ON x.id=y.id AND y.session=x.session+1 WHERE x.session=a.session)/least(a.size,b.size),4) AS overlap, (SELECT count(*) FROM d x JOIN d y ON x.id=y.id AND y.session=x.session+1 WHERE x.session=a.session)=a.size AND a.size=b.size AS duplicate FROM z a JOIN z b ON b.session=a.session+1")
@@ -196,5 +198,5 @@ def _(t):
 def _(t):
     """Recomputed and reused rows together must equal a full run over the new state."""
     prev, now = snapshots(t)
-    compute = lambda h: h.groupBy("bill").agg(N, F.max_by("action", "seq").alias("last"))
+    compute = lambda h: h.groupBy("bill").agg(N(), F.max_by("action", "seq").alias("last"))
     return Q.incremental(prev, now, compute(prev), compute, "bill", ["seq", "action", "refid"])

@@ -10,7 +10,9 @@ from civicmill.operators import rates as R
 from civicmill.plans import sqltext as S
 from civicmill.plans.registry import query
 
-N = F.count(F.lit(1)).alias("n")
+
+def N():
+    return F.count(F.lit(1)).alias("n")
 FEATURES = ("chamber", "committee", "clause", "volume", "season")
 
 
@@ -50,7 +52,7 @@ def _(t):
 @query("D22_session_coverage", "texts", "SELECT session, count(*) AS n, count(l.doc_id) AS labelled, round(count(l.doc_id)/count(*),4) AS share FROM texts t LEFT JOIN labels l ON l.doc_id=t.doc_id GROUP BY 1")
 def _(t):
     d = t.texts.join(t.labels.select("doc_id", F.lit(1).alias("_l")), "doc_id", "left")
-    return d.groupBy("session").agg(N, F.count("_l").alias("labelled")).withColumn("share", K.safe_rate("labelled", "n"))
+    return d.groupBy("session").agg(N(), F.count("_l").alias("labelled")).withColumn("share", K.safe_rate("labelled", "n"))
 
 
 @query("D23_owner_aggregates", "bills", "WITH p AS (SELECT patron_id, committee, count(*) AS n FROM bills GROUP BY 1,2), u AS (SELECT patron_id, committee, row_number() OVER (PARTITION BY patron_id ORDER BY n DESC, committee DESC) AS rn FROM p) SELECT b.patron_id, count(*) AS volume, count(DISTINCT b.committee) AS places, any_value(u.committee) AS usual_place, count(DISTINCT title) AS subjects FROM bills b JOIN u ON u.patron_id=b.patron_id AND rn=1 GROUP BY 1")

@@ -209,7 +209,7 @@ def _(t):
     return routing.in_scope(t.calendar, tracked, "2024-01-08", "2024-01-21").select("event_id", "date", "bill")
 
 
-@query("B26_forward_horizon", "bills", """SELECT num, strftime(CASE WHEN NOT live THEN s WHEN s < t THEN t + INTERVAL 45 DAY ELSE least(greatest(s, t + INTERVAL 14 DAY), e) END,'%Y-%m-%d') AS horizon
+@query("B26_forward_horizon", "bills", """SELECT num, strftime(CASE WHEN NOT live THEN s WHEN e < t THEN t + INTERVAL 45 DAY ELSE least(greatest(s, t + INTERVAL 14 DAY), e) END,'%Y-%m-%d') AS horizon
  FROM (SELECT num, CAST(intro AS DATE) AS s, CAST(intro AS DATE) + INTERVAL 60 DAY AS e, DATE '1998-06-01' AS t, (num % 4 <> 0) AS live FROM bills)""")
 def _(t):
     s = F.col("intro").cast("date")

@@ -10,7 +10,9 @@ from civicmill.session import scratch_path
 from civicmill.sources import readers as Rd
 from civicmill.sources import writers as Wr
 
-N = F.count(F.lit(1)).alias("n")
+
+def N():
+    return F.count(F.lit(1)).alias("n")
 
 
 def bulk_file(t):
@@ -48,7 +50,7 @@ def _(t):
     old, new = t.bills.filter("year < 1998"), t.bills.filter("year >= 1998")
     old.select("session", "bill", "title").write.mode("overwrite").option("header", True).partitionBy("session").csv(root)
     new.select("session", "bill", "title", "status").write.mode("append").option("header", True).partitionBy("session").csv(root)
-    return Rd.read_sessions(t.spark, root, skip=("1996",)).groupBy("session").agg(N, F.count("status").alias("with_status"))
+    return Rd.read_sessions(t.spark, root, skip=("1996",)).groupBy("session").agg(N(), F.count("status").alias("with_status"))
 
 
 _HREF = r'<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>'
@@ -89,7 +91,7 @@ def _(t):
     path = scratch_path(t.spark, "files")
     t.texts.select(F.regexp_replace("text", r"[\r\n]", " ").alias("value")).repartition(4, "value").write.mode("overwrite").text(path)
     manifest = Rd.file_manifest(t.spark, path)
-    return Rd.verify_manifest(Rd.file_manifest(t.spark, path), manifest).groupBy("state").agg(N)
+    return Rd.verify_manifest(Rd.file_manifest(t.spark, path), manifest).groupBy("state").agg(N())
 
 
 @query("A08_guarded_publish", "bills", "SELECT status, count(*) AS n FROM bills GROUP BY 1")
@@ -101,17 +103,17 @@ def _(t):
         Wr.publish(t.bills.select("bill", F.lit(None).cast("string").alias("status")), path, guards)
     except Wr.PublishRefused:
         pass
-    return Wr.current_version(t.spark, path).groupBy("status").agg(N)
+    return Wr.current_version(t.spark, path).groupBy("status").agg(N())
 
 
 @query("A10_append_log", "runlog", "SELECT date AS day, count(*) + 1 AS n, count(*) AS alerts FROM runlog WHERE kind='error' GROUP BY 1")
 def _(t):
     path = scratch_path(t.spark, "metrics")
     alerts = t.runlog.filter("kind = 'error'").select("ts", F.lit("alert").alias("origin"), "outcome")
-    beats = t.runlog.filter("kind = 'error'").groupBy("date").agg(F.min("ts").alias("ts"), N).select("ts", F.lit("heartbeat").alias("origin"), F.format_string('{"n":%d}', "n").alias("outcome"))
+    beats = t.runlog.filter("kind = 'error'").groupBy("date").agg(F.min("ts").alias("ts"), N()).select("ts", F.lit("heartbeat").alias("origin"), F.format_string('{"n":%d}', "n").alias("outcome"))
     Wr.append_metrics(path, alerts, beats)
     back = t.spark.read.parquet(path)
-    return back.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(N, F.count_if(F.col("origin") == "alert").alias("alerts"))
+    return back.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(N(), F.count_if(F.col("origin") == "alert").alias("alerts"))
 
 
 @query("A11_upsert", "runlog", "SELECT user_id, value, kind FROM (SELECT user_id, kind, CASE WHEN kind='click' THEN value+1 ELSE value END AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM runlog WHERE kind IN ('view','click')) WHERE rn=1")
@@ -132,7 +134,7 @@ def _(t):
 @query("A13_retention", "runlog", "SELECT date, count(*) AS n FROM runlog WHERE event_id >= (SELECT min(event_id) FROM runlog WHERE date >= '2024-01-13' OR event_id = 4000) GROUP BY 1")
 def _(t):
     log = t.runlog.select("event_id", "date", F.when(F.col("event_id") == 4000, "").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("stamp"))
-    return Wr.prune(log, "event_id", "stamp", "2024-01-31", 18).groupBy("date").agg(N)
+    return Wr.prune(log, "event_id", "stamp", "2024-01-31", 18).groupBy("date").agg(N())
 
 
 @query("A14_session_registry", "bills", "SELECT 'VA' AS jurisdiction, session, count(*) AS rows, 3 AS columns, session = (SELECT max(session) FROM bills) AS active FROM bills GROUP BY 2")

@@ -9,7 +9,9 @@ from civicmill.plans.standins import SPARK, VIEWS
 from civicmill.session import scratch_path
 from civicmill.streaming import jobs as J
 
-N = F.count(F.lit(1)).alias("n")
+
+def N():
+    return F.count(F.lit(1)).alias("n")
 
 
 def stream(t, view):
@@ -28,7 +30,7 @@ def drained(t, df, label):
  SELECT event_type, count(*) AS n FROM (SELECT CASE WHEN pe IS NULL THEN 'ADDED' WHEN time=pt AND sort_time=ps AND status=pst AND location<>pl AND pl='' THEN 'BACKFILL' WHEN time<>pt OR sort_time<>ps OR status<>pst OR location<>pl THEN 'CHANGED' END AS event_type FROM l) WHERE event_type IS NOT NULL GROUP BY 1""")
 def _(t):
     polls = stream(t, "calendar").select("date", "committee", F.col("event_id").alias("seen"), "time", "sort_time", "status", F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("Room "), F.col("user_id").cast("string"))).alias("location"))
-    return drained(t, J.change_feed(polls), "feed").groupBy("event_type").agg(N)
+    return drained(t, J.change_feed(polls), "feed").groupBy("event_type").agg(N())
 
 
 @query("J02_stream_outages", "runlog", """WITH s AS (SELECT user_id, ts, event_id, kind<>'error' AS ok FROM runlog WHERE kind IN ('error','view')), p AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM s), g AS (SELECT user_id, k, count(*) FILTER (WHERE NOT ok) AS f FROM p GROUP BY 1,2)
@@ -42,7 +44,7 @@ def _(t):
 @query("J03_stream_alert_dedupe")
 def _(t):
     alerts = stream(t, "runlog").filter("kind = 'error'").select("ts", F.concat_ws("::", "origin", F.col("user_id").cast("string")).alias("dedup_key"), "outcome")
-    return drained(t, J.dedupe_alerts(alerts, ["dedup_key"]), "alerts").groupBy("dedup_key").agg(N)
+    return drained(t, J.dedupe_alerts(alerts, ["dedup_key"]), "alerts").groupBy("dedup_key").agg(N())
 
 
 _ISL = "SELECT user_id, ts, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 150 MINUTE THEN 0 ELSE 1 END AS nw FROM calendar)"

@@ -11,8 +11,11 @@ from civicmill.operators import labels as L
 from civicmill.operators import similarity as Sim
 from civicmill.plans import sqltext as S
 from civicmill.plans.registry import query
+from civicmill.session import cut_lineage
 
-N = F.count(F.lit(1)).alias("n")
+
+def N():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("C10_companion_groups", "texts", """SELECT session, key, count(*) FILTER (WHERE bill[1]='H') AS house, count(*) FILTER (WHERE bill[1]='S') AS senate, min(bill) FILTER (WHERE bill[1]='H') AS first_house, min(bill) FILTER (WHERE bill[1]='S') AS first_senate,
@@ -63,6 +66,14 @@ def near_sql(name, queries, items, cap):
 
 
 def records(t):
+    """One record per text; written once, because every route reads it."""
+    cache = t.__dict__.setdefault("_frames", {})
+    if "records" not in cache:
+        cache["records"] = cut_lineage(_records(t))
+    return cache["records"]
+
+
+def _records(t):
     nt = spelling_key("title")
     return t.texts.select(F.col("doc_id").alias("key"), "session", nt.alias("nt"), F.array_join(F.slice(T.words(nt), 1, 2), " ").alias("h"), F.col("source").alias("cm"), "title", "text")
 
@@ -77,7 +88,11 @@ def title_tokens(t):
 
 
 def text_tokens(t):
-    return Sim.rarest_tokens(records(t), "key", "text", 12).select("key", "tok")
+    """Twelve tokens per text, written once."""
+    cache = t.__dict__.setdefault("_frames", {})
+    if "tokens" not in cache:
+        cache["tokens"] = cut_lineage(Sim.rarest_tokens(_records(t), "key", "text", 12).select("key", "tok"))
+    return cache["tokens"]
 
 
 @query("C12_nearest", "texts", f"WITH {_REC}, q AS (SELECT key, tok FROM atk), it AS (SELECT key, tok FROM atk WHERE key IN (SELECT key FROM lab)), {near_sql('nr', 'q', 'it', 30)} SELECT key, item, round(sim,6) AS similarity FROM nr")
@@ -319,22 +334,25 @@ def evaluation(t, held):
 
 _COLD = _VOTES.replace(_REC, _REC.replace("lab AS (", "lab_all AS (", 1) + ", lab AS (SELECT * FROM lab_all WHERE key NOT IN (SELECT key FROM rec WHERE session='en' AND key % 2 = 0))").replace(
     "tg AS (SELECT * FROM rec WHERE key NOT IN (SELECT key FROM lab))", "tg AS (SELECT * FROM rec WHERE session='en' AND key % 2 = 0 AND key IN (SELECT key FROM lab_all))") + ", jd AS (SELECT dc.*, EXISTS (SELECT 1 FROM lab_all l WHERE l.key=dc.key AND l.label=dc.label) AS ok FROM dc)"
-_HELD = (F.col("session") == "en") & (F.col("key") % 2 == 0)
+
+
+def _held():
+    return (F.col("session") == "en") & (F.col("key") % 2 == 0)
 
 
 @query("I17_cold_evaluation", "texts", f"WITH {_COLD} SELECT routes, count(*) AS n, count(*) FILTER (WHERE ok) AS hits FROM jd GROUP BY 1")
 def _(t):
-    return L.route_accuracy(evaluation(t, _HELD))
+    return L.route_accuracy(evaluation(t, _held()))
 
 
 @query("E17_precision_cutoff", "texts", f"WITH {_COLD}, lv AS (SELECT round(conf,6) AS c, count(*) AS n, count(*) FILTER (WHERE ok) AS h FROM jd GROUP BY 1), cu AS (SELECT c, sum(n) OVER (ORDER BY c DESC) AS cn, sum(h) OVER (ORDER BY c DESC) AS ch FROM lv) SELECT min(c) AS cutoff, CAST(max(cn) AS BIGINT) AS accepted FROM cu WHERE ch/cn >= 0.8")
 def _(t):
-    return L.precision_cutoff(evaluation(t, _HELD), 0.8)
+    return L.precision_cutoff(evaluation(t, _held()), 0.8)
 
 
 @query("I23_two_tiers")
 def _(t):
-    cold = evaluation(t, _HELD)
+    cold = evaluation(t, _held())
     internal = evaluation(t, F.conv(F.substring(F.md5(F.concat_ws("#", "session", "nt")), 1, 6), 16, 10).cast("bigint") % 4 == 0)
     return L.two_tier_cutoffs(cold, internal, 3.2, strong=0.75, weak=0.70)
 

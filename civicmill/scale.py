@@ -61,7 +61,8 @@ def running(
 
     ``bucket`` must grow with the first order column (a day, a month, a score band). Rows are shuffled by
     (keys, bucket); per key only one summary row per bucket meets in a task, so a key with a third of all
-    rows is spread over its buckets.
+    rows is spread over its buckets. The input is read twice (rows and bucket summaries); checkpoint it first
+    where computing it is expensive.
     """
     sums, maxima, lags = sums or {}, maxima or {}, lags or {}
     seq = F.struct(*[F.col(c) for c in order])

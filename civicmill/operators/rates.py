@@ -143,10 +143,10 @@ def group_persistence(rows: DataFrame, group: str, period: str, first, second, m
 # --- gates ---------------------------------------------------------------------------------------------------------------
 def finding_gate(rows: DataFrame, pool: str, key: str, *, minimum: int = 25, minority: int = 30, separation: float = 0.90, selection: float = 0.10) -> DataFrame:
     """Mechanical warnings per pool: thin class, too few buckets, suspicious separation, selected pool."""
-    b = rows.groupBy(pool, key).agg(F.sum("y").cast("bigint").alias("k"), n())
-    usable = F.col("n") >= minimum
-    rate = F.when(usable, F.col("k") / F.col("n"))
-    g = b.groupBy(pool).agg(F.sum("k").alias("pos"), F.sum("n").alias("rows"), F.count_if(usable).alias("buckets"), F.max(rate).alias("hi"), F.min(rate).alias("lo")).withColumn("_k", F.lit(1))
+    b = rows.groupBy(pool, key).agg(F.sum("y").cast("bigint").alias("_hits"), n("_cases"))
+    usable = F.col("_cases") >= minimum
+    rate = F.when(usable, F.col("_hits") / F.col("_cases"))
+    g = b.groupBy(pool).agg(F.sum("_hits").alias("pos"), F.sum("_cases").alias("rows"), F.count_if(usable).alias("buckets"), F.max(rate).alias("hi"), F.min(rate).alias("lo")).withColumn("_k", F.lit(1))
     parent = rows.agg(F.avg(F.col("y").cast("double")).alias("parent")).withColumn("_k", F.lit(1))
     g = g.join(parent, "_k").withColumn("spread", F.when(F.col("buckets") >= 2, F.col("hi") - F.col("lo")).otherwise(0.0))
     warn = F.array_compact(F.array(
@@ -163,15 +163,15 @@ def permutation_null(rows: DataFrame, pool: str, key: str, *, minimum: int = 25,
     multivariate hypergeometric law given bucket sizes. So rows are reduced to bucket counts and the law is drawn
     from; no row is copied per round. A task holds one pool's bucket counts (the feature's vocabulary).
     """
-    b = rows.groupBy(pool, key).agg(F.sum("y").cast("bigint").alias("k"), n())
-    usable = F.col("n") >= minimum
+    b = rows.groupBy(pool, key).agg(F.sum("y").cast("bigint").alias("_hits"), n("_cases"))
+    usable = F.col("_cases") >= minimum
     # buckets too small to state a rate only matter as one remainder
     rest = F.when(usable, F.col(key).cast("string")).otherwise(F.lit(None))
-    small = b.groupBy(pool, rest.alias("bucket")).agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    small = b.groupBy(pool, rest.alias("bucket")).agg(F.sum("_hits").alias("_hits"), F.sum("_cases").alias("_cases"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bucket", na_position="last")
-        sizes, hits = pdf["n"].to_numpy(), pdf["k"].to_numpy()
+        sizes, hits = pdf["_cases"].to_numpy(), pdf["_hits"].to_numpy()
         ok = pdf["bucket"].notna().to_numpy()
         observed = np.ptp(hits[ok] / sizes[ok]) if ok.sum() >= 2 else 0.0
         beat = rounds

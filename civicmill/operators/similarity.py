@@ -88,19 +88,28 @@ def companions(bills: DataFrame, threshold: float = 0.6) -> DataFrame:
 
 
 def compare_pairs(pairs: DataFrame, texts: DataFrame, k: int = 8) -> DataFrame:
-    """Overlap measures of a pair table (house, senate). Shingles travel as 8-byte hashes; identical normal texts
-    are recognised by digest and hashed once."""
-    n = texts.select("bill", T.normalize_text("text", unicode_forms=False).alias("n")).select("bill", F.when(F.col("n") != "", T.shingle_hashes("n", k)).alias("s"))
-    a, b = n.select(F.col("bill").alias("house"), F.col("s").alias("a")), n.select(F.col("bill").alias("senate"), F.col("s").alias("b"))
-    j = pairs.join(a, "house", "left").join(b, "senate", "left")
-    inter, na, nb = F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b")
-    j = j.withColumn("_i", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), inter)).withColumn("_na", na).withColumn("_nb", nb).drop("a", "b")
-    jac = F.col("_i") / (F.col("_na") + F.col("_nb") - F.col("_i"))
-    ab, ba = F.col("_i") / F.col("_na"), F.col("_i") / F.col("_nb")
+    """Overlap measures of a pair table (house, senate).
+
+    Work is on distinct texts: every text is known by the digest of its normal form, shingles are cut once per
+    digest, each pair of digests is compared once, and copies only join their result. Shingles travel as hashes.
+    """
+    normal = texts.select("bill", T.normalize_text("text", unicode_forms=False).alias("n")).filter("n <> ''").select("bill", "n", F.md5("n").alias("d"))
+    digest = normal.select("bill", "d")
+    known = pairs.join(digest.select(F.col("bill").alias("house"), F.col("d").alias("da")), "house", "left").join(
+        digest.select(F.col("bill").alias("senate"), F.col("d").alias("db")), "senate", "left")
+    different = known.filter(F.col("da") != F.col("db")).select("da", "db").distinct()
+    cut = normal.groupBy("d").agg(F.min("n").alias("n")).select("d", T.shingle_hashes("n", k).alias("s"))
+    met = different.join(cut.select(F.col("d").alias("da"), F.col("s").alias("a")), "da").join(cut.select(F.col("d").alias("db"), F.col("s").alias("b")), "db")
+    counts = met.select("da", "db", F.size(F.array_intersect("a", "b")).alias("_i"), F.size("a").alias("_na"), F.size("b").alias("_nb"))
+    j = known.join(counts, ["da", "db"], "left")
+    equal, missing = F.col("da") == F.col("db"), F.col("da").isNull() | F.col("db").isNull()
+    share = lambda x: F.when(missing, None).when(equal, 1.0).otherwise(x)
+    jac = share(F.col("_i") / (F.col("_na") + F.col("_nb") - F.col("_i")))
+    ab, ba = share(F.col("_i") / F.col("_na")), share(F.col("_i") / F.col("_nb"))
     absorbed = ((ab >= 0.80) | (ba >= 0.80)) & (jac < 0.50)
-    verdict = F.when(F.col("_i").isNull(), "unverifiable").when((jac >= 0.80) | absorbed, "confirmed").otherwise("weak")
+    verdict = F.when(missing, "unverifiable").when((jac >= 0.80) | absorbed, "confirmed").otherwise("weak")
     return j.select(*pairs.columns, F.round(jac, 4).alias("jaccard"), F.round(ab, 4).alias("house_in_senate"), F.round(ba, 4).alias("senate_in_house"),
-                    absorbed.alias("absorbed"), F.when(F.col("_i").isNotNull(), K.similarity_label(jac)).alias("label"), verdict.alias("verdict"))
+                    absorbed.alias("absorbed"), F.when(~missing, K.similarity_label(jac)).alias("label"), verdict.alias("verdict"))
 
 
 def drift_summary(compared: DataFrame) -> DataFrame:

@@ -189,11 +189,11 @@ def _(t):
         N(), F.count_if(I.blank("vote_tally") != "").alias("voted"), F.count_if(C.has_real_time("event_date")).alias("timed"), F.count_if(I.blank("event_code").startswith("G")).alias("governor"))
 
 
-@query("D52_published_safety", "calendar", f"""WITH p AS (SELECT DISTINCT date, committee AS name, {S.minutes('time')} AS minutes FROM calendar WHERE {S.minutes('time')} IS NOT NULL), r AS (SELECT date, committee AS name, min({S.minutes('time')}) + CASE WHEN min(event_id) % 7 = 0 THEN 1441 ELSE 0 END AS minutes FROM calendar WHERE user_id % 9 <> 0 AND {S.minutes('time')} IS NOT NULL GROUP BY 1,2)
+@query("D52_published_safety", "calendar", f"""WITH p AS (SELECT DISTINCT date, committee AS name, {S.minutes('time')} AS minutes FROM calendar WHERE {S.minutes('time')} IS NOT NULL), r AS (SELECT date, committee AS name, min({S.minutes('time')}) + CASE WHEN min(event_id) % 7 = 0 THEN 1441 ELSE 0 END AS minutes FROM calendar WHERE source <> 'DOCKET' AND {S.minutes('time')} IS NOT NULL GROUP BY 1,2)
  SELECT count(*) AS keys, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM r JOIN p USING (date, name, minutes) WHERE r.date=k.date AND r.name=k.name)) AS violations, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.date=k.date AND r.name=k.name)) AS unresolved FROM (SELECT DISTINCT date, name FROM p) k""")
 def _(t):
     clocks = t.calendar.withColumn("minutes", C.clock_minutes("time")).filter("minutes IS NOT NULL").withColumnRenamed("committee", "name")
-    resolved = clocks.filter("user_id % 9 <> 0").groupBy("date", "name").agg((F.min("minutes") + F.when(F.min("event_id") % 7 == 0, 1441).otherwise(0)).alias("minutes"))
+    resolved = clocks.filter("source <> 'DOCKET'").groupBy("date", "name").agg((F.min("minutes") + F.when(F.min("event_id") % 7 == 0, 1441).otherwise(0)).alias("minutes"))
     return O.published_safety(clocks, resolved)
 
 
@@ -288,14 +288,18 @@ def _(t):
     return cycle_gaps(t).select("event_id", F.round("gap_minutes", 3).alias("gap_minutes"), F.round("quiet_minutes", 3).alias("quiet_minutes"), "cause")
 
 
-_WIN = f"""sp AS (SELECT TRY_CAST(date||' '||sort_time AS TIMESTAMP) - INTERVAL 30 MINUTE AS s, TRY_CAST(date||' '||sort_time AS TIMESTAMP) + INTERVAL 120 MINUTE AS e FROM (SELECT date, CASE WHEN event_id % 50 = 0 THEN 'soon' ELSE sort_time END AS sort_time FROM calendar WHERE user_id % 24 = 5 OR event_id % 50 = 0)),
- fate AS (SELECT *, CASE WHEN s IS NULL THEN 'skipped' WHEN e < TIMESTAMP '2024-01-05 12:00:00' THEN 'dropped_past' WHEN s > TIMESTAMP '2024-01-05 12:00:00' + INTERVAL 480 HOUR THEN 'dropped_horizon' ELSE 'kept' END AS fate FROM sp),
+def window_sql(lead, tail, now, hours):
+    return f"""sp AS (SELECT TRY_CAST(date||' '||m AS TIMESTAMP) - INTERVAL {lead} MINUTE AS s, TRY_CAST(date||' '||m AS TIMESTAMP) + INTERVAL {tail} MINUTE AS e FROM (SELECT date, CASE WHEN event_id % 50 = 0 THEN 'soon' ELSE strftime(ts,'%H:%M') END AS m FROM calendar)),
+ fate AS (SELECT *, CASE WHEN s IS NULL THEN 'skipped' WHEN e < TIMESTAMP '{now}' THEN 'dropped_past' WHEN s > TIMESTAMP '{now}' + INTERVAL {hours} HOUR THEN 'dropped_horizon' ELSE 'kept' END AS fate FROM sp),
  isl AS (SELECT s, e, sum(nw) OVER (ORDER BY s, e) AS i FROM (SELECT s, e, CASE WHEN max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s THEN 0 ELSE 1 END AS nw FROM (SELECT DISTINCT s, e FROM fate WHERE fate='kept'))), win AS (SELECT min(s) AS s, max(e) AS e FROM isl GROUP BY i)"""
 
 
-def windows(t):
-    rows = t.calendar.filter("user_id % 24 = 5 OR event_id % 50 = 0").select("date", F.when(F.col("event_id") % 50 == 0, "soon").otherwise(F.col("sort_time")).alias("sort_time"))
-    return O.activity_windows(rows, "2024-01-05 12:00:00", horizon_hours=480)
+_WIN = window_sql(1, 2, "2024-01-05 12:00:00", 480)
+
+
+def windows(t, lead=1, tail=2, now="2024-01-05 12:00:00", hours=480):
+    rows = t.calendar.select("date", F.when(F.col("event_id") % 50 == 0, "soon").otherwise(F.date_format("ts", "HH:mm")).alias("sort_time"))
+    return O.activity_windows(rows, now, lead=lead, tail=tail, horizon_hours=hours)
 
 
 @query("E12_activity_windows", "calendar", f"WITH {_WIN} SELECT strftime(s,'%Y-%m-%d %H:%M:%S') AS start, strftime(e,'%Y-%m-%d %H:%M:%S') AS finish FROM win")
@@ -345,10 +349,9 @@ def _(t):
     return O.outages(signals(t)).select("cls", "detector", stamp("start").alias("start"), stamp("end").alias("finish"), "failures")
 
 
-@query("J04_activity_spans", "calendar", f"WITH {_WIN.replace('480 HOUR', '2000 HOUR').replace('2024-01-05 12:00:00', '2024-01-01 00:00:00').replace('WHERE user_id % 24 = 5 OR event_id % 50 = 0', '')} SELECT strftime(s,'%Y-%m-%d %H:%M:%S') AS start, strftime(e,'%Y-%m-%d %H:%M:%S') AS finish FROM win")
+@query("J04_activity_spans", "calendar", f"WITH {window_sql(2, 5, '2024-01-01 00:00:00', 2000)} SELECT strftime(s,'%Y-%m-%d %H:%M:%S') AS start, strftime(e,'%Y-%m-%d %H:%M:%S') AS finish FROM win")
 def _(t):
-    rows = t.calendar.select("date", F.when(F.col("event_id") % 50 == 0, "soon").otherwise(F.col("sort_time")).alias("sort_time"))
-    return O.activity_windows(rows, "2024-01-01 00:00:00", horizon_hours=2000)[0].select(stamp("start").alias("start"), stamp("end").alias("finish"))
+    return windows(t, 2, 5, "2024-01-01 00:00:00", 2000)[0].select(stamp("start").alias("start"), stamp("end").alias("finish"))
 
 
 @query("J05_hourly_drops", "runlog", "SELECT strftime(date_trunc('hour', ts),'%Y-%m-%d %H:%M:%S') AS hour, kind, count(*) AS n FROM runlog GROUP BY 1,2")
@@ -357,12 +360,12 @@ def _(t):
 
 
 @query("J07_blind_dates", "runlog calendar", f"""WITH {_GAPS}, d AS (SELECT DISTINCT strftime(unnest(generate_series(date_trunc('day', prev), date_trunc('day', ts), INTERVAL 1 DAY)),'%Y-%m-%d') AS date FROM gaps WHERE cause='outage'),
- a AS (SELECT date, count(*) AS actions FROM calendar WHERE route='meeting' GROUP BY 1), w AS (SELECT DISTINCT date FROM calendar WHERE kind='view' AND user_id = 3) SELECT a.date, a.actions FROM a JOIN d USING (date) WHERE a.date NOT IN (SELECT date FROM w)""")
+ a AS (SELECT date, count(*) AS actions FROM calendar WHERE route='meeting' GROUP BY 1), w AS (SELECT DISTINCT date FROM calendar WHERE kind='view' AND value > 150) SELECT a.date, a.actions FROM a JOIN d USING (date) WHERE a.date NOT IN (SELECT date FROM w)""")
 def _(t):
     from civicmill.operators import quality as Q
     outages = cycle_gaps(t).filter("cause = 'outage'").select(F.col("prev_ts").alias("start"), F.col("ts").alias("end"))
     actions = t.calendar.filter("route = 'meeting'").groupBy("date").agg(F.count(F.lit(1)).alias("actions"))
-    return Q.blind_dates(outages, actions, t.calendar.filter("kind = 'view' AND user_id = 3").select("date"))
+    return Q.blind_dates(outages, actions, t.calendar.filter("kind = 'view' AND value > 150").select("date"))
 
 
 @query("J08_freshness", "runlog", "SELECT CASE WHEN starts_with(origin,'bill_') THEN 'bill' ELSE 'calendar' END AS source, round((epoch_us(TIMESTAMP '2024-02-01')-epoch_us(max(ts)))/60e6,3) AS age_minutes, count(*) AS rows FROM runlog GROUP BY 1")
@@ -376,10 +379,10 @@ for _w in ("committee", "on", "for", "the", "of", "and", "&", ",", ".", "-"):
 _SK = f"trim(regexp_replace({_SK}, '\\s+', ' ', 'g'))"
 
 
-@query("C03_join_gaps", "calendar", f"""WITH s AS (SELECT date, {_SK % 'owner'} AS key, schedule_time, min(owner) AS owner FROM (SELECT date, replace(committee,' of ',' ') AS owner, CASE WHEN event_id % 3 = 0 THEN 'TBA' ELSE sort_time END AS schedule_time FROM calendar WHERE kind='view' AND user_id % 24 < 9) GROUP BY 1,2,3),
+@query("C03_join_gaps", "calendar", f"""WITH s AS (SELECT date, {_SK % 'owner'} AS key, schedule_time, min(owner) AS owner FROM (SELECT date, replace(committee,' of ',' ') AS owner, CASE WHEN event_id % 3 = 0 THEN 'TBA' ELSE sort_time END AS schedule_time FROM calendar WHERE kind='view') GROUP BY 1,2,3),
  m AS (SELECT event_id, date, {_SK % 'committee'} AS key FROM calendar WHERE NOT {S.concrete('time')}) SELECT gap_type, count(*) AS n FROM (SELECT CASE WHEN owner IS NULL THEN 'no_lis_committee_match' WHEN lower(trim(schedule_time)) IN ('','none','nan','tba','time tba') THEN 'lis_time_not_concrete' ELSE 'sheet_missing_lis_has_time' END AS gap_type FROM m LEFT JOIN s USING (date, key)) GROUP BY 1""")
 def _(t):
-    sched = t.calendar.filter("kind = 'view' AND user_id % 24 < 9").select("date", F.replace("committee", F.lit(" of "), F.lit(" ")).alias("owner"),
+    sched = t.calendar.filter("kind = 'view'").select("date", F.replace("committee", F.lit(" of "), F.lit(" ")).alias("owner"),
                                                                           F.when(F.col("event_id") % 3 == 0, "TBA").otherwise(F.col("sort_time")).alias("schedule_time"))
     return O.join_gaps(t.calendar.filter(~C.is_concrete_time("time")), sched).groupBy("gap_type").agg(N())
 
@@ -391,12 +394,12 @@ def _(t):
     return O.completeness_gaps(need, t.history.filter("line IN (2, 3, 4, 5)").select(F.col("committee_code").alias("code"), "date"), 50)[1]
 
 
-@query("C07_nearest_book", "history", """WITH r AS (SELECT seq, bill, committee, day FROM history WHERE line=1), b AS (SELECT DISTINCT committee, bill, day + CAST(part % 4 AS INT) AS day FROM history WHERE line=1 AND part % 3 <> 0),
+@query("C07_nearest_book", "history", """WITH r AS (SELECT seq, bill, committee, day FROM history WHERE line=1), b AS (SELECT DISTINCT committee, bill, day + CAST(part % 4 AS INT) AS day FROM history WHERE line=1 AND flag <> 'N'),
  h AS (SELECT r.seq, r.bill, r.committee, r.day, min(abs(datediff('day', b.day, r.day))) FILTER (WHERE b.bill=r.bill) AS hit, count(b.day) AS k FROM r LEFT JOIN b ON b.committee=r.committee AND abs(datediff('day', b.day, r.day))<=2 GROUP BY 1,2,3,4)
  SELECT CASE WHEN k=0 THEN 'NO_BOOK' WHEN hit=0 THEN 'MATCH_SAMEDAY' WHEN hit IS NOT NULL THEN 'MATCH_NEARBY' ELSE 'MISATTRIB' END AS verdict, hit AS "offset", count(*) AS n FROM h GROUP BY 1,2""")
 def _(t):
     reports = t.history.filter("line = 1").select("seq", "bill", "committee", "day")
-    books = t.history.filter("line = 1 AND part % 3 <> 0").select("committee", "bill", F.date_add("day", (F.col("part") % 4).cast("int")).alias("day")).distinct()
+    books = t.history.filter("line = 1 AND flag <> 'N'").select("committee", "bill", F.date_add("day", (F.col("part") % 4).cast("int")).alias("day")).distinct()
     return O.nearest_book(reports, books).groupBy("verdict", "offset").agg(N())
 
 
@@ -432,7 +435,7 @@ def _schedule(t):
     return s
 
 
-@query("C20_resolution_ladder", "calendar legevents", f"""WITH s AS (SELECT *, {S.minutes('time')} AS m FROM calendar WHERE kind='view' AND {S.minutes('time')} IS NOT NULL), r1 AS (SELECT date, committee, min_by(time, event_id) AS time FROM s GROUP BY 1,2), r2 AS (SELECT date, committee[1:6] AS stem, min_by(time, event_id) AS time FROM s WHERE user_id % 24 < 6 GROUP BY 1,2),
+@query("C20_resolution_ladder", "calendar legevents", f"""WITH s AS (SELECT *, {S.minutes('time')} AS m FROM calendar WHERE kind='view' AND {S.minutes('time')} IS NOT NULL), r1 AS (SELECT date, committee, min_by(time, event_id) AS time FROM s GROUP BY 1,2), r2 AS (SELECT date, committee[1:6] AS stem, min_by(time, event_id) AS time FROM s WHERE committee IN ('House Convenes','Senate Adjourned','House Recessed') GROUP BY 1,2),
  r3 AS (SELECT date, bill, max(event_date[12:16]) AS time FROM legevents WHERE kind='purchase' AND {S.real_time('event_date')} GROUP BY 1,2), rw AS (SELECT event_id, date, committee, committee[1:6] AS stem, bill FROM calendar WHERE kind<>'view')
  SELECT event_id, coalesce(r1.time, r2.time, r3.time) AS resolved_time, CASE WHEN r1.time IS NOT NULL THEN 'api_schedule' WHEN r2.time IS NOT NULL THEN 'convene_anchor' WHEN r3.time IS NOT NULL THEN 'legislation_event' ELSE 'journal_default' END AS resolved_origin
  FROM rw LEFT JOIN r1 USING (date, committee) LEFT JOIN r2 ON r2.date=rw.date AND r2.stem=rw.stem LEFT JOIN r3 ON r3.date=rw.date AND r3.bill=rw.bill""")
@@ -440,7 +443,7 @@ def _(t):
     s = _schedule(t)
     stem = F.substring("committee", 1, 6)
     exact = s.groupBy("date", "committee").agg(F.min_by("time", "event_id").alias("time"))
-    convene = s.filter("user_id % 24 < 6").groupBy("date", stem.alias("stem")).agg(F.min_by("time", "event_id").alias("time"))
+    convene = s.filter(K.meeting_kind("committee") == "floor").groupBy("date", stem.alias("stem")).agg(F.min_by("time", "event_id").alias("time"))
     events = t.legevents.filter((F.col("kind") == "purchase") & C.has_real_time("event_date")).groupBy("date", "bill").agg(F.max(F.substring("event_date", 12, 5)).alias("time"))
     rows = t.calendar.filter("kind <> 'view'").select("event_id", "date", "committee", stem.alias("stem"), "bill")
     out = O.resolution_ladder(rows, [("api_schedule", exact, ["date", "committee"]), ("convene_anchor", convene, ["date", "stem"]), ("legislation_event", events, ["date", "bill"])], "journal_default")
@@ -464,12 +467,12 @@ def _(t):
     return O.relative_chain(chain_nodes(t))
 
 
-@query("C22_standing_pattern", "calendar", f"""WITH c AS (SELECT event_id, date, committee, committee[1:6] AS chamber, {S.minutes('time')} AS m FROM calendar), an AS (SELECT date, committee[1:6] AS chamber, min({S.minutes('sort_time')}) AS am FROM calendar WHERE user_id % 24 < 8 GROUP BY 1,2),
+@query("C22_standing_pattern", "calendar", f"""WITH c AS (SELECT event_id, date, committee, committee[1:6] AS chamber, {S.minutes('time')} AS m FROM calendar), an AS (SELECT date, committee[1:6] AS chamber, min({S.minutes('sort_time')}) AS am FROM calendar WHERE committee IN ('House Convenes','Senate Adjourned','House Recessed') GROUP BY 1,2),
  o AS (SELECT committee, m-am AS off, count(*) AS n FROM c JOIN an USING (date, chamber) WHERE m IS NOT NULL GROUP BY 1,2), u AS (SELECT committee, off FROM (SELECT *, row_number() OVER (PARTITION BY committee ORDER BY n DESC, off) AS rn FROM o) WHERE rn=1)
  SELECT event_id, CASE WHEN am+off BETWEEN 420 AND 1380 THEN am+off END AS derived_minutes, CASE WHEN am+off BETWEEN 420 AND 1380 THEN 'derived_standing' ELSE 'none' END AS derived_origin FROM c LEFT JOIN u USING (committee) LEFT JOIN an USING (date, chamber) WHERE m IS NULL""")
 def _(t):
     c = t.calendar.select("event_id", "date", "committee", F.substring("committee", 1, 6).alias("chamber"), C.clock_minutes("time").alias("minutes"))
-    anchors = t.calendar.filter("user_id % 24 < 8").groupBy("date", F.substring("committee", 1, 6).alias("chamber")).agg(F.min(C.clock_minutes("sort_time")).alias("anchor_minutes"))
+    anchors = t.calendar.filter(K.meeting_kind("committee") == "floor").groupBy("date", F.substring("committee", 1, 6).alias("chamber")).agg(F.min(C.clock_minutes("sort_time")).alias("anchor_minutes"))
     return O.standing_pattern(c.filter("minutes IS NOT NULL"), anchors, c.filter("minutes IS NULL").drop("minutes")).select("event_id", "derived_minutes", "derived_origin")
 
 

@@ -147,8 +147,8 @@ def _(t):
     return registry.join(active, "jurisdiction").select("jurisdiction", "session", "rows", "columns", (F.col("location") == F.col("_l")).alias("active"))
 
 
-@query("A15_text_store", "versions", "WITH s AS (SELECT DISTINCT bill, sha256(text) AS digest FROM versions WHERE version % 2 = 0) SELECT bill, sha256(text) AS digest, min(version) AS version FROM versions WHERE (bill, sha256(text)) NOT IN (SELECT bill, digest FROM s) GROUP BY 1,2")
+@query("A15_text_store", "versions", "WITH s AS (SELECT DISTINCT bill, sha256(text) AS digest FROM versions WHERE role = 'user') SELECT bill, sha256(text) AS digest, min(version) AS version FROM versions WHERE (bill, sha256(text)) NOT IN (SELECT bill, digest FROM s) GROUP BY 1,2")
 def _(t):
     v = t.versions.withColumn("session", F.lit("2026"))
-    stored = v.filter("version % 2 = 0").select("session", "bill", F.sha2("text", 256).alias("digest"))
+    stored = v.filter("role = 'user'").select("session", "bill", F.sha2("text", 256).alias("digest"))
     return Wr.new_versions(v, stored).select("bill", "digest", "version")

@@ -332,12 +332,12 @@ def evaluation(t, held):
     return L.judged(L.decide(votes), truth(t))
 
 
-_COLD = _VOTES.replace(_REC, _REC.replace("lab AS (", "lab_all AS (", 1) + ", lab AS (SELECT * FROM lab_all WHERE key NOT IN (SELECT key FROM rec WHERE session='en' AND key % 2 = 0))").replace(
-    "tg AS (SELECT * FROM rec WHERE key NOT IN (SELECT key FROM lab))", "tg AS (SELECT * FROM rec WHERE session='en' AND key % 2 = 0 AND key IN (SELECT key FROM lab_all))") + ", jd AS (SELECT dc.*, EXISTS (SELECT 1 FROM lab_all l WHERE l.key=dc.key AND l.label=dc.label) AS ok FROM dc)"
+_COLD = _VOTES.replace(_REC, _REC.replace("lab AS (", "lab_all AS (", 1) + ", lab AS (SELECT * FROM lab_all WHERE key NOT IN (SELECT key FROM rec WHERE session='fr'))").replace(
+    "tg AS (SELECT * FROM rec WHERE key NOT IN (SELECT key FROM lab))", "tg AS (SELECT * FROM rec WHERE session='fr' AND key IN (SELECT key FROM lab_all))") + ", jd AS (SELECT dc.*, EXISTS (SELECT 1 FROM lab_all l WHERE l.key=dc.key AND l.label=dc.label) AS ok FROM dc)"
 
 
 def _held():
-    return (F.col("session") == "en") & (F.col("key") % 2 == 0)
+    return F.col("session") == "fr"
 
 
 @query("I17_cold_evaluation", "texts", f"WITH {_COLD} SELECT routes, count(*) AS n, count(*) FILTER (WHERE ok) AS hits FROM jd GROUP BY 1")

@@ -144,8 +144,8 @@ def publish_breaker(calendar: DataFrame, last_good: DataFrame, valid_origins: Se
     """Whether an overwrite must be refused: violation rate and count, growth of unsourced meetings, absolute ceiling."""
     violation = ~F.col("origin").isin(*valid_origins) | (F.col("origin").isin("api_schedule", "convene_anchor", "legislation_event") & F.col("time").startswith("⏱"))
     unsourced = (F.col("route") == "meeting") & F.col("origin").isin("journal_default", "floor_miss")
-    g = calendar.agg(n("rows"), F.count_if(violation).alias("violations"), F.count_if(unsourced).alias("unsourced")).withColumn("_k", F.lit(1))
-    g = g.join(last_good.select(F.col("unsourced").alias("baseline")).withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
+    g = calendar.agg(n("rows"), F.count_if(violation).alias("violations"), F.count_if(unsourced).alias("unsourced"))
+    g = g.withColumn("baseline", last_good.select(F.max("unsourced")).scalar())
     rate, delta = F.col("violations") / F.col("rows"), F.col("unsourced") - F.col("baseline")
     why = F.array_compact(F.array(F.when(rate > 0.10, "rate"), F.when(F.col("violations") >= 50, "violations"),
                                   F.when((F.coalesce("baseline", F.lit(0)) > 0) & (delta > 25), "delta"), F.when(F.col("unsourced") > 500, "ceiling")))
@@ -182,9 +182,8 @@ def router_cross_check(calendar: DataFrame, text_class: Column) -> DataFrame:
     """Of the rows a text rule flags as timeless meetings, the share per structural verdict; unseen verdicts show as such."""
     flagged = calendar.filter((text_class == "meeting") & ~C.is_concrete_time("time"))
     g = flagged.groupBy(blank_label("route").alias("verdict")).agg(n())
-    total = flagged.agg(n("total"))
-    return g.join(total.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k")).select(
-        "verdict", "n", K.safe_rate("n", "total").alias("share"), (~F.col("verdict").isin("admin", "meeting", "blank")).alias("unseen"))
+    total = flagged.agg(n("total")).scalar()
+    return g.withColumn("total", total).select("verdict", "n", K.safe_rate("n", "total").alias("share"), (~F.col("verdict").isin("admin", "meeting", "blank")).alias("unseen"))
 
 
 def code_profile(events: DataFrame, route: str = "route") -> tuple[DataFrame, DataFrame]:
@@ -324,10 +323,9 @@ def tiers(instants: DataFrame, windows: DataFrame) -> DataFrame:
     """IN_WINDOW, IDLE or EMPTY per instant. Windows meet instants by the hours they cover."""
     hours = windows.select("start", "end", F.explode(F.sequence(F.date_trunc("hour", "start"), F.date_trunc("hour", "end"), F.expr("interval 1 hour"))).alias("_h"))
     inside = instants.withColumn("_h", F.date_trunc("hour", "ts")).join(hours, "_h").filter(F.col("ts").between(F.col("start"), F.col("end"))).select("event_id").distinct().withColumn("_in", F.lit(True))
-    last = windows.agg(F.max("end").alias("_last")).withColumn("_k", F.lit(1))
-    out = instants.join(inside, "event_id", "left").withColumn("_k", F.lit(1)).join(last, "_k", "left")
-    tier = F.when(F.col("_in"), "IN_WINDOW").when(F.col("_last") >= F.col("ts"), "IDLE").otherwise("EMPTY")
-    return out.withColumn("tier", tier).drop("_k", "_last", "_in")
+    last = windows.agg(F.max("end")).scalar()
+    tier = F.when(F.col("_in"), "IN_WINDOW").when(last >= F.col("ts"), "IDLE").otherwise("EMPTY")
+    return instants.join(inside, "event_id", "left").withColumn("tier", tier).drop("_in")
 
 
 FLOORS = {"IN_WINDOW": 0, "IDLE": 55, "EMPTY": 175}
@@ -366,7 +364,7 @@ def relative_chain(nodes: DataFrame, rounds: int = 5) -> DataFrame:
 
     ``nodes``: date, name, minutes (published, or null), anchor, offset. Published clocks never move. A zero
     offset becomes one minute so a chain stays ordered. Missing anchors and cycles stay unresolved. Chains
-    are halved each round by pointer doubling, with a reliable checkpoint per round.
+    are halved each round by pointer doubling, with a written table per round.
     """
     state = nodes.select("date", "name", "minutes", F.when(F.col("minutes").isNull(), F.col("anchor")).alias("anchor"),
                          F.when(F.coalesce("offset", F.lit(0)) == 0, 1).otherwise(F.col("offset")).cast("bigint").alias("offset"))
@@ -406,9 +404,9 @@ def completeness_gaps(required: DataFrame, covered: DataFrame, minimum: int) ->
     """Required (code, date) pairs nobody covers, and a verdict that refuses to pass on a thin requirement."""
     need, have = required.select("code", "date").distinct(), covered.select("code", "date").distinct()
     missing = need.join(have, ["code", "date"], "left_anti")
-    total, gaps = need.agg(n("required")).withColumn("_k", F.lit(1)), missing.agg(n("gaps")).withColumn("_k", F.lit(1))
-    verdict = total.join(gaps, "_k").select("required", (F.col("required") - F.col("gaps")).alias("covered"), "gaps",
-                                            F.when(F.col("required") < minimum, "SOURCE_CHANGE").when(F.col("gaps") > 0, "FAIL").otherwise("PASS").alias("verdict"))
+    verdict = need.agg(n("required")).withColumn("gaps", missing.agg(n()).scalar())
+    verdict = verdict.select("required", (F.col("required") - F.col("gaps")).alias("covered"), "gaps",
+                             F.when(F.col("required") < minimum, "SOURCE_CHANGE").when(F.col("gaps") > 0, "FAIL").otherwise("PASS").alias("verdict"))
     return missing, verdict
 
 

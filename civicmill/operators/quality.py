@@ -29,14 +29,12 @@ def blind_dates(outages: DataFrame, actions: DataFrame, witnessed: DataFrame) ->
 
 def conservation(received: DataFrame, written: DataFrame, dropped: dict[str, DataFrame]) -> DataFrame:
     """Rows in, rows out and rows dropped by reason; the residual must be zero."""
-    one = lambda df, name: df.agg(n(name)).withColumn("_k", F.lit(1))
-    out = one(received, "rows_in").join(one(written, "rows_written"), "_k")
-    for name, df in dropped.items():
-        out = out.join(one(df, name), "_k")
+    out = received.agg(n("rows_in")).withColumn("rows_written", written.agg(n()).scalar())
     total = F.col("rows_written")
-    for name in dropped:
+    for name, df in dropped.items():
+        out = out.withColumn(name, df.agg(n()).scalar())
         total = total + F.col(name)
-    return out.drop("_k").withColumn("residual", F.col("rows_in") - total)
+    return out.withColumn("residual", F.col("rows_in") - total)
 
 
 def row_group_digests(history: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

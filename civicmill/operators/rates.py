@@ -67,9 +67,9 @@ def rank_in_owner(rows: DataFrame, owner: str, order: str, band: int = 4096) ->
 def late_cutoff(rows: DataFrame, day: str, share: float = 0.90) -> DataFrame:
     """Day at position floor(n * share) of the sorted days. Works on counts per day, of which there are few."""
     days = rows.filter(F.col(day).isNotNull()).groupBy(F.col(day).alias("day")).agg(n())
-    total = days.agg(F.floor(F.sum("n") * share + 1e-9).alias("at")).withColumn("_k", F.lit(1))
-    run = scale.running(days, [], F.substring("day", 1, 7), ["day"], sums={"upto": F.col("n")}).withColumn("_k", F.lit(1))
-    return run.join(total, "_k").filter(F.col("upto") > F.col("at")).agg(F.min("day").alias("cutoff"))
+    at = days.agg(F.floor(F.sum("n") * share + 1e-9)).scalar()
+    run = scale.running(days, [], F.substring("day", 1, 7), ["day"], sums={"upto": F.col("n")})
+    return run.filter(F.col("upto") > at).agg(F.min("day").alias("cutoff"))
 
 
 def same_day_batch(rows: DataFrame, owner: str, day: str) -> DataFrame:
@@ -110,9 +110,9 @@ def score_features(train: DataFrame, test: DataFrame, features: Sequence[str], *
     are reduced to counts per (feature, bucket) before they meet.
     """
     count = lambda df, p: long_features(df, features).groupBy("feature", "bucket").agg(n(f"{p}_n"), F.sum("y").cast("bigint").alias(f"{p}_k"))
-    base = lambda df, name: df.agg(F.avg(F.col("y").cast("double")).alias(name)).withColumn("_k", F.lit(1))
+    base = lambda df: df.agg(F.avg(F.col("y").cast("double"))).scalar()
     tr, te = count(train, "tr"), count(test, "te")
-    both = te.join(tr, ["feature", "bucket"], "left").withColumn("_k", F.lit(1)).join(base(train, "train_base"), "_k").join(base(test, "test_base"), "_k").drop("_k")
+    both = te.join(tr, ["feature", "bucket"], "left").withColumn("train_base", base(train)).withColumn("test_base", base(test))
     seen = F.coalesce(F.col("tr_n") >= minimum, F.lit(False))
     null = F.col("test_base") if corrected else F.col("train_base")
     rate = F.col("tr_k") / F.col("tr_n") + (F.col("test_base") - F.col("train_base") if corrected else F.lit(0.0))
@@ -146,9 +146,9 @@ def finding_gate(rows: DataFrame, pool: str, key: str, *, minimum: int = 25, min
     b = rows.groupBy(pool, key).agg(F.sum("y").cast("bigint").alias("_hits"), n("_cases"))
     usable = F.col("_cases") >= minimum
     rate = F.when(usable, F.col("_hits") / F.col("_cases"))
-    g = b.groupBy(pool).agg(F.sum("_hits").alias("pos"), F.sum("_cases").alias("rows"), F.count_if(usable).alias("buckets"), F.max(rate).alias("hi"), F.min(rate).alias("lo")).withColumn("_k", F.lit(1))
-    parent = rows.agg(F.avg(F.col("y").cast("double")).alias("parent")).withColumn("_k", F.lit(1))
-    g = g.join(parent, "_k").withColumn("spread", F.when(F.col("buckets") >= 2, F.col("hi") - F.col("lo")).otherwise(0.0))
+    g = b.groupBy(pool).agg(F.sum("_hits").alias("pos"), F.sum("_cases").alias("rows"), F.count_if(usable).alias("buckets"), F.max(rate).alias("hi"), F.min(rate).alias("lo"))
+    parent = rows.agg(F.avg(F.col("y").cast("double"))).scalar()
+    g = g.withColumn("parent", parent).withColumn("spread", F.when(F.col("buckets") >= 2, F.col("hi") - F.col("lo")).otherwise(0.0))
     warn = F.array_compact(F.array(
         F.when(F.least(F.col("pos"), F.col("rows") - F.col("pos")) < minority, "UNDERPOWERED"), F.when(F.col("buckets") < 2, "NOT_COMPARABLE"),
         F.when((F.col("buckets") >= 2) & (F.col("spread") >= separation), "SUSPICIOUS_SEPARATION"),
@@ -187,8 +187,8 @@ def permutation_null(rows: DataFrame, pool: str, key: str, *, minimum: int = 25,
 
 
 def base_drift(train: DataFrame, test: DataFrame, limit: float = 0.05) -> DataFrame:
-    one = lambda df, name: df.agg(F.avg(F.col("y").cast("double")).alias(name)).withColumn("_k", F.lit(1))
-    j = one(train, "before").join(one(test, "after"), "_k")
+    mean = F.avg(F.col("y").cast("double"))
+    j = train.agg(mean.alias("before")).withColumn("after", test.agg(mean).scalar())
     return j.select(F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), (F.abs(F.col("before") - F.col("after")) >= limit).alias("drifted"))
 
 

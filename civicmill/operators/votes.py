@@ -98,10 +98,16 @@ def party_majorities(votes: DataFrame) -> DataFrame:
 
 
 def with_defection(votes: DataFrame) -> DataFrame:
-    """Adds defect and with_winner, margin and size. Votes need vote_id, member, party, yes, token."""
-    side = party_majorities(votes).select("vote_id", "party", "party_side")
-    totals = roll_call_summary(votes).select("vote_id", "winner", "margin", F.col("n").alias("roll_size"))
-    joined = votes.join(side, ["vote_id", "party"], "left").join(totals, "vote_id")
+    """Adds defect and with_winner, margin and size. Votes need vote_id, member, party, yes, token.
+
+    One aggregation per (roll call, party) gives the party sides; the roll-call totals are sums of those rows.
+    """
+    per = votes.groupBy("vote_id", F.coalesce("party", F.lit("")).alias("_p")).agg(F.count_if("yes").alias("y"), F.count_if(~F.col("yes")).alias("x"))
+    totals = per.groupBy("vote_id").agg(F.sum("y").alias("_y"), F.sum("x").alias("_x"))
+    side = F.when(F.col("_p") == "", None).when(F.col("y") > F.col("x"), "Y").when(F.col("y") < F.col("x"), "N")
+    rolls = per.join(totals, "vote_id").select("vote_id", "_p", side.alias("party_side"), F.when(F.col("_y") > F.col("_x"), "Y").otherwise("N").alias("winner"),
+                                               F.abs(F.col("_y") - F.col("_x")).alias("margin"), (F.col("_y") + F.col("_x")).alias("roll_size"))
+    joined = votes.withColumn("_p", F.coalesce("party", F.lit(""))).join(rolls, ["vote_id", "_p"]).drop("_p")
     return joined.withColumn("defect", F.coalesce(F.col("token") != F.col("party_side"), F.lit(False))).withColumn("with_winner", F.col("token") == F.col("winner"))
 
 
@@ -118,11 +124,10 @@ def pivotality(flagged: DataFrame, margin: int) -> DataFrame:
 
 def concentration(rates: DataFrame, tops: tuple[int, ...] = (20, 30)) -> DataFrame:
     """Share of all defections held by the top members. Only the top rows are ever ordered."""
-    total = rates.agg(F.sum("defections").alias("total"))
+    total = rates.agg(F.sum("defections")).scalar()
     top = scale.global_top_k(rates, [F.desc("defections"), F.col("member")], max(tops))
-    shares = top.agg(*[F.sum(F.when(F.col("rank") <= k, F.col("defections"))).alias(f"top_{k}") for k in tops])
-    both = total.withColumn("_one", F.lit(1)).join(shares.withColumn("_one", F.lit(1)), "_one")
-    return both.select("total", *[F.round(F.col(f"top_{k}") / F.col("total"), 4).alias(f"share_{k}") for k in tops])
+    shares = top.agg(*[F.sum(F.when(F.col("rank") <= k, F.col("defections"))).alias(f"top_{k}") for k in tops]).withColumn("total", total)
+    return shares.select("total", *[F.round(F.col(f"top_{k}") / F.col("total"), 4).alias(f"share_{k}") for k in tops])
 
 
 def infer_parties(votes: DataFrame, min_votes: int = 200, min_gap: float = 0.10) -> DataFrame:
@@ -211,7 +216,7 @@ def climb(nodes: DataFrame, rounds: int = 6) -> DataFrame:
     """Value of the nearest ancestor (or self) that has one. ``nodes``: id, parent, value.
 
     Pointer doubling: after r rounds chains of 2^r links are resolved. Cycles without a value stay null.
-    Each round is cut with a reliable checkpoint and the loop ends when nothing changes.
+    Each round is cut with a written table and the loop ends when nothing changes.
     """
     state = nodes.select("id", F.when(F.col("value").isNull(), F.col("parent")).alias("next"), "value", F.lit(0).alias("steps"))
     open_rows = None
@@ -275,8 +280,8 @@ def season_scores(flagged: DataFrame, control: DataFrame, min_season: int = 100,
     v = v.withColumn("standing", F.when(F.col("party") == F.col("majority"), "maj").otherwise("min"))
     cohort = ["chamber", "year", "standing"]
     season = v.groupBy("member", "party", *cohort).agg(F.count(F.lit(1)).alias("n"), F.count_if("defect").alias("d")).filter(F.col("n") >= min_season)
-    season = season.withColumn("rate", F.col("d") / F.col("n"))
-    # shifted by a constant-free two-pass form is not needed: rates lie in [0, 1]
+    # one row per member and season, read twice: written once
+    season = cut_lineage(season.withColumn("rate", F.col("d") / F.col("n")))
     stats = season.groupBy(*cohort).agg(F.avg("rate").alias("mu"), F.stddev_pop("rate").alias("sd"), F.count(F.lit(1)).alias("size"))
     stats = stats.filter((F.col("size") >= min_cohort) & (F.col("sd") > 1e-12))
     return season.join(stats, cohort).withColumn("z", (F.col("rate") - F.col("mu")) / F.col("sd"))

@@ -65,34 +65,38 @@ def near_sql(name, queries, items, cap):
  (SELECT count(*) FROM {queries} a WHERE a.key=t.key) AS na, (SELECT count(*) FROM {items} b WHERE b.key=t.item) AS nb FROM {name}_top t), {name} AS (SELECT key, item, sim FROM (SELECT key, item, i/(na+nb-i) AS sim, row_number() OVER (PARTITION BY key ORDER BY i/(na+nb-i) DESC, rn) AS r2 FROM {name}_j) WHERE r2=1)"""
 
 
-def records(t):
-    """One record per text; written once, because every route reads it."""
-    cache = t.__dict__.setdefault("_frames", {})
-    if "records" not in cache:
-        cache["records"] = cut_lineage(_records(t))
-    return cache["records"]
-
-
 def _records(t):
     nt = spelling_key("title")
     return t.texts.select(F.col("doc_id").alias("key"), "session", nt.alias("nt"), F.array_join(F.slice(T.words(nt), 1, 2), " ").alias("h"), F.col("source").alias("cm"), "title", "text")
 
 
+def kept(t, name, make):
+    """A frame several routes read, written once per run."""
+    frames = t.__dict__.setdefault("_frames", {})
+    if name not in frames:
+        frames[name] = cut_lineage(make())
+    return frames[name]
+
+
+def records(t):
+    return kept(t, "records", lambda: _records(t).drop("title", "text"))
+
+
 def truth(t):
-    good = t.labels.select(F.col("doc_id").alias("key"), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label"))
-    return good.unionByName(t.labels.filter("toxic = 1").select(F.col("doc_id").alias("key"), F.lit("toxic").alias("label")))
+    def make():
+        good = t.labels.select(F.col("doc_id").alias("key"), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label"))
+        return good.unionByName(t.labels.filter("toxic = 1").select(F.col("doc_id").alias("key"), F.lit("toxic").alias("label")))
+
+    return kept(t, "truth", make)
 
 
 def title_tokens(t):
-    return records(t).select("key", F.explode(T.subject_tokens("title")).alias("tok"))
+    return kept(t, "title_tokens", lambda: _records(t).select("key", F.explode(T.subject_tokens("title")).alias("tok")))
 
 
 def text_tokens(t):
-    """Twelve tokens per text, written once."""
-    cache = t.__dict__.setdefault("_frames", {})
-    if "tokens" not in cache:
-        cache["tokens"] = cut_lineage(Sim.rarest_tokens(_records(t), "key", "text", 12).select("key", "tok"))
-    return cache["tokens"]
+    """Twelve rarest tokens per text."""
+    return kept(t, "text_tokens", lambda: Sim.rarest_tokens(_records(t), "key", "text", 12).select("key", "tok"))
 
 
 @query("C12_nearest", "texts", f"WITH {_REC}, q AS (SELECT key, tok FROM atk), it AS (SELECT key, tok FROM atk WHERE key IN (SELECT key FROM lab)), {near_sql('nr', 'q', 'it', 30)} SELECT key, item, round(sim,6) AS similarity FROM nr")
@@ -104,7 +108,7 @@ def _(t):
 
 @query("F05_rarest_tokens", "texts", f"WITH {_REC} SELECT key, tok, df FROM atk")
 def _(t):
-    return Sim.rarest_tokens(records(t), "key", "text", 12)
+    return Sim.rarest_tokens(_records(t), "key", "text", 12)
 
 
 _SHN = f"nm AS (SELECT doc_id, bill, {S.normal('text')} AS n FROM texts), sw AS (SELECT *, list_filter(string_split(n,' '), lambda w: w<>'') AS w FROM nm), sh AS (SELECT doc_id, bill, CASE WHEN len(w)=0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w)-8+1,1)+1), lambda i: array_to_string(w[i:i+7],' '))) END AS s FROM sw)"

@@ -59,7 +59,7 @@ def usual_place(rows: DataFrame, subject: str, place: str, minimum: int = 5) ->
     return per.join(g, [subject, "n"]).groupBy(subject, "total").agg(F.min(place).alias("usual"))
 
 
-def rank_in_owner(rows: DataFrame, owner: str, order: str, band: int = 4096) -> DataFrame:
+def rank_in_owner(rows: DataFrame, owner: str, order: str, band: int = 65536) -> DataFrame:
     """nth filing of its owner; a hot owner is numbered in bands."""
     return scale.row_numbers(rows, [owner], F.floor(F.col(order) / band), [order], "nth")
 
@@ -128,7 +128,7 @@ def score_features(train: DataFrame, test: DataFrame, features: Sequence[str], *
 
 def temporal_split(rows: DataFrame, period: str, order: str, share: float = 0.5) -> DataFrame:
     """First filed part of each period learns, the rest tests. Cut by the exact position in the period."""
-    numbered = scale.row_numbers(rows, [period], F.floor(F.col(order) / 4096), [order], "_i")
+    numbered = scale.row_numbers(rows, [period], F.floor(F.col(order) / 65536), [order], "_i")
     size = rows.groupBy(period).agg(n("_n"))
     return numbered.join(size, period).withColumn("learn", F.col("_i") <= F.col("_n") * share).drop("_i", "_n")
 

@@ -177,7 +177,7 @@ def _(t):
 def _(t):
     """Ranks come from the two-level numbering, banded by the number's magnitude."""
     d = t.titles.select("bill", I.bill_prefix("bill").alias("p"), I.bill_number("bill").alias("k"))
-    band = F.concat(F.col("p"), F.lpad(F.floor(F.col("k") / 256).cast("string"), 12, "0"))
+    band = F.concat(F.col("p"), F.lpad(F.floor(F.col("k") / 65536).cast("string"), 12, "0"))
     return scale.row_numbers(d, [], band, ["p", "k"], "place").select("bill", "place")
 
 
@@ -230,7 +230,7 @@ def _(t):
 def _(t):
     d = t.bills.select("bill", "num").join(R.upcoming(t.history, TODAY), "bill", "left")
     d = d.select("bill", F.coalesce("next_date", F.lit("9999-12-31")).alias("due"), I.bill_prefix("bill").alias("p"), "num")
-    band = F.concat_ws("#", F.substring("due", 1, 7), "p", F.lpad(F.floor(F.col("num") / 4096).cast("string"), 12, "0"))
+    band = F.concat_ws("#", F.substring("due", 1, 7), "p", F.lpad(F.floor(F.col("num") / 65536).cast("string"), 12, "0"))
     ordered = d.withColumn("band_day", F.col("due"))
     # unscheduled bills share one due date, so the band also splits by number; days inside a month keep one band
     band = F.when(F.col("due") == "9999-12-31", band).otherwise(F.substring("due", 1, 7))

@@ -147,12 +147,13 @@ def route_event(ministerial) -> Column:
     )
 
 
-def refid_class(refid, fanout, in_votes, batch_min: int = 2) -> Column:
+def refid_class(refid, fanout, in_votes, batch_min: int = 2, healed: bool = False) -> Column:
     """Class of a history refid from its grammar, its same-day fan-out and its membership in the vote keys.
+    ``healed`` says that the column went through ``heal_cell`` already.
 
     Numeric ids of seven digits or more are vote ids; one that joins no vote surfaces as unmatched.
     """
-    r = heal_cell(refid)
+    r = col(refid) if healed else heal_cell(refid)
     numeric = r.rlike(r"^\d+$")
     return (
         F.when(r == "", "EMPTY")

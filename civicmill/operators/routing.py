@@ -42,7 +42,7 @@ def classify_refids(history: DataFrame, vote_keys: DataFrame) -> DataFrame:
     work = history.withColumn("_r", F.upper(I.heal_cell("refid")))
     joined = work.join(fan_out(history), ["_r", "date"], "left").join(keys, "_r", "left")
     joined = joined.withColumn("fanout", F.coalesce("fanout", F.lit(0))).withColumn("in_votes", F.coalesce("_in", F.lit(False)))
-    return joined.select(*history.columns, "fanout", "in_votes", K.refid_class("_r", "fanout", "in_votes").alias("refid_class"))
+    return joined.select(*history.columns, "fanout", "in_votes", K.refid_class("_r", "fanout", "in_votes", healed=True).alias("refid_class"))
 
 
 def with_membership(rows: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFrame:

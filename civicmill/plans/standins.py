@@ -261,6 +261,16 @@ def view_sql(name: str, dialect: Dialect) -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in columns) + f" FROM {source}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a few megabytes to a gigabyte that arrives as fewer splits than there are cores (one file, one row
+    group) is spread once. Larger tables come in enough splits and pass through untouched."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 4 << 20 <= size < 1 << 30 and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 class Tables:
     """Raw and logical tables of one data folder, by attribute."""
 
@@ -273,5 +283,5 @@ class Tables:
             source, columns = VIEWS[name](SPARK)
             return getattr(self, source).selectExpr(*[f"{e} AS {n}" for n, e in columns])
         if name in RAW:
-            return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+            return spread(self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet"))
         raise AttributeError(name)

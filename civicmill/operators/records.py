@@ -34,35 +34,61 @@ def home_chamber(bill) -> Column:
     return F.when(F.col(bill).startswith("H"), "House").otherwise("Senate")
 
 
-def positions(history: DataFrame) -> DataFrame:
-    """Last committee, chamber, crossover and number of successive referrals, from refids only."""
-    acts = history.select("bill", "seq", "refid", committee_code("refid").alias("code")).filter("code IS NOT NULL")
-    chamber = F.when(F.col("code").startswith("H"), "House").otherwise("Senate")
-    last = acts.groupBy("bill").agg(
-        F.max_by("code", "seq").alias("last_code"), F.max_by(chamber, "seq").alias("chamber"),
-        F.bool_or(chamber != home_chamber("bill")).alias("crossed_over"))
-    referred = acts.filter(is_referral("refid"))
-    steps = scale.running(referred, ["bill"], F.substring("seq", 1, 7), ["seq"], lags={"prev": F.col("code")})
-    moves = steps.groupBy("bill").agg(F.count_if(F.col("prev").isNull() | (F.col("prev") != F.col("code"))).alias("referral_count"))
-    return last.join(moves, "bill", "left").withColumn("referral_count", F.coalesce("referral_count", F.lit(0)))
+def _coded(history: DataFrame) -> DataFrame:
+    return history.withColumn("_code", committee_code("refid")).withColumn("_tally", K.tally_text("action"))
 
 
-def floor_outcomes(history: DataFrame) -> DataFrame:
-    """Per chamber: passed, defeated or ''. A passage outranks any defeat."""
+def _position_aggs() -> list[Column]:
+    chamber = F.when(F.col("_code").startswith("H"), "House").otherwise("Senate")
+    at = F.when(F.col("_code").isNotNull(), F.col("seq"))
+    crossed = F.coalesce(F.bool_or(F.col("_code").isNotNull() & (chamber != home_chamber("bill"))), F.lit(False))
+    return [F.max_by("_code", at).alias("last_code"), F.max_by(chamber, at).alias("chamber"), crossed.alias("crossed_over")]
+
+
+def _floor_aggs() -> list[Column]:
     a = F.lower(F.col("action"))
 
     def side(chamber):
         rank = F.max(F.when(a.rlike(rf"\bpassed {chamber}\b|\bagreed to by {chamber}\b"), 2).when(a.rlike(rf"\bdefeated by {chamber}\b"), 1).otherwise(0))
         return F.when(rank == 2, "passed").when(rank == 1, "defeated").otherwise("")
 
-    return history.groupBy("bill").agg(side("house").alias("floor_house"), side("senate").alias("floor_senate"))
+    return [side("house").alias("floor_house"), side("senate").alias("floor_senate")]
+
+
+def _vote_agg() -> Column:
+    return F.max_by(F.struct("_tally", "date", "_code"), F.when(F.col("_tally") != "", F.col("seq"))).alias("_v")
+
+
+_VOTE = ("trim(_v._tally) AS vote_tally", "_v.date AS vote_date", "_v._code AS vote_code")
+
+
+def referrals(history: DataFrame) -> DataFrame:
+    """Number of successive distinct committees a bill was referred to."""
+    referred = history.select("bill", "seq", "refid", committee_code("refid").alias("code")).filter(is_referral("refid"))
+    steps = scale.running(referred, ["bill"], F.substring("seq", 1, 7), ["seq"], lags={"prev": F.col("code")})
+    return steps.groupBy("bill").agg(F.count_if(F.col("prev").isNull() | (F.col("prev") != F.col("code"))).alias("referral_count"))
+
+
+def positions(history: DataFrame) -> DataFrame:
+    """Last committee, chamber, crossover and number of successive referrals, from refids only."""
+    last = _coded(history).filter("_code IS NOT NULL").groupBy("bill").agg(*_position_aggs())
+    return last.join(referrals(history), "bill", "left").withColumn("referral_count", F.coalesce("referral_count", F.lit(0)))
+
+
+def floor_outcomes(history: DataFrame) -> DataFrame:
+    """Per chamber: passed, defeated or ''. A passage outranks any defeat."""
+    return history.groupBy("bill").agg(*_floor_aggs())
 
 
 def latest_votes(history: DataFrame) -> DataFrame:
     """Newest action that carries a tally."""
-    voted = history.withColumn("tally", K.tally_text("action")).filter("tally <> ''")
-    picked = voted.groupBy("bill").agg(F.max_by(F.struct("tally", "date", committee_code("refid").alias("code")), "seq").alias("v"))
-    return picked.select("bill", F.trim("v.tally").alias("vote_tally"), F.col("v.date").alias("vote_date"), F.col("v.code").alias("vote_code"))
+    return _coded(history).filter("_tally <> ''").groupBy("bill").agg(_vote_agg()).selectExpr("bill", *_VOTE)
+
+
+def history_state(history: DataFrame) -> DataFrame:
+    """Everything a record needs from the history but the referral count, in one scan and one shuffle."""
+    g = _coded(history).groupBy("bill").agg(F.max_by("date", "seq").alias("last_action_date"), F.count(F.lit(1)).alias("actions"), *_position_aggs(), *_floor_aggs(), _vote_agg())
+    return g.selectExpr("bill", "last_action_date", "actions", "last_code", "chamber", "crossed_over", "floor_house", "floor_senate", *_VOTE)
 
 
 def upcoming(docket: DataFrame, today: str) -> DataFrame:
@@ -75,10 +101,9 @@ def upcoming(docket: DataFrame, today: str) -> DataFrame:
 
 def bill_records(universe: DataFrame, history: DataFrame, docket: DataFrame, committees: DataFrame, today: str) -> DataFrame:
     """Universe joined with its four reduced sides; one row per bill, whether or not it has a history."""
-    ends = history.groupBy("bill").agg(F.max_by("date", "seq").alias("last_action_date"), F.count(F.lit(1)).alias("actions"))
     names = committees.select("code", "name")
     out = K.with_outcome(universe)
-    for side in (ends, positions(history), floor_outcomes(history), latest_votes(history), upcoming(docket, today)):
+    for side in (history_state(history), referrals(history), upcoming(docket, today)):
         out = out.join(side, "bill", "left")
     out = out.join(names.select(F.col("code").alias("last_code"), F.col("name").alias("last_committee")), "last_code", "left")
     out = out.join(names.select(F.col("code").alias("vote_code"), F.col("name").alias("vote_place")), "vote_code", "left")

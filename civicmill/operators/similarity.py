@@ -18,6 +18,7 @@ from civicmill import scale
 from civicmill.functions import classify as K
 from civicmill.functions import ids as I
 from civicmill.functions import text as T
+from civicmill.session import cut_lineage
 
 
 def title_key(c) -> Column:
@@ -93,12 +94,15 @@ def compare_pairs(pairs: DataFrame, texts: DataFrame, k: int = 8) -> DataFrame:
     Work is on distinct texts: every text is known by the digest of its normal form, shingles are cut once per
     digest, each pair of digests is compared once, and copies only join their result. Shingles travel as hashes.
     """
-    normal = texts.select("bill", T.normalize_text("text", unicode_forms=False).alias("n")).filter("n <> ''").select("bill", "n", F.md5("n").alias("d"))
-    digest = normal.select("bill", "d")
+    normal = T.normalize_text("text", unicode_forms=False)
+    digest = cut_lineage(texts.select("bill", normal.alias("n")).filter("n <> ''").select("bill", F.md5("n").alias("d")))
     known = pairs.join(digest.select(F.col("bill").alias("house"), F.col("d").alias("da")), "house", "left").join(
         digest.select(F.col("bill").alias("senate"), F.col("d").alias("db")), "senate", "left")
     different = known.filter(F.col("da") != F.col("db")).select("da", "db").distinct()
-    cut = normal.groupBy("d").agg(F.min("n").alias("n")).select("d", T.shingle_hashes("n", k).alias("s"))
+    # one text per digest that takes part in a comparison
+    wanted = different.select(F.col("da").alias("d")).unionByName(different.select(F.col("db").alias("d"))).distinct()
+    chosen = digest.join(wanted, "d", "left_semi").groupBy("d").agg(F.min("bill").alias("bill"))
+    cut = texts.select("bill", "text").join(chosen, "bill").select("d", normal.alias("n")).select("d", T.shingle_hashes("n", k).alias("s"))
     met = different.join(cut.select(F.col("d").alias("da"), F.col("s").alias("a")), "da").join(cut.select(F.col("d").alias("db"), F.col("s").alias("b")), "db")
     counts = met.select("da", "db", F.size(F.array_intersect("a", "b")).alias("_i"), F.size("a").alias("_na"), F.size("b").alias("_nb"))
     j = known.join(counts, ["da", "db"], "left")

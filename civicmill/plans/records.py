@@ -219,11 +219,11 @@ def _(t):
     return _queue(t).filter("NOT terminal").groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("queued"))
 
 
-@query("F07_sample")
+@query("F07_sample", "history", "SELECT bill FROM (SELECT DISTINCT bill FROM history) ORDER BY md5(bill||'#20260501'), bill LIMIT 100")
 def _(t):
     """Seeded sample of distinct keys; a hash order is the same on every run and cluster."""
     keys = t.history.select("bill").distinct()
-    return scale.global_top_k(keys, [F.xxhash64("bill", F.lit(20260501)), F.col("bill")], 100).select("bill")
+    return scale.global_top_k(keys, [F.md5(F.concat("bill", F.lit("#20260501"))), F.col("bill")], 100).select("bill")
 
 
 @query("F08_soonest_first", "bills history", f"WITH {_UP} SELECT b.bill, coalesce(next_date,'') AS next_date, row_number() OVER (ORDER BY next_date ASC NULLS LAST, substr(b.bill,1,2), b.num) AS place FROM bills b LEFT JOIN upc USING (bill)")

@@ -62,16 +62,19 @@ def _(t):
 _HREF = r'<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>'
 
 
-@query("A05_page_links", "", f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html,'{_HREF}',1)) AS href FROM pages), k AS (SELECT page_id, CASE WHEN regexp_extract(href,'[?&]page=([^&#]*)',1)<>'' THEN regexp_extract(href,'[?&]page=([^&#]*)',1) ELSE lower(href) END AS item, href FROM a)
- SELECT page_id, item, min(href) AS href, count(*) AS copies, CASE WHEN contains(min(href),'?') THEN 'relative_time' ELSE 'no_clock_source' END AS time_bucket FROM k GROUP BY 1,2""")
+_AGENDA = f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html,'{_HREF}',1)) AS href FROM pages), k AS (SELECT page_id, CASE WHEN regexp_extract(href,'[?&]page=([^&#]*)',1)<>'' THEN regexp_extract(href,'[?&]page=([^&#]*)',1) ELSE lower(href) END AS item, href FROM a)
+ SELECT page_id, item, min(href) AS href, count(*) AS copies, CASE WHEN contains(min(href),'?') THEN 'relative_time' ELSE 'no_clock_source' END AS time_bucket FROM k GROUP BY 1,2"""
+
+
+@query("A05_page_links", "", _AGENDA)
 def _(t):
     links = t.pages.select("page_id", F.explode(Rd.anchors("html")).alias("a")).select("page_id", "a.href", "a.label")
     return Rd.agenda_rows(links, "page")
 
 
-@query("A05_parsed_links")
+@query("A05_parsed_links", "", _AGENDA)
 def _(t):
-    """The same rows through a real HTML parser, which also sees anchors with markup inside."""
+    """The same rows through a real HTML parser, which also sees anchors with markup inside; the given pages have none."""
     return Rd.agenda_rows(Rd.page_links(t.pages), "page")
 
 

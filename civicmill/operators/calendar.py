@@ -431,17 +431,27 @@ def linkage(rows: DataFrame, events: DataFrame) -> DataFrame:
     ``rows``: row_id, bill, date, outcome, chamber. ``events``: event_id, bill, date, chamber, event_code,
     description, event_date. A blank event chamber fits both. X malformed, D no event, E no code, B would have
     been recovered, C otherwise.
+
+    Rows with the same bill, day, chamber and wording share one comparison, and so do events; a day on which one
+    bill collects very many copies costs one row per distinct wording on either side.
     """
-    target = rows.withColumn("_ok", (I.blank("bill") != "") & F.col("date").try_cast("date").isNotNull()).withColumn("_w", T.subject_tokens("outcome"))
-    ev = events.select("bill", "date", F.col("chamber").alias("_ec"), I.blank("event_code").alias("_code"), C.has_real_time("event_date").alias("_real"),
-                       T.subject_tokens("description").alias("_ew"), F.col("event_id").alias("_eid"))
-    met = target.filter("_ok").join(ev, ["bill", "date"]).filter((F.col("_ec") == "") | (F.col("chamber") == "") | (F.col("_ec") == F.col("chamber")))
+    keys = ["bill", "date", "chamber", "outcome"]
+    text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in keys]
+    asked = rows.select("row_id", *text)
+    distinct = asked.select(*keys).distinct().withColumn("_ok", (I.blank("bill") != "") & F.col("date").try_cast("date").isNotNull())
+    kinds = events.groupBy("bill", "date", F.coalesce("chamber", F.lit("")).alias("_ec"), I.blank("event_code").alias("_code"), C.has_real_time("event_date").alias("_real"),
+                           F.coalesce("description", F.lit("")).alias("_d")).agg(F.count(F.lit(1)).alias("_n"), F.min("event_id").alias("_eid"))
+    target = distinct.filter("_ok").withColumn("_w", T.subject_tokens("outcome"))
+    met = target.join(kinds.withColumn("_ew", T.subject_tokens("_d")), ["bill", "date"]).filter((F.col("_ec") == "") | (F.col("chamber") == "") | (F.col("_ec") == F.col("chamber")))
     shared = F.when(F.col("_real"), F.size(F.array_intersect("_w", "_ew"))).otherwise(0)
-    g = met.withColumn("_s", shared).groupBy("row_id").agg(n("matched"), F.count_distinct(F.when(F.col("_code") != "", F.col("_code"))).alias("codes"), F.bool_or("_real").alias("real_time"),
-                                                            F.max("_s").alias("overlap"), F.max_by(F.when(F.col("_s") > 0, F.col("_eid")), F.struct("_s", (-F.col("_eid")).alias("e"))).alias("best_event"))
-    out = target.join(g, "row_id", "left").na.fill(0, ["matched", "codes", "overlap"]).na.fill(False, ["real_time"])
+    coded = F.when(F.col("_code") != "", F.col("_code"))
+    g = met.withColumn("_s", shared).groupBy(*keys).agg(
+        F.sum("_n").alias("matched"), F.count_distinct(coded).alias("codes"), F.bool_or("_real").alias("real_time"), F.max("_s").alias("overlap"),
+        F.max_by(F.when(F.col("_s") > 0, F.col("_eid")), F.struct("_s", (-F.col("_eid")).alias("e"))).alias("best_event"))
+    judged = distinct.join(g, keys, "left").na.fill(0, ["matched", "codes", "overlap"]).na.fill(False, ["real_time"])
     cls = (F.when(~F.col("_ok"), "X").when(F.col("matched") == 0, "D").when(F.col("codes") == 0, "E").when(F.col("real_time") & (F.col("overlap") > 0), "B").otherwise("C"))
-    return out.select("row_id", "matched", "codes", "real_time", "overlap", "best_event", cls.alias("linkage"))
+    judged = judged.select(*keys, "matched", "codes", "real_time", "overlap", "best_event", cls.alias("linkage"))
+    return asked.join(judged, keys).select("row_id", "matched", "codes", "real_time", "overlap", "best_event", "linkage")
 
 
 def docket_times(names: DataFrame, scraped: DataFrame) -> DataFrame:

@@ -167,3 +167,11 @@ def test_two_tiers_step_down_then_up(spark):
     s = spark.createDataFrame(rows, "conf double, ok boolean")
     got = {r["tier"]: r["cutoff"] for r in L.two_tier_cutoffs(s, s, 3.2).collect()}
     assert got["A"] is not None and (got["B"] is None or got["B"] < got["A"])
+
+
+def test_linkage_of_many_copies(spark):
+    """One bill and day with thousands of equal rows on both sides stays one comparison."""
+    rows = spark.range(3000).selectExpr("id AS row_id", "'HB1' AS bill", "'2026-01-05' AS date", "'H' AS chamber", "'Reported from Finance' AS outcome")
+    events = spark.range(3000).selectExpr("id + 10 AS event_id", "'HB1' AS bill", "'2026-01-05' AS date", "'H' AS chamber", "'H1' AS event_code", "'finance report' AS description", "'2026-01-05T09:00:00' AS event_date")
+    got = O.linkage(rows, events).groupBy("linkage", "matched", "overlap", "best_event").count().collect()
+    assert [tuple(r) for r in got] == [("B", 3000, 1, 10, 3000)]

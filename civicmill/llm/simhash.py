@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicmill.llm.common import components
+from civicmill.llm.common import checked_broadcast, components
 from civicmill.session import cut_lineage
 
 BITS = 64
@@ -106,7 +106,8 @@ def near_edges(prints: DataFrame, radius: int) -> DataFrame:
     sizes = cut_lineage(sizes)  # most buckets hold one member and end here
     close = F.expr(f"bit_count(src ^ dst) <= {radius}")
     twos = sizes.filter("n = 2").select("j", F.col("low").alias("src"), F.col("high").alias("dst")).filter(close)
-    members = cut_lineage(placed.join(sizes.filter("n > 2").select(*bucket, "n"), bucket))
+    larger = sizes.filter("n > 2").select(*bucket, "n")
+    members = cut_lineage(placed.join(checked_broadcast(larger, larger.count()), bucket))
     small = members.filter(F.col("n") <= BUCKET)
     pairs = small.select(*bucket, F.col("fp").alias("src")).join(small.select(*bucket, F.col("fp").alias("dst")), bucket)
     verified = twos.unionByName(pairs.filter("src < dst").filter(close).select("j", "src", "dst")).distinct()

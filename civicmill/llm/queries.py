@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicmill.llm import decontamination, licenses, packing, sharding, simhash, topk, urls
+from civicmill.llm import decontamination, html, licenses, lm_score, packing, quality, sharding, simhash, topk, urls
 
 RULES = (
     urls.Rule("allow", "com", "/"),
@@ -48,11 +48,23 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id", "lang"])
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.withColumnRenamed("row_id", "doc_id")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -63,6 +75,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_topk, op3_urls, op4_decontamination, op6_packing, op9_licenses, op10_simhash)
+    f.__name__: f for f in (op1_sharding, op2_topk, op3_urls, op4_decontamination, op5_quality, op6_packing, op7_lm_score, op8_html, op9_licenses, op10_simhash)
 }
 ORACLES: dict[str, str] = {}

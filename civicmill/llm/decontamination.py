@@ -44,12 +44,12 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = 0.8,
     the pairs are distinct, so repeated rows and copies cost one count each. Other columns are ignored.
     """
     classes, table = item_shingles(items, width, item_text, item_id)
-    sketch = table.withColumn("_keep", sketch_size(F.col("n"), containment)).filter("place <= _keep").select("hash", "item")
+    sketch = table.withColumn("_keep", sketch_size(F.col("n"), containment)).filter("place <= _keep").select("hash", "set_hash")
     n_sketch = sketch.count()
     widths = sorted(r[0] for r in table.select("width").distinct().collect())  # at most ``width`` values
     texts = docs.select(text).withColumn("words", words_of(F.col(text)))
     found = texts.select(F.md5(F.col(text)).alias("text_hash"), F.explode(_hashes("words", widths)).alias("hash"))
-    candidates = found.join(checked_broadcast(sketch, n_sketch), "hash").select("text_hash", "item").distinct()
+    candidates = found.join(checked_broadcast(sketch, n_sketch), "hash").select("text_hash", "set_hash").distinct()
     candidates = cut_lineage(candidates)
     # only texts with a candidate are read as shingles again, and only shingles of a candidate item go on
     n_texts = candidates.select("text_hash").distinct().count()
@@ -57,15 +57,15 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = 0.8,
     again = docs.select(text).withColumn("text_hash", F.md5(F.col(text))).join(wanted, "text_hash", "left_semi")
     again = again.withColumn("words", words_of(F.col(text))).select("text_hash", F.explode(_strings("words", widths)).alias("shingle"))
     n_table = table.count()
-    hits = again.join(checked_broadcast(table.select("shingle", "item", "n"), n_table), "shingle").distinct()
-    counted = hits.groupBy("text_hash", "item", "n").agg(F.count(F.lit(1)).alias("n_found"))
+    hits = again.join(checked_broadcast(table.select("shingle", "set_hash", "item", "n"), n_table), "shingle").distinct()
+    counted = hits.groupBy("text_hash", "set_hash", "item", "n").agg(F.count(F.lit(1)).alias("n_found"))
     verified = counted.filter(F.col("n_found") >= F.ceil(F.col("n") * F.lit(containment) - 1e-9))
-    verified = verified.join(candidates, ["text_hash", "item"], "left_semi")
+    verified = verified.join(candidates, ["text_hash", "set_hash"], "left_semi")
     return verified.select("text_hash", F.col("item").alias("item_id"), F.col("n").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("n")).alias("containment"))
 
 
 def item_shingles(items: DataFrame, width: int = 5, text: str = "text", item_id: str = "item_id") -> tuple[DataFrame, DataFrame]:
-    """(classes: item_id, item), (table: item, n, width, shingle, hash, place): classes of equal shingle sets."""
+    """(classes: item_id, item), (table: set_hash, item, n, width, shingle, hash, place): classes of equal shingle sets."""
     worded = items.select(F.col(item_id).alias("item_id"), words_of(F.col(text)).alias("words")).filter("size(words) > 0")
     worded = worded.withColumn("width", F.least(F.size("words"), F.lit(width)))
     sets = worded.withColumn("set", F.array_sort(F.array_distinct(shingles_of("words", F.col("width"))))).withColumn("set_hash", F.md5(F.array_join("set", "\n")))
@@ -75,8 +75,8 @@ def item_shingles(items: DataFrame, width: int = 5, text: str = "text", item_id:
     one = sets.join(named, "set_hash").filter(F.col("item_id").eqNullSafe(F.col("item"))).dropDuplicates(["set_hash"])
     # an item is a short text: its own shingles are ordered inside its row
     ordered = F.array_sort(F.transform("set", lambda s: F.struct(F.xxhash64(s).alias("hash"), s.alias("shingle"))))
-    table = one.select("item", "width", F.size("set").alias("n"), F.posexplode(ordered).alias("place", "s"))
-    return classes, cut_lineage(table.select("item", "n", "width", "s.shingle", "s.hash", (F.col("place") + 1).alias("place")))
+    table = one.select("set_hash", "item", "width", F.size("set").alias("n"), F.posexplode(ordered).alias("place", "s"))
+    return classes, cut_lineage(table.select("set_hash", "item", "n", "width", "s.shingle", "s.hash", (F.col("place") + 1).alias("place")))
 
 
 def _strings(words: str, widths: list[int]) -> Column:

@@ -166,15 +166,19 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 2, prints: int = 3,
     Rows without an id yield to those with one. Among rows that share the chosen id (or all lack one) an arbitrary one
     stays. Only those few repeated rows are regrouped; all others pass by a semi-join on their id.
     """
-    groups = cut_lineage(near_groups(docs, radius, width, prints, distinct, text, row_id))
+    # own names inside, so that no column of ``docs`` can clash
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, body = f"c{names.index(row_id)}", f"c{names.index(text)}"
+    groups = cut_lineage(near_groups(rows, radius, width, prints, distinct, body, key))
     chosen = groups.filter(F.col("row_id").eqNullSafe(F.col("component_id")))
     chosen = cut_lineage(chosen.groupBy("root", F.col("row_id").alias("_id")).agg(F.min("f").alias("_f")))
     often = groups.filter("row_id is not null").groupBy(F.col("row_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
     once = chosen.join(often.filter("_n = 1"), "_id").select("_id")
-    alone = docs.join(once, docs[row_id] == once["_id"], "left_semi")
+    alone = rows.join(once, F.col(key) == F.col("_id"), "left_semi")
     # ids that several rows carry: the fingerprints tell those rows apart, and one row per group is picked
     several = chosen.join(once, "_id", "left_anti")
-    again = docs.join(several.select("_id").distinct(), docs[row_id].eqNullSafe(F.col("_id")), "left_semi")
-    again = with_fingerprints(again, text, "_print", width, prints, distinct)
-    picked = again.join(several, again[row_id].eqNullSafe(several["_id"]) & (again["_print"] == several["_f"])).dropDuplicates(["root"])
-    return alone.unionByName(picked.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    again = rows.join(several.select("_id").distinct(), F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+    again = with_fingerprints(again, body, "_print", width, prints, distinct)
+    picked = again.join(several, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_f"))).dropDuplicates(["root"])
+    return alone.unionByName(picked.select(*rows.columns)).toDF(*names)

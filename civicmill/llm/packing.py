@@ -109,12 +109,22 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> Plan:
-    """Which lengths share a sequence, given how many pieces have each length.
+    """Which lengths share a sequence, given how many pieces have each length: the best of three plans.
 
-    From the longest length down: full ones stand alone. A gap is filled exactly if a single length, a pair or a
-    triple with that sum is at hand; as many sequences at once are made as the counts allow. Pieces that no exact
-    filling takes are placed best fit, longest first, all pieces of a length and all gaps of a size together. Works
-    on one count per length: its work and its result are bounded by ``capacity``, not by the number of pieces.
+    Each plan fills gaps exactly by single lengths, by pairs too, or by triples too, and places the rest best fit.
+    More exact filling uses up small pieces early, which may cost more later than it saves; ties go to more of it.
+    Works on one count per length: its work and its result are bounded by ``capacity``, not by the number of pieces.
+    """
+    plans = [exact_complements(counts, capacity, parts) for parts in (3, 2, 1)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def exact_complements(counts: dict[int, int], capacity: int, most: int) -> Plan:
+    """From the longest length down, sequences that up to ``most`` further lengths fill exactly; then best fit.
+
+    The gap above a length is looked up among the lengths at hand, then as the sum of a pair, then of a triple, larger
+    parts first; as many sequences are made at once as the counts allow. Pieces that no exact filling takes are placed
+    best fit, longest first, all pieces of a length and all gaps of a size together.
     """
     left = {length: n for length, n in counts.items() if n > 0}
     plan: Plan = []
@@ -129,10 +139,9 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> Plan:
                 if not left[p]:
                     del left[p]
 
-    def pairs(total: int, most: int):
-        for a in sorted((x for x in left if total / 2 <= x <= min(total - 1, most)), reverse=True):
-            if a in left and total - a in left:
-                yield a, total - a
+    def pairs(total: int, largest: int) -> list[tuple[int, int]]:
+        """Pairs at hand with the sum ``total``, the larger part first and at most ``largest``."""
+        return sorted(((a, total - a) for a in left if total / 2 <= a <= min(total - 1, largest) and total - a in left), reverse=True)
 
     if capacity in left:
         take((capacity,))
@@ -142,15 +151,17 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> Plan:
         gap = capacity - longest
         if gap in left:
             take((longest, gap))
-        if longest in left:
-            for a, b in list(pairs(gap, longest)):
-                if longest in left:
-                    take((longest, a, b))
-        if longest in left:
+        if longest in left and most > 1:
+            for pair in pairs(gap, longest):
+                take((longest, *pair))
+                if longest not in left:
+                    break
+        if longest in left and most > 2:
             for a in sorted((x for x in left if x <= min(gap - 2, longest)), reverse=True):
-                for b, c in list(pairs(gap - a, a)):
-                    if longest in left and a in left:
-                        take((longest, a, b, c))
+                for pair in pairs(gap - a, a):
+                    take((longest, a, *pair))
+                    if longest not in left or a not in left:
+                        break
                 if longest not in left:
                     break
         if longest in left:

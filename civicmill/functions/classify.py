@@ -283,11 +283,12 @@ def metrics_map(cell) -> Column:
 
 
 def condition_stem(message) -> Column:
-    """Message with dates and numbers masked, so one recurring condition stays one group."""
+    """Message with dates and numbers masked, so one recurring condition stays one group. Whole: cut it for display only."""
+    # The four patterns that make two messages one condition.
     m = F.trim(F.regexp_replace(col(message), r"(?is)\s*(\(debug:|only-full=\[|only-in-full|only-date=|only-bill=|only-incr=).*", ""))
     m = F.regexp_replace(m, r"\d{4}-\d{2}-\d{2}", "#date")
     m = F.regexp_replace(m, r"[0-9][0-9,.]*", "#")
-    return F.substring(F.lower(F.regexp_replace(m, r"\s+", " ")), 1, 120)
+    return F.lower(F.regexp_replace(m, r"\s+", " "))
 
 
 def canary_state(metric) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -61,10 +62,11 @@ def description_key(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
 
 
-def reviewer_text(c, width: int = 80) -> Column:
-    """Description without tag block and chamber letter, cut to ``width``."""
+def reviewer_text(c, width: int | None = 80) -> Column:
+    """Description without tag block and chamber letter, cut to ``width`` for display; whole if that is None."""
     text = F.regexp_replace(blank(c), r"^[^A-Za-z0-9]*\[[^\]]*\]\s*", "")
-    return F.substring(F.regexp_replace(text, r"^\s*[HS]\s+", ""), 1, width)
+    text = F.regexp_replace(text, r"^\s*[HS]\s+", "")
+    return text if width is None else F.substring(text, 1, width)
 
 
 def title_head(c) -> Column:
@@ -130,21 +132,21 @@ def flag_words(c, include: Sequence[str], exclude: Sequence[str] = ()) -> Column
 
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFKC")
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def normalize_text(c, drop_boilerplate: bool = True, unicode_forms: bool = True) -> Column:
+def normalize_text(c, drop_boilerplate: bool = True) -> Column:
     """Comparison-ready text. Presentation goes, wording stays; '§' survives as part of a citation.
 
-    Text that is already ASCII skips the only step Spark has no built-in for (NFKC); callers who know their
-    text is composed can turn it off.
+    NFKC is the only step Spark has no built-in for: its function gets a null in place of pure ASCII text, which the
+    form leaves as it is, so such text does not travel to Python.
     """
     text = F.coalesce(col(c), F.lit(""))
     for entity, char in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.regexp_replace(text, r"<[^>]+>", " ")
-    if unicode_forms:
-        text = nfkc(text)
+    raw = col(c)
+    text = F.coalesce(nfkc(F.when(F.length(raw) != F.octet_length(raw), text)), text)
     text = F.regexp_replace(text, r"(?m)^\s*\d{1,4}\s", " ")
     text = F.lower(text)
     text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s§]", " ")

@@ -263,7 +263,7 @@ def outages(signals: DataFrame) -> DataFrame:
 
     Each failure belongs to the passes seen before it; the pass that follows closes the group.
     """
-    counted = scale.running(signals, ["cls", "detector"], F.date_trunc("day", "ts"), ["ts", "event_id"], sums={"passes": F.when(F.col("ok"), 1).otherwise(0).cast("bigint")})
+    counted = scale.running(signals, ["cls", "detector"], ["ts", "event_id"], sums={"passes": F.when(F.col("ok"), 1).otherwise(0).cast("bigint")})
     groups = counted.groupBy("cls", "detector", "passes").agg(F.min(F.when(~F.col("ok"), F.col("ts"))).alias("start"), F.count_if(~F.col("ok")).alias("failures"),
                                                             F.min(F.when(F.col("ok"), F.col("ts"))).alias("pass_ts"))
     closing = groups.select("cls", "detector", (F.col("passes") - 1).alias("passes"), F.col("pass_ts").alias("end"))
@@ -289,7 +289,7 @@ def delta_alarm(prior, current, prior_universe, current_universe) -> Column:
 
 def cycle_gaps(runs: DataFrame, keys: Sequence[str], *, warn: float = 360, stale_days: int = 30, offset_hours: int = -5) -> DataFrame:
     """Minutes since the previous cycle with its cause and the overnight quiet part removed."""
-    lagged = scale.running(runs, list(keys), F.date_trunc("day", "ts"), ["ts", "event_id"], lags={"prev_ts": F.col("ts")})
+    lagged = scale.running(runs, list(keys), ["ts", "event_id"], lags={"prev_ts": F.col("ts")})
     gap = (C.micros("ts") - C.micros("prev_ts")) / 60e6
     quiet = C.quiet_minutes("prev_ts", "ts", offset_hours)
     cause = (F.when(F.col("prev_ts").isNull(), "first_run").when(gap > stale_days * 1440, "stale_cursor").when(gap - quiet > warn, "outage").otherwise("normal"))
@@ -312,10 +312,9 @@ def activity_windows(rows: DataFrame, now: str, *, lead: int = 30, tail: int = 1
 def merge_spans(spans: DataFrame) -> DataFrame:
     """Fewest spans covering the same time. Equal spans are folded first; one running maximum, no range join."""
     distinct = spans.groupBy("start").agg(F.max("end").alias("end"))
-    day = F.date_trunc("day", "start")
-    seen = scale.running(distinct, [], day, ["start"], maxima={"reach": F.col("end")})
+    seen = scale.running(distinct, [], ["start"], maxima={"reach": F.col("end")})
     marked = seen.withColumn("_new", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0).cast("bigint")).drop("reach")
-    island = scale.running(marked, [], F.date_trunc("day", "start"), ["start"], sums={"island": F.col("_new")})
+    island = scale.running(marked, [], ["start"], sums={"island": F.col("_new")})
     return island.groupBy("island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
@@ -359,26 +358,30 @@ def resolution_ladder(rows: DataFrame, rungs: Sequence[tuple[str, DataFrame, Seq
     return out.withColumn("_f", found).select(*rows.columns, F.col("_f.time").alias("resolved_time"), F.col("_f.origin").alias("resolved_origin"))
 
 
-def relative_chain(nodes: DataFrame, rounds: int = 5) -> DataFrame:
-    """Clock of every (date, name): published, or the anchor's clock plus an offset, through any chain.
+def relative_chain(nodes: DataFrame) -> DataFrame:
+    """Clock of every (date, name): published, or the anchor's clock plus an offset, through a chain of any length.
 
     ``nodes``: date, name, minutes (published, or null), anchor, offset. Published clocks never move. A zero
     offset becomes one minute so a chain stays ordered. Missing anchors and cycles stay unresolved. Chains
-    are halved each round by pointer doubling, with a written table per round.
+    are halved each round by pointer doubling, with a written table of the open rows per round, until no more resolve.
     """
     state = nodes.select("date", "name", "minutes", F.when(F.col("minutes").isNull(), F.col("anchor")).alias("anchor"),
                          F.when(F.coalesce("offset", F.lit(0)) == 0, 1).otherwise(F.col("offset")).cast("bigint").alias("offset"))
-    before = None
-    for _ in range(rounds):
-        ahead = state.select("date", F.col("name").alias("anchor"), F.col("minutes").alias("_m"), F.col("anchor").alias("_a"), F.col("offset").alias("_o"))
-        state = cut_lineage(state.join(ahead, ["date", "anchor"], "left").select(
-            "date", "name", F.coalesce("minutes", F.col("_m") + F.col("offset")).cast("bigint").alias("minutes"),
-            F.when(F.col("minutes").isNull() & F.col("_m").isNull(), F.col("_a")).alias("anchor"), (F.col("offset") + F.coalesce("_o", F.lit(0))).alias("offset")))
-        waiting = state.filter("minutes IS NULL AND anchor IS NOT NULL").count()
-        if waiting == 0 or waiting == before:
+    is_open = F.col("minutes").isNull() & F.col("anchor").isNotNull()
+    state = state.withColumn("minutes", F.col("minutes").cast("bigint"))
+    settled, waiting, before = state.filter(~is_open), state.filter(is_open), None
+    while True:
+        ahead = settled.unionByName(waiting).select("date", F.col("name").alias("anchor"), F.col("minutes").alias("_m"), F.col("anchor").alias("_a"), F.col("offset").alias("_o"))
+        moved = cut_lineage(waiting.join(ahead, ["date", "anchor"], "left").select(
+            "date", "name", (F.col("_m") + F.col("offset")).cast("bigint").alias("minutes"),
+            F.when(F.col("_m").isNull(), F.col("_a")).alias("anchor"), (F.col("offset") + F.coalesce("_o", F.lit(0))).alias("offset")))
+        settled, waiting = settled.unionByName(moved.filter(~is_open)), moved.filter(is_open)
+        still = waiting.count()
+        if still == 0 or still == before:
             break
-        before = waiting
-    return state.select("date", "name", "minutes", F.when(F.col("minutes").isNull(), "relative_unresolved").otherwise("resolved").alias("time_class"))
+        before = still
+    out = settled.unionByName(waiting)
+    return out.select("date", "name", "minutes", F.when(F.col("minutes").isNull(), "relative_unresolved").otherwise("resolved").alias("time_class"))
 
 
 def standing_pattern(observed: DataFrame, anchors: DataFrame, targets: DataFrame, first_minute: int = 420, last_minute: int = 1380) -> DataFrame:

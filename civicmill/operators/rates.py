@@ -59,16 +59,16 @@ def usual_place(rows: DataFrame, subject: str, place: str, minimum: int = 5) ->
     return per.join(g, [subject, "n"]).groupBy(subject, "total").agg(F.min(place).alias("usual"))
 
 
-def rank_in_owner(rows: DataFrame, owner: str, order: str, band: int = 65536) -> DataFrame:
-    """nth filing of its owner; a hot owner is numbered in bands."""
-    return scale.row_numbers(rows, [owner], F.floor(F.col(order) / band), [order], "nth")
+def rank_in_owner(rows: DataFrame, owner: str, order: str) -> DataFrame:
+    """nth filing of its owner; a hot owner is numbered in buckets."""
+    return scale.row_numbers(rows, [owner], [order], "nth")
 
 
 def late_cutoff(rows: DataFrame, day: str, share: float = 0.90) -> DataFrame:
     """Day at position floor(n * share) of the sorted days. Works on counts per day, of which there are few."""
     days = rows.filter(F.col(day).isNotNull()).groupBy(F.col(day).alias("day")).agg(n())
     at = days.agg(F.floor(F.sum("n") * share + 1e-9)).scalar()
-    run = scale.running(days, [], F.substring("day", 1, 7), ["day"], sums={"upto": F.col("n")})
+    run = scale.running(days, [], ["day"], sums={"upto": F.col("n")})
     return run.filter(F.col("upto") > at).agg(F.min("day").alias("cutoff"))
 
 
@@ -128,7 +128,7 @@ def score_features(train: DataFrame, test: DataFrame, features: Sequence[str], *
 
 def temporal_split(rows: DataFrame, period: str, order: str, share: float = 0.5) -> DataFrame:
     """First filed part of each period learns, the rest tests. Cut by the exact position in the period."""
-    numbered = scale.row_numbers(rows, [period], F.floor(F.col(order) / 65536), [order], "_i")
+    numbered = scale.row_numbers(rows, [period], [order], "_i")
     size = rows.groupBy(period).agg(n("_n"))
     return numbered.join(size, period).withColumn("learn", F.col("_i") <= F.col("_n") * share).drop("_i", "_n")
 

@@ -65,7 +65,7 @@ _VOTE = ("trim(_v._tally) AS vote_tally", "_v.date AS vote_date", "_v._code AS v
 def referrals(history: DataFrame) -> DataFrame:
     """Number of successive distinct committees a bill was referred to."""
     referred = history.select("bill", "seq", "refid", committee_code("refid").alias("code")).filter(is_referral("refid"))
-    steps = scale.running(referred, ["bill"], F.substring("seq", 1, 7), ["seq"], lags={"prev": F.col("code")})
+    steps = scale.running(referred, ["bill"], ["seq"], lags={"prev": F.col("code")})
     return steps.groupBy("bill").agg(F.count_if(F.col("prev").isNull() | (F.col("prev") != F.col("code"))).alias("referral_count"))
 
 

@@ -7,12 +7,8 @@ through posting lists no longer than a stated bound.
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from civicmill import scale
 from civicmill.functions import classify as K
@@ -34,12 +30,16 @@ def companion_groups(bills: DataFrame) -> DataFrame:
     return g.filter("house > 0 AND senate > 0").withColumn("pairs", F.col("house") * F.col("senate"))
 
 
-def pairs_of(bills: DataFrame, tracked: DataFrame) -> DataFrame:
-    """Every same-title counterpart in the other chamber for a tracked list of bills."""
+def counterparts_of(bills: DataFrame, tracked: DataFrame) -> DataFrame:
+    """For a tracked list of bills: number, first and last of the same-title counterparts in the other chamber.
+
+    Counterparts are reduced per title and side first, so a common title costs one row however many bills track it.
+    """
     b = bills.withColumn("key", title_key("title")).filter("key <> ''").select("session", "key", "bill", F.substring("bill", 1, 2).alias("side")).distinct()
     mine = b.join(tracked.select("bill").distinct(), "bill", "left_semi")
-    other = b.select("session", "key", F.col("bill").alias("counterpart"), F.col("side").alias("_s"))
-    return mine.join(other, ["session", "key"]).filter(F.col("side") != F.col("_s")).select("bill", "counterpart", "key")
+    ends = b.groupBy("session", "key", F.when(F.col("side") == "HB", "SB").otherwise("HB").alias("side")).agg(
+        F.count(F.lit(1)).alias("counterparts"), F.min("bill").alias("first"), F.max("bill").alias("last"))
+    return mine.join(ends, ["session", "key", "side"]).select("bill", "key", "counterparts", "first", "last")
 
 
 def divergence(bills: DataFrame, cut: str) -> DataFrame:
@@ -94,7 +94,7 @@ def compare_pairs(pairs: DataFrame, texts: DataFrame, k: int = 8) -> DataFrame:
     Work is on distinct texts: every text is known by the digest of its normal form, shingles are cut once per
     digest, each pair of digests is compared once, and copies only join their result. Shingles travel as hashes.
     """
-    normal = T.normalize_text("text", unicode_forms=False)
+    normal = T.normalize_text("text")
     digest = cut_lineage(texts.select("bill", normal.alias("n")).filter("n <> ''").select("bill", F.md5("n").alias("d")))
     known = pairs.join(digest.select(F.col("bill").alias("house"), F.col("d").alias("da")), "house", "left").join(
         digest.select(F.col("bill").alias("senate"), F.col("d").alias("db")), "senate", "left")
@@ -133,51 +133,38 @@ def rarest_tokens(docs: DataFrame, key: str, text: str, k: int = 12) -> DataFram
     return scale.top_k(tokens.join(df, "tok"), [key], [F.col("df"), F.col("tok")], k).select(key, "tok", "df")
 
 
-def nearest(queries: DataFrame, items: DataFrame, cap: int, top: int = 40) -> DataFrame:
-    """Best labelled neighbour by token Jaccard among the ``top`` items sharing most tokens.
+def nearest(queries: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
+    """Best other item by token Jaccard, among all items with a similarity of at least ``least``; ties: smaller item.
 
-    ``queries``: key, tok. ``items``: item, tok. Tokens in more than ``cap`` items are not looked up (they carry
-    no signal, by definition of the operator), so a posting list never exceeds ``cap``. Ties: more shared
-    tokens, then the smaller item.
+    ``queries``: key, tok. ``items``: item, tok. Exact: sets that similar share one of the first
+    n - ceil(least * n) + 1 tokens in an order common to both sides, here the rarest first, so frequent tokens are
+    join keys only for sets that have little else. Equal token sets are one set: copies are never paired. A key is
+    not its own neighbour. Keys without a neighbour have no row.
     """
-    df = items.groupBy("tok").agg(F.count(F.lit(1)).alias("_df")).filter(F.col("_df") <= cap)
-    postings = items.join(df, "tok", "left_semi")
-    shared = queries.join(postings, "tok").groupBy("key", "item").agg(F.count(F.lit(1)).alias("shared"))
-    best = scale.top_k(shared, ["key"], [F.desc("shared"), F.col("item")], top, "place")
-    # exact overlap, counting also the tokens that were too common to be looked up
-    sizes = lambda df, k, out: df.groupBy(k).agg(F.count(F.lit(1)).alias(out))
-    common = items.join(items.groupBy("tok").agg(F.count(F.lit(1)).alias("_df")).filter(F.col("_df") > cap), "tok", "left_semi")
-    # common tokens per key as one short list each: there are at most as many of them as the key has tokens
-    qc = queries.join(common.select("tok").distinct(), "tok", "left_semi").groupBy("key").agg(F.collect_list("tok").alias("_qc"))
-    ic = common.groupBy("item").agg(F.collect_list("tok").alias("_ic"))
-    none = F.array().cast("array<string>")
-    j = best.join(sizes(queries, "key", "_nq"), "key").join(sizes(items, "item", "_ni"), "item").join(qc, "key", "left").join(ic, "item", "left")
-    both = F.col("shared") + F.size(F.array_intersect(F.coalesce("_qc", none), F.coalesce("_ic", none)))
-    j = j.withColumn("similarity", both / (F.col("_nq") + F.col("_ni") - both))
-    picked = j.groupBy("key").agg(F.max_by(F.struct("item", "similarity"), F.struct("similarity", (-F.col("place")).alias("p"))).alias("b"))
-    return picked.select("key", "b.item", "b.similarity").filter("similarity > 0")
-
-
-@F.pandas_udf(DoubleType())
-def _difference(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x, y):
-        wa, wb = (x or "").split(), (y or "").split()
-        if not wa or not wb:
-            return None
-        return round((1.0 - difflib.SequenceMatcher(None, wa, wb, autojunk=False).ratio()) * 100.0, 1)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def difference_pct(a, b) -> Column:
-    """Share of the word sequence that differs, in percent; null when a side is missing, 0 when digests agree."""
-    na, nb = T.normalize_text(a), T.normalize_text(b)
-    return _difference(na, nb)
+    sides = queries.select(F.col("key").alias("k"), "tok", F.lit(True).alias("asks")).unionByName(items.select(F.col("item").alias("k"), "tok", F.lit(False).alias("asks"))).distinct()
+    df = sides.filter("not asks").groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    ordered = sides.join(df, "tok", "left").groupBy("k", "asks").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("o"))
+    sets = cut_lineage(ordered.select("k", "asks", F.transform("o", lambda x: x["tok"]).alias("w"), F.md5(F.array_join(F.transform("o", lambda x: x["tok"]), " ")).alias("d")))
+    distinct = lambda asks: sets.filter(F.col("asks") == asks).groupBy("d").agg(F.first("w").alias("w")).withColumn("n", F.size("w"))
+    first = F.slice("w", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
+    asked = distinct(True).withColumn("tok", F.explode(first))
+    offered = distinct(False).withColumn("tok", F.explode(first)).select(F.col("d").alias("e"), F.col("w").alias("v"), F.col("n").alias("m"), "tok")
+    fits = F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
+    shared = F.size(F.array_intersect("w", "v"))
+    met = asked.join(offered, "tok").filter(fits).select("d", "e", (shared / (F.col("n") + F.col("m") - shared)).alias("similarity"))
+    met = met.filter(F.col("similarity") >= least - 1e-9).distinct()
+    # the two smallest items of a set: one of them is another than the key
+    two = scale.top_k(sets.filter("not asks").select(F.col("d").alias("e"), F.col("k").alias("item")), ["e"], [F.col("item")], 2, "place")
+    offers = met.join(two, "e")
+    best = scale.top_k(offers, ["d"], [F.desc("similarity"), F.col("item")], 2, "rank").select("d", "item", "similarity")
+    found = sets.filter("asks").select(F.col("k").alias("key"), "d").join(best, "d").filter("key <> item")
+    picked = found.groupBy("key").agg(F.min_by(F.struct("item", "similarity"), F.struct((-F.col("similarity")).alias("s"), "item")).alias("b"))
+    return picked.select("key", "b.item", "b.similarity")
 
 
 def version_pairs(versions: DataFrame) -> DataFrame:
     """Consecutive versions and first-to-last of each bill. A version without text stays in the chain."""
-    lagged = scale.running(versions, ["bill"], F.floor(F.col("version") / 64), ["version"], lags={"_p": F.struct("label", "text", "version")})
+    lagged = scale.running(versions, ["bill"], ["version"], lags={"_p": F.struct("label", "text", "version")})
     steps = lagged.filter(F.col("_p").isNotNull()).select("bill", F.lit("step").alias("kind"), F.col("_p.label").alias("from_label"), F.col("label").alias("to_label"),
                                                          F.col("_p.text").alias("text_a"), F.col("text").alias("text_b"))
     ends = versions.groupBy("bill").agg(F.min_by(F.struct("label", "text"), "version").alias("a"), F.max_by(F.struct("label", "text"), "version").alias("z"), F.count(F.lit(1)).alias("n")).filter("n >= 2")

@@ -163,7 +163,7 @@ def peer_agreement(votes: DataFrame, groups: DataFrame, min_shared: int = 10, mi
     """
     d = votes.select("vote_id", "member", "yes")
     contested = d.groupBy("vote_id").agg(F.count_if("yes").alias("y"), F.count_if(~F.col("yes")).alias("x")).filter((F.col("y") >= min_side) & (F.col("x") >= min_side))
-    numbered = scale.row_numbers(contested.select("vote_id"), [], F.substring(F.md5("vote_id"), 1, 3), ["vote_id"], "i")
+    numbered = scale.row_numbers(contested.select("vote_id"), [], ["vote_id"], "i")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("i") % 62).cast("int"))
     words = (d.join(numbered, "vote_id").groupBy("member", F.floor(F.col("i") / 62).alias("block"))
              .agg(F.coalesce(F.bit_or(F.when(F.col("yes"), bit)), F.lit(0).cast("bigint")).alias("y"),
@@ -212,23 +212,34 @@ def resolve_identities(names: DataFrame, roster: DataFrame) -> DataFrame:
     return n.select("name", "chamber", F.coalesce("p1", "p2", "p3", "p4", "p5").alias("person"), tier.alias("tier"), synthetic.alias("stand_in"))
 
 
-def climb(nodes: DataFrame, rounds: int = 6) -> DataFrame:
-    """Value of the nearest ancestor (or self) that has one. ``nodes``: id, parent, value.
+def climb(nodes: DataFrame) -> DataFrame:
+    """Value of the nearest ancestor (or self) that has one, at any depth. ``nodes``: id, parent, value.
 
-    Pointer doubling: after r rounds chains of 2^r links are resolved. Cycles without a value stay null.
-    Each round is cut with a written table and the loop ends when nothing changes.
+    Pointer doubling: round r resolves chains of 2^r links, so the rounds grow with the logarithm of the depth. Only
+    open rows are rewritten, as a table per round; settled ones are read where an open row points to them. Ends when
+    no row is open or their number no longer falls: what is left then runs into a cycle and stays null.
     """
-    state = nodes.select("id", F.when(F.col("value").isNull(), F.col("parent")).alias("next"), "value", F.lit(0).alias("steps"))
-    open_rows = None
-    for _ in range(rounds):
-        ahead = state.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("value").alias("_value"))
-        state = cut_lineage(state.join(ahead, "next", "left").select(
-            "id", F.when(F.coalesce("value", "_value").isNull(), F.col("_next")).alias("next"), F.coalesce("value", "_value").alias("value")))
-        still = state.filter(F.col("value").isNull() & F.col("next").isNotNull()).count()
-        if still == 0 or still == open_rows:
-            break
-        open_rows = still
-    return state.select("id", "value")
+    state = nodes.select("id", F.when(F.col("value").isNull(), F.col("parent")).alias("next"), "value")
+    is_open = F.col("value").isNull() & F.col("next").isNotNull()
+    settled, open_rows, before = state.filter(~is_open), state.filter(is_open), None
+    while True:
+        ahead = settled.unionByName(open_rows).select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("value").alias("_value"))
+        moved = cut_lineage(open_rows.join(ahead, "next", "left").select("id", F.when(F.col("_value").isNull(), F.col("_next")).alias("next"), F.col("_value").alias("value")))
+        settled, open_rows = settled.unionByName(moved.filter(~is_open)), moved.filter(is_open)
+        still = open_rows.count()
+        if still == 0 or still == before:
+            return settled.unionByName(open_rows).select("id", "value")
+        before = still
+
+
+def root_of(nodes: DataFrame) -> DataFrame:
+    """Topmost ancestor of each node, a root being its own. ``nodes``: id, parent. Null on a cycle.
+
+    A parent without a row of its own is a root.
+    """
+    named = nodes.select("id").unionByName(nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("id"))).distinct()
+    parents = named.join(nodes.filter("parent IS NOT NULL").groupBy("id").agg(F.min("parent").alias("parent")), "id", "left")
+    return climb(parents.withColumn("value", F.when(F.col("parent").isNull(), F.col("id")))).withColumnRenamed("value", "root")
 
 
 def vote_facts(votes: DataFrame, events: DataFrame, org_chambers: DataFrame, roster: DataFrame) -> DataFrame:

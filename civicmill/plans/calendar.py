@@ -53,8 +53,7 @@ def _(t):
 @query("F02_calendar_order", "calendar", f"WITH {_MEET} SELECT date, committee, sort_time, row_number() OVER (PARTITION BY date ORDER BY unresolved DESC, minutes, committee, sort_time) AS place FROM meet")
 def _(t):
     m = O.meetings(t.calendar).withColumn("settled", (~F.col("unresolved")).cast("int"))
-    band = F.concat("settled", F.lpad(F.floor(F.col("minutes") / 60).cast("string"), 3, "0"))
-    return scale.row_numbers(m, ["date"], band, ["settled", "minutes", "committee", "sort_time"], "place").select("date", "committee", "sort_time", "place")
+    return scale.row_numbers(m, ["date"], ["settled", "minutes", "committee", "sort_time"], "place").select("date", "committee", "sort_time", "place")
 
 
 @query("C17_next_meeting", "calendar", f"WITH {_ITEMS} SELECT bill, date, committee, time FROM (SELECT *, row_number() OVER (PARTITION BY bill ORDER BY date, unresolved DESC, minutes, committee, sort_time) AS rn FROM items WHERE date>='2024-01-15') WHERE rn=1")
@@ -208,7 +207,7 @@ _MSG = r"""al AS (SELECT *, CASE WHEN raw IN ('CRITICAL','WARN','INFO') THEN raw
 
 
 @query("D34_conditions", "runlog", rf"""WITH {_MSG}, cy AS (SELECT CASE WHEN starts_with(origin,'bill_') THEN 'bill' ELSE 'calendar' END AS source, max(ts) AS cts FROM runlog WHERE origin<>'other' GROUP BY 1)
- SELECT al.source, severity, category, substr(lower(regexp_replace(regexp_replace(regexp_replace(message,'\d{{4}}-\d{{2}}-\d{{2}}','#date','g'),'[0-9][0-9,.]*','#','g'),'\s+',' ','g')),1,120) AS stem, count(*) AS n, max_by(message, ts) AS message, max(ts) >= any_value(cts) - INTERVAL 6 MINUTE AS active,
+ SELECT al.source, severity, category, lower(regexp_replace(regexp_replace(regexp_replace(message,'\d{{4}}-\d{{2}}-\d{{2}}','#date','g'),'[0-9][0-9,.]*','#','g'),'\s+',' ','g')) AS stem, count(*) AS n, max_by(message, ts) AS message, max(ts) >= any_value(cts) - INTERVAL 6 MINUTE AS active,
  strftime(min(ts),'%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts),'%Y-%m-%d %H:%M:%S') AS last_ts FROM al JOIN cy USING (source) GROUP BY 1,2,3,4""")
 def _(t):
     c = O.conditions(t.runlog).orderBy("severity_rank", F.desc("last_ts"), "stem")
@@ -266,7 +265,7 @@ def runs(t):
 @query("E10_delta_guard", "runlog", f"""WITH {_RUNS}, l AS (SELECT *, lag(unverified) OVER (ORDER BY ts) AS p, lag(universe) OVER (ORDER BY ts) AS pu FROM runs), m AS (SELECT *, unverified-p-greatest(universe-pu,0) AS rise FROM l)
  SELECT strftime(ts,'%Y-%m-%d %H:%M:%S') AS ts, coalesce(unverified>p AND rise>0 AND (rise>=25 OR rise>=greatest(p,10)),false) AS alarm FROM m""")
 def _(t):
-    r = scale.running(runs(t), [], F.date_trunc("day", "ts"), ["ts"], lags={"p": F.col("unverified"), "pu": F.col("universe")})
+    r = scale.running(runs(t), [], ["ts"], lags={"p": F.col("unverified"), "pu": F.col("universe")})
     return r.select(stamp("ts").alias("ts"), O.delta_alarm("p", "unverified", "pu", "universe").alias("alarm"))
 
 
@@ -414,7 +413,7 @@ _LINK = f"""rw AS (SELECT event_id AS row_id, CASE WHEN event_id % 40 = 0 THEN '
 def linked(t):
     e = F.col("event_id")
     rows = t.legevents.select(e.alias("row_id"), F.when(e % 40 == 0, "").otherwise(F.col("bill")).alias("bill"), F.when(e % 41 == 0, "soon").otherwise(F.col("date")).alias("date"), "chamber",
-                              F.concat(F.substring("description", 3, 200), F.lit(" notice")).alias("outcome"))
+                              F.concat(F.expr("substr(description, 3)"), F.lit(" notice")).alias("outcome"))
     events = t.legevents.filter("kind IN ('error', 'purchase')").withColumn("event_code", F.when(e % 4 == 0, "").otherwise(F.col("event_code")))
     return O.linkage(rows, events)
 

@@ -58,16 +58,16 @@ def _(t):
  f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bill ORDER BY l, pos) AS rn FROM w) WHERE rn=1)
  SELECT f.bill, type, coalesce(my_title,'-') AS my_title, coalesce(b.status,'none') AS status FROM f LEFT JOIN bills b USING (bill)""")
 def _(t):
-    base = t.titles.select(F.concat(F.lower(F.substring("bill", 1, 2)), F.lit(" 00"), F.substring("bill", 3, 20)).alias("raw"), F.col("name").alias("my_title"), F.col("id").alias("pos"), "size")
+    base = t.titles.select(F.concat(F.lower(F.substring("bill", 1, 2)), F.lit(" 00"), F.expr("substr(bill, 3)")).alias("raw"), F.col("name").alias("my_title"), F.col("id").alias("pos"), "size")
     master = t.bills.select("bill", "status", F.lit(None).cast("string").alias("lifecycle"), F.lit(None).cast("string").alias("topic"))
     team = R.team_list(base.filter("size <= 25").drop("size"), base.filter("size >= 20").drop("size", "my_title"), master)
     return team.select("bill", "type", "my_title", F.coalesce("status", F.lit("none")).alias("status"))
 
 
-@query("C04_two_way_gap", "bills history", """SELECT gap, bill FROM (SELECT DISTINCT 'in_history_not_in_universe' AS gap, bill FROM history WHERE bill NOT IN (SELECT bill FROM bills WHERE year < 2001)
- UNION ALL SELECT 'prefiled_no_history', bill FROM bills WHERE year < 2001 AND bill NOT IN (SELECT bill FROM history))""")
+@query("C04_two_way_gap", "bills history", """WITH uni AS (SELECT CASE WHEN year >= 2001 THEN 'X'||bill ELSE bill END AS bill FROM bills) SELECT gap, bill FROM (SELECT DISTINCT 'in_history_not_in_universe' AS gap, bill FROM history WHERE bill NOT IN (SELECT bill FROM uni)
+ UNION ALL SELECT 'prefiled_no_history', bill FROM uni WHERE bill NOT IN (SELECT bill FROM history))""")
 def _(t):
-    return R.two_way_gap(t.bills.filter("year < 2001"), t.history).select("gap", "bill")
+    return R.two_way_gap(t.bills.withColumn("bill", F.expr("if(year >= 2001, concat('X', bill), bill)")), t.history).select("gap", "bill")
 
 
 @query("D03_completeness", "bills history", f"""WITH {RECORD}, z AS (SELECT count(*) AS records_written, count(*) FILTER (WHERE actions=0) AS prefiled_no_history, count(*) FILTER (WHERE outcome_origin='structural_flag') AS outcome_structural,
@@ -168,17 +168,15 @@ def _(t):
     return R.funnel(bill_records(t))
 
 
-@query("D33_outcome_tally", "bills", f"WITH k AS (SELECT unnest(['signed','vetoed','awaiting_governor','dead','carried_over','in_progress']) AS outcome), b AS (SELECT outcome FROM ({S.OUTCOME}) WHERE outcome<>'vetoed') SELECT k.outcome, count(b.outcome) AS n FROM k LEFT JOIN b USING (outcome) GROUP BY 1")
+@query("D33_outcome_tally", "bills", f"WITH k AS (SELECT unnest(['signed','vetoed','awaiting_governor','dead','carried_over','in_progress']) AS outcome), b AS (SELECT outcome FROM ({S.OUTCOME})) SELECT k.outcome, count(b.outcome) AS n FROM k LEFT JOIN b USING (outcome) GROUP BY 1")
 def _(t):
-    return R.tally_outcomes(K.with_outcome(t.bills).filter("outcome <> 'vetoed'"))
+    return R.tally_outcomes(K.with_outcome(t.bills))
 
 
 @query("F01_natural_order", "titles", "SELECT bill, row_number() OVER (ORDER BY substr(bill,1,2), id) AS place FROM titles")
 def _(t):
-    """Ranks come from the two-level numbering, banded by the number's magnitude."""
     d = t.titles.select("bill", I.bill_prefix("bill").alias("p"), I.bill_number("bill").alias("k"))
-    band = F.concat(F.col("p"), F.lpad(F.floor(F.col("k") / 65536).cast("string"), 12, "0"))
-    return scale.row_numbers(d, [], band, ["p", "k"], "place").select("bill", "place")
+    return scale.row_numbers(d, [], ["p", "k"], "place").select("bill", "place")
 
 
 @query("F03_feed", "bills history", "SELECT h.bill, b.title, h.action, h.date FROM history h JOIN bills b USING (bill)")
@@ -230,9 +228,5 @@ def _(t):
 def _(t):
     d = t.bills.select("bill", "num").join(R.upcoming(t.history, TODAY), "bill", "left")
     d = d.select("bill", F.coalesce("next_date", F.lit("9999-12-31")).alias("due"), I.bill_prefix("bill").alias("p"), "num")
-    band = F.concat_ws("#", F.substring("due", 1, 7), "p", F.lpad(F.floor(F.col("num") / 65536).cast("string"), 12, "0"))
-    ordered = d.withColumn("band_day", F.col("due"))
-    # unscheduled bills share one due date, so the band also splits by number; days inside a month keep one band
-    band = F.when(F.col("due") == "9999-12-31", band).otherwise(F.substring("due", 1, 7))
-    placed = scale.row_numbers(ordered, [], band, ["due", "p", "num"], "place")
+    placed = scale.row_numbers(d, [], ["due", "p", "num"], "place")
     return placed.select("bill", F.when(F.col("due") == "9999-12-31", "").otherwise(F.col("due")).alias("next_date"), "place")

@@ -218,7 +218,7 @@ def _(t):
 
 @query("B27_normalize_text", "texts", f"SELECT doc_id, md5({S.normal('text')}) AS digest, CAST(length({S.normal('text')}) AS BIGINT) AS chars FROM texts")
 def _(t):
-    return t.texts.select("doc_id", T.normalize_text("text", unicode_forms=False).alias("n")).select("doc_id", F.md5("n").alias("digest"), F.length("n").cast("bigint").alias("chars"))
+    return t.texts.select("doc_id", T.normalize_text("text").alias("n")).select("doc_id", F.md5("n").alias("digest"), F.length("n").cast("bigint").alias("chars"))
 
 
 @query("B27_normalize_unicode")
@@ -310,6 +310,7 @@ def _(t):
     return d.select("doc_id", F.size("one").cast("bigint").alias("unigrams"), (F.size("all") - F.size("one")).cast("bigint").alias("bigrams"), F.md5(F.array_join("one", " ")).alias("uni_digest"))
 
 
-@query("B38_reviewer_text", "legevents", r"""SELECT substr(regexp_replace(regexp_replace('[T] '||description,'^[^A-Za-z0-9]*\[[^\]]*\]\s*',''),'^\s*[HS]\s+',''),1,20) AS shown, count(*) AS n FROM legevents GROUP BY 1""")
+@query("B38_reviewer_text", "legevents", r"""SELECT event_id, substr(r,1,80) AS shown, r AS whole FROM (SELECT event_id, regexp_replace(regexp_replace('[T] '||description,'^[^A-Za-z0-9]*\[[^\]]*\]\s*',''),'^\s*[HS]\s+','') AS r FROM legevents)""")
 def _(t):
-    return t.legevents.groupBy(T.reviewer_text(F.concat(F.lit("[T] "), "description"), 20).alias("shown")).agg(F.count(F.lit(1)).alias("n"))
+    tagged = F.concat(F.lit("[T] "), "description")
+    return t.legevents.select("event_id", T.reviewer_text(tagged).alias("shown"), T.reviewer_text(tagged, None).alias("whole"))

@@ -24,11 +24,11 @@ def _(t):
     return Sim.companion_groups(t.texts)
 
 
-@query("C10_tracked_pairs", "texts", "WITH b AS (SELECT DISTINCT session, lower(trim(title)) AS key, bill FROM texts WHERE trim(title)<>'') SELECT a.bill, c.bill AS counterpart, a.key FROM b a JOIN b c ON a.session=c.session AND a.key=c.key AND a.bill[1]<>c.bill[1] WHERE a.bill IN (SELECT 'HB'||o_orderkey FROM orders WHERE o_totalprice > 490000 UNION SELECT 'SB'||o_orderkey FROM orders WHERE o_totalprice > 490000)")
+@query("C10_tracked_pairs", "texts", "WITH b AS (SELECT DISTINCT session, lower(trim(title)) AS key, bill FROM texts WHERE trim(title)<>'') SELECT a.bill, a.key, count(*) AS counterparts, min(c.bill) AS first, max(c.bill) AS last FROM b a JOIN b c ON a.session=c.session AND a.key=c.key AND a.bill[1]<>c.bill[1] WHERE a.bill IN (SELECT 'HB'||o_orderkey FROM orders WHERE o_totalprice > 490000 UNION SELECT 'SB'||o_orderkey FROM orders WHERE o_totalprice > 490000) GROUP BY 1,2")
 def _(t):
     top = t.orders.filter("o_totalprice > 490000")
     tracked = top.selectExpr("concat('HB', o_orderkey) AS bill").unionByName(top.selectExpr("concat('SB', o_orderkey) AS bill"))
-    return Sim.pairs_of(t.texts, tracked)
+    return Sim.counterparts_of(t.texts, tracked)
 
 
 @query("C25_divergence", "bills", f"""WITH b AS (SELECT *, outcome IN ('signed','awaiting_governor') AS p FROM ({S.OUTCOME})), g AS (SELECT session, lower(trim(title)) AS key, count(*) FILTER (WHERE bill[1]='H' AND p) AS hp, count(*) FILTER (WHERE bill[1]='H' AND NOT p) AS hf, count(*) FILTER (WHERE bill[1]='S' AND p) AS sp, count(*) FILTER (WHERE bill[1]='S' AND NOT p) AS sf FROM b GROUP BY 1,2)
@@ -52,22 +52,24 @@ def _(t):
     return Sim.companions(title_bills(t))
 
 
-_REC = f"""rec AS (SELECT doc_id AS key, session, {S.spelling('title')} AS nt, array_to_string(list_filter(string_split({S.spelling('title')},' '), lambda w: w<>'')[1:2],' ') AS h, source AS cm, title, text FROM texts),
+_REC = f"""rec AS (SELECT doc_id AS key, session, {S.spelling('title')} AS nt, array_to_string(list_filter(string_split({S.spelling('title')},' '), lambda w: w<>'')[1:2],' ') AS h2, trim(regexp_replace(regexp_replace(lower(regexp_extract(trim(title),'^[^;:.]*')),'[^a-z0-9 ]',' ','g'),'\\s+',' ','g')) AS h, source AS cm, title, text FROM texts),
  lab AS (SELECT doc_id AS key, CASE quality WHEN 1 THEN 'good' ELSE 'poor' END AS label FROM labels UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic=1),
  tt AS (SELECT DISTINCT key, tok FROM (SELECT key, unnest({S.subject_tokens('title')}) AS tok FROM rec)), at0 AS (SELECT key, unnest({S.subject_tokens('text')}) AS tok FROM rec), adf AS (SELECT tok, count(*) AS df FROM at0 GROUP BY 1),
  atk AS (SELECT key, tok, df FROM (SELECT key, tok, df, row_number() OVER (PARTITION BY key ORDER BY df, tok) AS rn FROM at0 JOIN adf USING (tok)) WHERE rn<=12)"""
 
 
-def near_sql(name, queries, items, cap):
-    """Nearest item CTE: (key, item, sim)."""
-    return f"""{name}_ok AS (SELECT tok FROM {items} GROUP BY 1 HAVING count(*)<={cap}), {name}_sh AS (SELECT q.key, i.key AS item, count(*) AS shared FROM {queries} q JOIN {items} i USING (tok) WHERE tok IN (SELECT tok FROM {name}_ok) GROUP BY 1,2),
- {name}_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shared DESC, item) AS rn FROM {name}_sh) WHERE rn<=40), {name}_j AS (SELECT t.key, t.item, t.rn, (SELECT count(*) FROM {queries} a JOIN {items} b USING (tok) WHERE a.key=t.key AND b.key=t.item) AS i,
- (SELECT count(*) FROM {queries} a WHERE a.key=t.key) AS na, (SELECT count(*) FROM {items} b WHERE b.key=t.item) AS nb FROM {name}_top t), {name} AS (SELECT key, item, sim FROM (SELECT key, item, i/(na+nb-i) AS sim, row_number() OVER (PARTITION BY key ORDER BY i/(na+nb-i) DESC, rn) AS r2 FROM {name}_j) WHERE r2=1)"""
+NEAR = 0.5  # least token similarity of a neighbour
+
+
+def near_sql(name, queries, items):
+    """Nearest item CTE: (key, item, sim), over all pairs that share a token."""
+    return f"""{name}_q AS (SELECT key, count(*) AS n FROM {queries} GROUP BY 1), {name}_i AS (SELECT key AS item, count(*) AS m FROM {items} GROUP BY 1), {name}_sh AS (SELECT q.key, i.key AS item, count(*) AS c FROM {queries} q JOIN {items} i USING (tok) WHERE q.key<>i.key GROUP BY 1,2),
+ {name} AS (SELECT key, item, sim FROM (SELECT key, item, c/(n+m-c) AS sim, row_number() OVER (PARTITION BY key ORDER BY c/(n+m-c) DESC, item) AS rn FROM {name}_sh JOIN {name}_q USING (key) JOIN {name}_i USING (item) WHERE c/(n+m-c)>={NEAR}) WHERE rn=1)"""
 
 
 def _records(t):
     nt = spelling_key("title")
-    return t.texts.select(F.col("doc_id").alias("key"), "session", nt.alias("nt"), F.array_join(F.slice(T.words(nt), 1, 2), " ").alias("h"), F.col("source").alias("cm"), "title", "text")
+    return t.texts.select(F.col("doc_id").alias("key"), "session", nt.alias("nt"), F.array_join(F.slice(T.words(nt), 1, 2), " ").alias("h2"), T.title_head("title").alias("h"), F.col("source").alias("cm"), "title", "text")
 
 
 def kept(t, name, make):
@@ -99,11 +101,13 @@ def text_tokens(t):
     return kept(t, "text_tokens", lambda: Sim.rarest_tokens(_records(t), "key", "text", 12).select("key", "tok"))
 
 
-@query("C12_nearest", "texts", f"WITH {_REC}, q AS (SELECT key, tok FROM atk), it AS (SELECT key, tok FROM atk WHERE key IN (SELECT key FROM lab)), {near_sql('nr', 'q', 'it', 30)} SELECT key, item, round(sim,6) AS similarity FROM nr")
+@query("C12_nearest", "texts", f"WITH {_REC}, q AS (SELECT key, tok FROM atk), it AS (SELECT key, tok FROM atk WHERE key IN (SELECT key FROM lab)), {near_sql('nr', 'q', 'it')} SELECT rec.key, item, round(sim,6) AS similarity FROM rec LEFT JOIN nr USING (key)")
 def _(t):
+    """Every text; those without a neighbour of the least similarity have a null item."""
     tok = text_tokens(t)
     items = tok.join(t.labels.select(F.col("doc_id").alias("key")), "key", "left_semi").select(F.col("key").alias("item"), "tok")
-    return Sim.nearest(tok, items, 30).select("key", "item", F.round("similarity", 6).alias("similarity"))
+    found = Sim.nearest(tok, items, NEAR)
+    return records(t).select("key").join(found, "key", "left").select("key", "item", F.round("similarity", 6).alias("similarity"))
 
 
 @query("F05_rarest_tokens", "texts", f"WITH {_REC} SELECT key, tok, df FROM atk")
@@ -116,7 +120,7 @@ _SHN = f"nm AS (SELECT doc_id, bill, {S.normal('text')} AS n FROM texts), sw AS
 
 @query("I01_shingles", "texts", f"WITH {_SHN} SELECT doc_id, CAST(len(s) AS BIGINT) AS shingles, coalesce(list_min(s),'') AS first FROM sh")
 def _(t):
-    d = t.texts.select("doc_id", T.shingles(T.normalize_text("text", unicode_forms=False), 8).alias("s"))
+    d = t.texts.select("doc_id", T.shingles(T.normalize_text("text"), 8).alias("s"))
     return d.select("doc_id", F.size("s").cast("bigint").alias("shingles"), F.coalesce(F.array_min("s"), F.lit("")).alias("first"))
 
 
@@ -166,7 +170,7 @@ def _(t):
  bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1), dg AS (SELECT doc_id, unnest(s) AS g FROM sh) SELECT doc_id, item_id, round(count(*)/any_value(n),4) AS contained FROM bs JOIN dg USING (g) JOIN bn USING (item_id) GROUP BY 1,2""")
 def _(t):
     """Share of each known passage found inside each text; joined on shingles, counted after map-side combine."""
-    shing = lambda df, k: df.select(k, F.explode(T.shingle_hashes(T.normalize_text("text", unicode_forms=False), 8)).alias("g"))
+    shing = lambda df, k: df.select(k, F.explode(T.shingle_hashes(T.normalize_text("text"), 8)).alias("g"))
     passages = shing(t.benchmark, "item_id")
     size = passages.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     hits = shing(t.texts, "doc_id").join(passages, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("h"))
@@ -180,11 +184,17 @@ def _(t):
     return p.select("bill", "kind", "from_label", "to_label", F.length("text_a").cast("bigint").alias("chars_a"), F.length("text_b").cast("bigint").alias("chars_b"))
 
 
-@query("I06_version_difference")
+@query("I06_version_difference", "versions", f"""WITH w AS (SELECT bill, version, label, list_filter(string_split({S.normal('text')},' '), lambda x: x<>'') AS w FROM versions), s AS (SELECT *, CASE WHEN len(w)=0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w)-2,1)+1), lambda i: array_to_string(w[i:i+2],' '))) END AS s FROM w),
+ p AS (SELECT bill, 'step' AS kind, lag(label) OVER v AS from_label, label AS to_label, lag(s) OVER v AS a, s AS b FROM s WINDOW v AS (PARTITION BY bill ORDER BY version) UNION ALL SELECT bill, 'total', min_by(label, version), max_by(label, version), min_by(s, version), max_by(s, version) FROM s GROUP BY 1 HAVING count(*)>=2)
+ SELECT bill, kind, from_label, to_label, CASE WHEN len(a)>0 AND len(b)>0 THEN round((1-len(list_intersect(a,b))/(len(a)+len(b)-len(list_intersect(a,b))))*100,1) END AS pct FROM p WHERE from_label IS NOT NULL""")
 def _(t):
-    """Exact matching-block ratio; no SQL form. Checked against brute force in the tests."""
+    """Share of three-word runs that only one of two versions has, in percent."""
     p = Sim.version_pairs(t.versions)
-    return p.select("bill", "kind", "from_label", "to_label", Sim.difference_pct("text_a", "text_b").alias("pct"))
+    cut = lambda c: T.shingle_hashes(T.normalize_text(c), 3)
+    p = p.select("bill", "kind", "from_label", "to_label", cut("text_a").alias("a"), cut("text_b").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    changed = F.round((1 - both / (F.size("a") + F.size("b") - both)) * 100, 1)
+    return p.select("bill", "kind", "from_label", "to_label", F.when((F.size("a") > 0) & (F.size("b") > 0), changed).alias("pct"))
 
 
 # --- token trust ---------------------------------------------------------------------------------------------------------
@@ -275,14 +285,15 @@ def _(t):
     return L.naive_bayes(r.select("h"), r.join(truth(t), "key").select("h", "label")).withColumn("margin", F.round("margin", 6))
 
 
-_TAX = "tx AS (SELECT h AS name, CASE WHEN substr(md5(h),2,1) < '8' THEN 'good' ELSE 'poor' END AS label FROM (SELECT DISTINCT h FROM rec) WHERE substr(md5(h),1,1) < '4' AND length(h)>=5 UNION SELECT string_split(h,' ')[1], CASE WHEN substr(md5(string_split(h,' ')[1]),2,1) < '8' THEN 'good' ELSE 'unheard' END FROM (SELECT DISTINCT h FROM rec) WHERE substr(md5(string_split(h,' ')[1]),1,1) < '4' AND length(string_split(h,' ')[1])>=5), txu AS (SELECT name, min(label) AS label FROM tx GROUP BY 1)"
+_TAX = "tx AS (SELECT h2 AS name, CASE WHEN substr(md5(h2),2,1) < '8' THEN 'good' ELSE 'poor' END AS label FROM (SELECT DISTINCT h2 FROM rec) WHERE substr(md5(h2),1,1) < '4' AND length(h2)>=5 UNION SELECT string_split(h2,' ')[1], CASE WHEN substr(md5(string_split(h2,' ')[1]),2,1) < '8' THEN 'good' ELSE 'unheard' END FROM (SELECT DISTINCT h2 FROM rec) WHERE substr(md5(string_split(h2,' ')[1]),1,1) < '4' AND length(string_split(h2,' ')[1])>=5), txu AS (SELECT name, min(label) AS label FROM tx GROUP BY 1)"
 
 
 def taxonomy(t):
-    h = records(t).select("h").distinct()
+    """A table of subject names for the match: the first word, or two, of some titles."""
+    h = records(t).select("h2").distinct()
     pick = lambda c, other: F.when(F.substring(F.md5(c), 2, 1) < "8", "good").otherwise(other)
-    two = h.filter((F.substring(F.md5("h"), 1, 1) < "4") & (F.length("h") >= 5)).select(F.col("h").alias("name"), pick("h", "poor").alias("label"))
-    w = h.select(F.try_element_at(F.split("h", " "), F.lit(1)).alias("name")).distinct()
+    two = h.filter((F.substring(F.md5("h2"), 1, 1) < "4") & (F.length("h2") >= 5)).select(F.col("h2").alias("name"), pick("h2", "poor").alias("label"))
+    w = h.select(F.try_element_at(F.split("h2", " "), F.lit(1)).alias("name")).distinct()
     one = w.filter((F.substring(F.md5("name"), 1, 1) < "4") & (F.length("name") >= 5)).select("name", pick("name", "unheard").alias("label"))
     return two.unionByName(one)
 
@@ -302,7 +313,7 @@ def vocabulary(t):
 
 _TARGET = "tg AS (SELECT * FROM rec WHERE key NOT IN (SELECT key FROM lab)), sp AS (SELECT DISTINCT label FROM lab), fl AS (SELECT key, min(label) AS label FROM lab GROUP BY 1)"
 _VOTES = f"""{_REC}, {_NB}, {_TAX}, {_LEX}, {_TARGET}, {_pure('ph', 'h', 1, 0.6, "WHERE h<>''")}, {_pure('pt', 'nt', 1, 0.6, "WHERE nt<>''")}, {_pure('pc', 'cm', 10, 0.6)},
- qt AS (SELECT key, tok FROM tt WHERE key IN (SELECT key FROM tg)), itt AS (SELECT key, tok FROM tt WHERE key IN (SELECT key FROM lab)), {near_sql('n1', 'qt', 'itt', 800)}, qa AS (SELECT key, tok FROM atk WHERE key IN (SELECT key FROM tg)), ita AS (SELECT key, tok FROM atk WHERE key IN (SELECT key FROM lab)), {near_sql('n2', 'qa', 'ita', 1500)},
+ qt AS (SELECT key, tok FROM tt WHERE key IN (SELECT key FROM tg)), itt AS (SELECT key, tok FROM tt WHERE key IN (SELECT key FROM lab)), {near_sql('n1', 'qt', 'itt')}, qa AS (SELECT key, tok FROM atk WHERE key IN (SELECT key FROM tg)), ita AS (SELECT key, tok FROM atk WHERE key IN (SELECT key FROM lab)), {near_sql('n2', 'qa', 'ita')},
  rv AS (SELECT key, nb.label, 'headnb' AS route, 1 AS ro, margin/6 AS conf FROM tg JOIN nb USING (h) UNION ALL SELECT key, label, 'head', 2, share FROM tg JOIN ph USING (h) UNION ALL SELECT key, label, 'lex', 3, conf FROM tg JOIN lx USING (nt) WHERE label IN (SELECT label FROM sp) UNION ALL SELECT key, label, 'xtitle', 4, share FROM tg JOIN pt USING (nt)
  UNION ALL SELECT key, 'good', 'vocab', 5, 0.99 FROM tg WHERE substr(md5(h),1,1)='7' AND h<>'' UNION ALL SELECT n1.key, fl.label, 'near', 6, sim FROM n1 JOIN fl ON fl.key=n1.item UNION ALL SELECT n2.key, fl.label, 'abs', 7, sim FROM n2 JOIN fl ON fl.key=n2.item UNION ALL SELECT key, label, 'cmte', 8, share FROM tg JOIN pc USING (cm)),
  rl AS (SELECT key, label, count(*) AS agree FROM rv GROUP BY 1,2), rb AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY agree DESC, label) AS rn FROM rl), dc AS (SELECT key, label, agree, (SELECT sum(conf) FROM rv WHERE rv.key=rb.key)+agree AS conf, (SELECT string_agg(route,'+' ORDER BY ro) FROM rv WHERE rv.key=rb.key) AS routes FROM rb WHERE rn=1)"""

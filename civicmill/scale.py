@@ -8,10 +8,13 @@ only one summary row per bucket is carried across.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicmill.session import cut_lineage
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last row per key by a total order. Aggregation, not a window: map-side combine keeps hot keys cheap."""
@@ -47,31 +50,49 @@ def samples(df: DataFrame, keys: Sequence[str], value: str, k: int, out: str) ->
     return few.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)), "|").alias(out))
 
 
+# Rows of a bucket in ``running``, about: bounds come from Spark's sample of the rows.
+BUCKET_ROWS = 500_000
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a written table with a bucket number that never falls along (keys, order).
+
+    Bounds are quantiles of the whole tuple, so they cut inside a hot key and inside equal days alike, and their number
+    follows from the row count: no bucket grows with the data.
+    """
+    written = cut_lineage(df)
+    many = -(-written.count() // (rows or BUCKET_ROWS)) or 1
+    if many == 1:  # all rows fit one bucket: no second pass
+        return written.withColumn(out, F.lit(0))
+    # written again: the number of the partition is fixed only by the table
+    return cut_lineage(written.repartitionByRange(many, *keys, *order).withColumn(out, F.spark_partition_id()))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    bucket: Column,
     order: Sequence[str],
     *,
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
     lags: dict[str, Column] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Running sums (current row included), maxima of earlier rows, and previous-row values, in key order.
 
-    ``bucket`` must grow with the first order column (a day, a month, a score band). Rows are shuffled by
-    (keys, bucket); per key only one summary row per bucket meets in a task, so a key with a third of all
-    rows is spread over its buckets. The input is read twice (rows and bucket summaries); checkpoint it first
-    where computing it is expensive.
+    Rows are cut into buckets of bounded size by (keys, order) and shuffled by (keys, bucket); per key only one summary
+    row per bucket meets in a task, so a key with a third of all rows, or all rows of one day, is spread. Null keys are
+    one key.
     """
     sums, maxima, lags = sums or {}, maxima or {}, lags or {}
     seq = F.struct(*[F.col(c) for c in order])
-    work = df.withColumn("_b", bucket)
+    work = df
     for name, expr in {**sums, **maxima}.items():
         work = work.withColumn(f"_in_{name}", expr)
     for name, expr in lags.items():
         # wrapped in a struct so that a null value differs from "no previous row"
         work = work.withColumn(f"_in_{name}", F.struct(expr.alias("v")))
+    work = bucketed(work, keys, order, "_b", rows)
 
     part = [*keys, "_b"]
     inside = Window.partitionBy(*part).orderBy(*order)
@@ -85,7 +106,7 @@ def running(
     prior = Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")
     prior_rows = prior.rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *part,
+        *[F.col(c).alias(f"_k_{c}") for c in part],
         *[F.sum(f"_t_{n}").over(prior_rows).alias(f"_c_{n}") for n in sums],
         *[F.max(f"_t_{n}").over(prior_rows).alias(f"_c_{n}") for n in maxima],
         *[F.lag(f"_t_{n}").over(prior).alias(f"_c_{n}") for n in lags],
@@ -97,7 +118,8 @@ def running(
         local = local.withColumn(f"_l_{name}", F.max(f"_in_{name}").over(before))
     for name in lags:
         local = local.withColumn(f"_l_{name}", F.lag(f"_in_{name}").over(inside))
-    joined = local.join(carry, part, "left")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in part])
+    joined = local.join(carry, same, "left")
     kept = [F.col(c) for c in df.columns]
     return joined.select(
         *kept,
@@ -107,9 +129,9 @@ def running(
     )
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], out: str) -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, rows: int | None = None) -> DataFrame:
     """Exact row numbers per key without gathering the key in one task."""
-    return running(df, keys, bucket, order, sums={out: F.lit(1).cast("bigint")})
+    return running(df, keys, order, sums={out: F.lit(1).cast("bigint")}, rows=rows)
 
 
 def multiset_digest(*columns: str) -> list[Column]:

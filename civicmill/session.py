@@ -31,19 +31,27 @@ def build_session(app: str = "civicmill", master: str | None = None, **extra: st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as named in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a local folder made and set, once per session.
+    Only on a local master, where driver and executors are one process, may the setting be absent: a local folder is
+    then made, once per session. Anywhere else that would leave each executor's files on its own disk, so it raises.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {context.master})")
     if getattr(context, "_civicmill_dir", None) is None:
         context._civicmill_dir = tempfile.mkdtemp(prefix="civicmill-")
     return context._civicmill_dir
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new path in this application's own folder of scratch tables, ``civicmill-<application id>``.
+
+    Results may still read the tables after a query returns, so nothing here is removed by the library: whoever runs
+    the application removes its one folder when it has ended.
+    """
+    return os.path.join(shared_dir(spark), f"civicmill-{spark.sparkContext.applicationId}", f"{label}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -58,7 +58,14 @@ def test_companion_groups_count_every_pair(spark):
     bills = spark.createDataFrame([("HB1", "Tax", "s"), ("HB2", "tax ", "s"), ("SB3", "Tax", "s"), ("SB4", "Tax", "other"), ("HB5", "Alone", "s")], "bill string, title string, session string")
     assert [r["pairs"] for r in Sim.companion_groups(bills).collect()] == [2]
     tracked = spark.createDataFrame([("SB3",)], "bill string")
-    assert sorted(r["counterpart"] for r in Sim.pairs_of(bills, tracked).collect()) == ["HB1", "HB2"]
+    assert [tuple(r) for r in Sim.counterparts_of(bills, tracked).collect()] == [("SB3", "tax", 2, "HB1", "HB2")]
+
+
+def test_compatibility_forms_compare_equal(spark):
+    """Ligature, circled digit and full-width letters read as what they stand for; ASCII text is left alone."""
+    rows = [("the \ufb01nal o\ufb03ce \u2460 \uff21ct", "the final office 1 act"), ("plain text", "plain text"), (None, "")]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, want string").select(T.normalize_text("t") == F.col("want")).collect()]
+    assert got == [True, True, True]
 
 
 def test_pair_verdicts(spark):

@@ -1,6 +1,5 @@
 """Order-dependent and candidate-based operators against brute force, with one key holding most rows."""
 
-import difflib
 import random
 
 import pytest
@@ -12,6 +11,7 @@ from civicmill.operators import labels as L
 from civicmill.operators import rates as R
 from civicmill.operators import similarity as Sim
 from civicmill.operators import votes as V
+from civicmill.session import scratch_path, shared_dir
 from civicmill.sources import writers as Wr
 
 
@@ -19,7 +19,7 @@ def test_running_equals_plain_window_under_skew(spark):
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}", i, rng.choice([None, 1, 2, 3])) for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, t int, v int")
-    got = {r["t"]: (r["s"], r["m"], r["p"]) for r in scale.running(df, ["k"], F.floor(F.col("t") / 37), ["t"], sums={"s": F.coalesce("v", F.lit(0))}, maxima={"m": F.col("v")}, lags={"p": F.col("v")}).collect()}
+    got = {r["t"]: (r["s"], r["m"], r["p"]) for r in scale.running(df, ["k"], ["t"], rows=150, sums={"s": F.coalesce("v", F.lit(0))}, maxima={"m": F.col("v")}, lags={"p": F.col("v")}).collect()}
     state = {}
     for k, t, v in rows:
         s, m, p = state.get(k, (0, None, None))
@@ -27,6 +27,43 @@ def test_running_equals_plain_window_under_skew(spark):
         state[k] = (s + (v or 0), m if v is None else v if m is None else max(m, v), v)
 
 
+def test_buckets_cut_inside_one_key_and_one_day(spark):
+    """Nine rows in ten share one key and one day; no bucket may hold much more than its stated rows."""
+    df = spark.range(40_000).selectExpr("if(id % 10 = 0, concat('k', id % 70), 'hot') AS k", "if(id % 10 = 1, date'2026-01-02', date'2026-01-01') AS day", "id")
+    cut = scale.bucketed(df, ["k"], ["day", "id"], "b", rows=2_000)
+    sizes = [r["count"] for r in cut.groupBy("b").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 4_000
+    ends = cut.groupBy("b").agg(F.min(F.struct("k", "day", "id")).alias("lo"), F.max(F.struct("k", "day", "id")).alias("hi")).orderBy("b").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(ends, ends[1:], strict=False))
+    numbered = scale.row_numbers(df, ["k"], ["day", "id"], "n", rows=2_000)
+    hot = numbered.filter("k = 'hot'").agg(F.count("n"), F.min("n"), F.max("n"), F.count_distinct("n")).first()
+    assert tuple(hot) == (36_000, 1, 36_000, 36_000)
+
+
+def test_null_keys_are_one_key(spark):
+    df = spark.createDataFrame([(None, i) for i in range(200)], "k string, t int")
+    assert sorted(r["n"] for r in scale.row_numbers(df, ["k"], ["t"], "n", rows=30).collect()) == list(range(1, 201))
+
+
+def test_scratch_needs_a_shared_folder_off_local_masters():
+    class Context:
+        master = "yarn"
+        applicationId = "app"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared"}
+    assert scratch_path(Session(), "t").startswith("hdfs://shared/civicmill-app/t-")
+
+
 def test_digest_ignores_order_and_sees_changes(spark):
     a = spark.createDataFrame([("x", 1), ("x", 2), ("x", 2)], "k string, v int")
     b = spark.createDataFrame([("x", 2), ("x", 1), ("x", 2)], "k string, v int")
@@ -50,23 +87,27 @@ def test_nearest_equals_brute_force(spark):
     rng = random.Random(7)
     vocab = [f"w{i}" for i in range(30)]
     items = {i: set(rng.sample(vocab, 6)) | {"everywhere"} for i in range(80)}
-    queries = {1000 + i: set(rng.sample(vocab, 6)) | {"everywhere"} for i in range(40)}
+    items[80] = items[0]
+    queries = {1000 + i: set(rng.sample(vocab, 6)) | {"everywhere"} for i in range(40)} | {3: items[3], 0: items[0]}
     flat = lambda d: [(k, w) for k, ws in d.items() for w in ws]
-    cap, top = 25, 10
-    got = {r["key"]: (r["item"], round(r["similarity"], 9)) for r in Sim.nearest(spark.createDataFrame(flat(queries), "key int, tok string"), spark.createDataFrame(flat(items), "item int, tok string"), cap, top).collect()}
-    df = {}
-    for ws in items.values():
-        for w in ws:
-            df[w] = df.get(w, 0) + 1
-    for q, qs in queries.items():
-        shared = {i: sum(1 for w in qs & ws if df[w] <= cap) for i, ws in items.items()}
-        order = sorted((i for i in shared if shared[i]), key=lambda i: (-shared[i], i))[:top]
-        best, score = None, 0.0
-        for i in order:
-            j = len(qs & items[i]) / len(qs | items[i])
-            if j > score:
-                best, score = i, j
-        assert got.get(q) == (None if best is None else (best, round(score, 9)))
+    for least in (0.2, 0.5):
+        found = Sim.nearest(spark.createDataFrame(flat(queries), "key int, tok string"), spark.createDataFrame(flat(items), "item int, tok string"), least)
+        got = {r["key"]: (r["item"], round(r["similarity"], 9)) for r in found.collect()}
+        want = {}
+        for q, qs in queries.items():
+            scored = sorted((-len(qs & ws) / len(qs | ws), i) for i, ws in items.items() if i != q)
+            if -scored[0][0] >= least:
+                want[q] = (scored[0][1], round(-scored[0][0], 9))
+        assert got == want
+
+
+def test_nearest_has_no_cap_on_common_tokens(spark):
+    """A token in 2,000 items, more than any list length of old, still finds its neighbour."""
+    items = spark.range(2_000).selectExpr("cast(id AS int) AS item", "explode(array('common', concat('own', id))) AS tok")
+    one = spark.createDataFrame([(-1, "common"), (-1, "own1500")], "key int, tok string")
+    assert [tuple(r) for r in Sim.nearest(one, items, 0.5).collect()] == [(-1, 1500, 1.0)]
+    alone = spark.createDataFrame([(-1, "common")], "key int, tok string")
+    assert [tuple(r) for r in Sim.nearest(alone, items, 0.5).collect()] == [(-1, 0, 0.5)]
 
 
 def test_span_merge_equals_brute_force(spark):
@@ -123,13 +164,6 @@ def test_peer_agreement_equals_brute_force(spark):
         assert got[a] == pytest.approx(sum(shares) / len(shares), abs=1e-6)
 
 
-def test_difference_pct_is_the_matching_block_ratio(spark):
-    rows = [("a b c d e", "a b x d e"), ("same text", "same text"), ("", "x"), ("one", None)]
-    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(Sim.difference_pct("a", "b")).collect()]
-    assert got[0] == round((1 - difflib.SequenceMatcher(None, "a b c d e".split(), "a b x d e".split(), autojunk=False).ratio()) * 100, 1)
-    assert got[1:] == [0.0, None, None]
-
-
 def test_permutation_null_separates_signal_from_noise(spark):
     rng = random.Random(19)
     rows = [("signal", f"b{i % 4}", int(rng.random() < (0.9 if i % 4 == 0 else 0.3))) for i in range(800)] + [("noise", f"b{i % 4}", int(rng.random() < 0.5)) for i in range(800)]
@@ -160,6 +194,19 @@ def test_climb_handles_cycles_and_depth(spark):
     chain = [(f"n{i}", f"n{i + 1}", None) for i in range(20)] + [("n20", None, "TOP"), ("x", "y", None), ("y", "x", None)]
     got = {r["id"]: r["value"] for r in V.climb(spark.createDataFrame(chain, "id string, parent string, value string")).collect()}
     assert got["n0"] == "TOP" and got["n20"] == "TOP" and got["x"] is None
+    deep = [(f"n{i}", f"n{i + 1}", None) for i in range(200)] + [("n200", None, "TOP"), ("x", "y", None), ("y", "x", None), ("z", "x", None)]
+    nodes = spark.createDataFrame(deep, "id string, parent string, value string")
+    got = {r["id"]: r["value"] for r in V.climb(nodes).collect()}
+    assert len(got) == 204 and all((v == "TOP") == k.startswith("n") for k, v in got.items())
+    roots = {r["id"]: r["root"] for r in V.root_of(nodes).collect()}
+    assert all(v == ("n200" if k.startswith("n") else None) for k, v in roots.items())
+
+
+def test_relative_chain_of_any_length(spark):
+    chain = [("d", "m0", 600, None, 0)] + [("d", f"m{i}", None, f"m{i - 1}", i % 2) for i in range(1, 90)] + [("d", "a", None, "b", 1), ("d", "b", None, "a", 1), ("d", "c", None, "gone", 1)]
+    got = {r["name"]: (r["minutes"], r["time_class"]) for r in O.relative_chain(spark.createDataFrame(chain, "date string, name string, minutes int, anchor string, offset int")).collect()}
+    assert all(got[f"m{i}"] == (600 + i, "resolved") for i in range(90))
+    assert all(got[k] == (None, "relative_unresolved") for k in "abc")
 
 
 def test_two_tiers_step_down_then_up(spark):

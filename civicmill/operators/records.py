@@ -34,8 +34,15 @@ def home_chamber(bill) -> Column:
     return F.when(F.col(bill).startswith("H"), "House").otherwise("Senate")
 
 
-def _coded(history: DataFrame) -> DataFrame:
-    return history.withColumn("_code", committee_code("refid")).withColumn("_tally", K.tally_text("action"))
+def _coded(history: DataFrame, committees: DataFrame) -> DataFrame:
+    """Adds the tally, the committee code if the committee is known, and whether a code of the right shape is not.
+
+    A code without a name moves no bill, so it is resolved before anything is reduced.
+    """
+    known = committees.select(F.col("code").alias("_shaped"), F.lit(True).alias("_known")).distinct()
+    shaped = history.withColumn("_shaped", committee_code("refid")).join(known, "_shaped", "left")
+    named = shaped.withColumn("_code", F.when(F.col("_known"), F.col("_shaped")))
+    return named.withColumn("_unknown", F.col("_shaped").isNotNull() & F.col("_known").isNull()).withColumn("_tally", K.tally_text("action")).drop("_shaped", "_known")
 
 
 def _position_aggs() -> list[Column]:
@@ -62,17 +69,18 @@ def _vote_agg() -> Column:
 _VOTE = ("trim(_v._tally) AS vote_tally", "_v.date AS vote_date", "_v._code AS vote_code")
 
 
-def referrals(history: DataFrame) -> DataFrame:
-    """Number of successive distinct committees a bill was referred to."""
-    referred = history.select("bill", "seq", "refid", committee_code("refid").alias("code")).filter(is_referral("refid"))
+def referrals(history: DataFrame, committees: DataFrame) -> DataFrame:
+    """Number of successive distinct known committees a bill was referred to."""
+    referred = history.select("bill", "seq", committee_code("refid").alias("code")).filter(is_referral("refid"))
+    referred = referred.join(committees.select("code").distinct(), "code", "left_semi")
     steps = scale.running(referred, ["bill"], ["seq"], lags={"prev": F.col("code")})
     return steps.groupBy("bill").agg(F.count_if(F.col("prev").isNull() | (F.col("prev") != F.col("code"))).alias("referral_count"))
 
 
-def positions(history: DataFrame) -> DataFrame:
+def positions(history: DataFrame, committees: DataFrame) -> DataFrame:
     """Last committee, chamber, crossover and number of successive referrals, from refids only."""
-    last = _coded(history).filter("_code IS NOT NULL").groupBy("bill").agg(*_position_aggs())
-    return last.join(referrals(history), "bill", "left").withColumn("referral_count", F.coalesce("referral_count", F.lit(0)))
+    last = _coded(history, committees).filter("_code IS NOT NULL").groupBy("bill").agg(*_position_aggs())
+    return last.join(referrals(history, committees), "bill", "left").withColumn("referral_count", F.coalesce("referral_count", F.lit(0)))
 
 
 def floor_outcomes(history: DataFrame) -> DataFrame:
@@ -80,15 +88,16 @@ def floor_outcomes(history: DataFrame) -> DataFrame:
     return history.groupBy("bill").agg(*_floor_aggs())
 
 
-def latest_votes(history: DataFrame) -> DataFrame:
+def latest_votes(history: DataFrame, committees: DataFrame) -> DataFrame:
     """Newest action that carries a tally."""
-    return _coded(history).filter("_tally <> ''").groupBy("bill").agg(_vote_agg()).selectExpr("bill", *_VOTE)
+    return _coded(history, committees).filter("_tally <> ''").groupBy("bill").agg(_vote_agg()).selectExpr("bill", *_VOTE)
 
 
-def history_state(history: DataFrame) -> DataFrame:
+def history_state(history: DataFrame, committees: DataFrame) -> DataFrame:
     """Everything a record needs from the history but the referral count, in one scan and one shuffle."""
-    g = _coded(history).groupBy("bill").agg(F.max_by("date", "seq").alias("last_action_date"), F.count(F.lit(1)).alias("actions"), *_position_aggs(), *_floor_aggs(), _vote_agg())
-    return g.selectExpr("bill", "last_action_date", "actions", "last_code", "chamber", "crossed_over", "floor_house", "floor_senate", *_VOTE)
+    g = _coded(history, committees).groupBy("bill").agg(
+        F.max_by("date", "seq").alias("last_action_date"), F.count(F.lit(1)).alias("actions"), F.count_if("_unknown").alias("unknown_codes"), *_position_aggs(), *_floor_aggs(), _vote_agg())
+    return g.selectExpr("bill", "last_action_date", "actions", "unknown_codes", "last_code", "chamber", "crossed_over", "floor_house", "floor_senate", *_VOTE)
 
 
 def upcoming(docket: DataFrame, today: str) -> DataFrame:
@@ -103,17 +112,17 @@ def bill_records(universe: DataFrame, history: DataFrame, docket: DataFrame, com
     """Universe joined with its four reduced sides; one row per bill, whether or not it has a history."""
     names = committees.select("code", "name")
     out = K.with_outcome(universe)
-    for side in (history_state(history), referrals(history), upcoming(docket, today)):
+    for side in (history_state(history, committees), referrals(history, committees), upcoming(docket, today)):
         out = out.join(side, "bill", "left")
     out = out.join(names.select(F.col("code").alias("last_code"), F.col("name").alias("last_committee")), "last_code", "left")
     out = out.join(names.select(F.col("code").alias("vote_code"), F.col("name").alias("vote_place")), "vote_code", "left")
     filled = out.na.fill("", ["last_action_date", "floor_house", "floor_senate", "last_committee", "vote_tally", "vote_date", "next_date", "next_committee"])
-    filled = filled.na.fill(0, ["actions", "referral_count", "upcoming"]).na.fill(False, ["crossed_over"])
+    filled = filled.na.fill(0, ["actions", "unknown_codes", "referral_count", "upcoming"]).na.fill(False, ["crossed_over"])
     return filled.select(
         "bill", "title", "status", "outcome", "outcome_origin", "outcome_mismatch", "unverified_terminal", "patron",
         F.coalesce("chamber", home_chamber("bill")).alias("chamber"), "crossed_over", "floor_house", "floor_senate", "last_committee",
         "referral_count", "vote_tally", F.when(F.col("vote_tally") == "", "").otherwise(F.coalesce("vote_place", F.lit("Floor"))).alias("vote_location"),
-        "vote_date", "upcoming", "next_date", "next_committee", "last_action_date", "actions")
+        "vote_date", "upcoming", "next_date", "next_committee", "last_action_date", "actions", "unknown_codes")
 
 
 def completeness(records: DataFrame) -> DataFrame:
@@ -130,7 +139,8 @@ def completeness(records: DataFrame) -> DataFrame:
         count(F.col("patron") == "").alias("patron_missing"), count(F.col("floor_house") == "passed").alias("floor_house"),
         count(F.col("floor_senate") == "passed").alias("floor_senate"), count(full).alias("floor_both_expected"),
         count(full & ~both).alias("floor_both_missing"), count(F.col("crossed_over")).alias("crossed_over"),
-        count(F.col("vote_tally") != "").alias("with_vote"), count(F.col("upcoming") > 0).alias("with_upcoming"))
+        count(F.col("vote_tally") != "").alias("with_vote"), count(F.col("upcoming") > 0).alias("with_upcoming"),
+        F.sum("unknown_codes").alias("unknown_codes"), count(F.col("unknown_codes") > 0).alias("bills_with_unknown_codes"))
     return one.select(
         "*", (F.col("outcome_unverified") - F.col("outcome_unverified_terminal")).alias("outcome_unverified_absent"),
         K.safe_rate("outcome_keyword_mismatches", "outcome_structural").alias("outcome_keyword_mismatch_rate"),
@@ -146,6 +156,11 @@ def completeness_samples(records: DataFrame, k: int = 10) -> DataFrame:
     return scale.samples(records.select(F.explode(tags).alias("finding"), "bill"), ["finding"], "bill", k, "sample")
 
 
+def titled(text: Column) -> Column:
+    """First letter of every run of letters in upper case: after a hyphen too, unlike ``initcap``."""
+    return F.array_join(F.transform(F.split(text, r"(?<=[^a-z])"), lambda part: F.initcap(part)), "")
+
+
 def state_machine(history: DataFrame) -> DataFrame:
     """Committee and subcommittee with their resets, sticky flags and the last tally.
 
@@ -161,7 +176,7 @@ def state_machine(history: DataFrame) -> DataFrame:
     reset = senate_side | house_side
     leaves_sub = K.contains_any(a, ("reported", "incorporated", "passed by indefinitely", "defeated")) & ~a.contains("recommends")
     sub = F.trim(F.regexp_extract(a, r"(subcommittee[^)]*)", 1))
-    named = F.concat(F.when(a.startswith("h "), "House ").otherwise("Senate "), F.initcap(target))
+    named = F.concat(F.when(a.startswith("h "), "House ").otherwise("Senate "), titled(target))
     committee = F.when(reset, "Unassigned").when(referral, named)
     subcommittee = F.when(reset | leaves_sub, "-").when(sub != "", sub).when(referral, "-")
     tally = F.regexp_extract(a, r"\(\s*(\d+-y\s+\d+-n[^)]*?)\s*\)", 1)

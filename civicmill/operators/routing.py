@@ -39,10 +39,11 @@ def fan_out(history: DataFrame) -> DataFrame:
 def classify_refids(history: DataFrame, vote_keys: DataFrame) -> DataFrame:
     """Adds fanout, in_votes and refid_class."""
     keys = vote_keys.select(F.col("refid").alias("_r")).distinct().withColumn("_in", F.lit(True))
-    work = history.withColumn("_r", F.upper(I.heal_cell("refid")))
+    # blank refids share no key: as nulls they take no part in the joins, wherever a third of the rows has none
+    work = history.withColumn("_r", F.nullif(F.upper(I.heal_cell("refid")), F.lit("")))
     joined = work.join(fan_out(history), ["_r", "date"], "left").join(keys, "_r", "left")
     joined = joined.withColumn("fanout", F.coalesce("fanout", F.lit(0))).withColumn("in_votes", F.coalesce("_in", F.lit(False)))
-    return joined.select(*history.columns, "fanout", "in_votes", K.refid_class("_r", "fanout", "in_votes", healed=True).alias("refid_class"))
+    return joined.select(*history.columns, "fanout", "in_votes", K.refid_class(F.coalesce("_r", F.lit("")), "fanout", "in_votes", healed=True).alias("refid_class"))
 
 
 def with_membership(rows: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFrame:

@@ -155,12 +155,16 @@ def inference_holdout(inferred: DataFrame) -> DataFrame:
     return known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("known") == F.col("inferred")).alias("hits"))
 
 
-def peer_agreement(votes: DataFrame, groups: DataFrame, min_shared: int = 10, min_side: int = 3) -> DataFrame:
+def peer_agreement(votes: DataFrame, groups: DataFrame, min_shared: int = 10, min_side: int = 3, seats: int = 200) -> DataFrame:
     """Mean agreement of each member with the others of their group, over contested roll calls.
 
     Roll calls are packed 62 to a word, so the member pairs of one group meet once per 62 roll calls and
-    are compared with bit operations. Groups are committees or caucuses: their size is a number of seats.
+    are compared with bit operations. Groups are committees or caucuses: their size is a number of seats, at most
+    ``seats`` by contract; a larger one is refused, since its pairs would grow with the square of its size.
     """
+    largest = groups.groupBy("grp").agg(F.count_distinct("member").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > seats:
+        raise ValueError(f"a group of {largest} members exceeds {seats} seats")
     d = votes.select("vote_id", "member", "yes")
     contested = d.groupBy("vote_id").agg(F.count_if("yes").alias("y"), F.count_if(~F.col("yes")).alias("x")).filter((F.col("y") >= min_side) & (F.col("x") >= min_side))
     numbered = scale.row_numbers(contested.select("vote_id"), [], ["vote_id"], "i")

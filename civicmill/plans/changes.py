@@ -37,9 +37,9 @@ def _(t):
     return u.groupBy("kind").agg(N(), F.count_if(F.col("note") == "-").alias("filled"))
 
 
-@query("G02_key_sets", "history bills", "WITH a AS (SELECT DISTINCT bill FROM history), b AS (SELECT DISTINCT bill FROM bills WHERE year<2001) SELECT (SELECT count(*) FROM a) AS \"left\", (SELECT count(*) FROM b) AS \"right\", (SELECT count(*) FROM a JOIN b USING (bill)) AS both, (SELECT count(*) FROM a WHERE bill NOT IN (SELECT bill FROM b)) AS only_left, (SELECT count(*) FROM b WHERE bill NOT IN (SELECT bill FROM a)) AS only_right")
+@query("G02_key_sets", "history bills", "WITH a AS (SELECT DISTINCT bill FROM history), b AS (SELECT DISTINCT CASE WHEN year >= 2001 THEN 'X'||bill ELSE bill END AS bill FROM bills) SELECT (SELECT count(*) FROM a) AS \"left\", (SELECT count(*) FROM b) AS \"right\", (SELECT count(*) FROM a JOIN b USING (bill)) AS both, (SELECT count(*) FROM a WHERE bill NOT IN (SELECT bill FROM b)) AS only_left, (SELECT count(*) FROM b WHERE bill NOT IN (SELECT bill FROM a)) AS only_right")
 def _(t):
-    return G.key_set_summary(t.history, t.bills.filter("year < 2001"), ["bill"])
+    return G.key_set_summary(t.history, t.bills.withColumn("bill", F.expr("if(year >= 2001, concat('X', bill), bill)")), ["bill"])
 
 
 @query("G03_history_diff", "history", f"WITH {_DIFF} SELECT CASE WHEN p.a IS NULL THEN 'history_added' WHEN c.a IS NULL THEN 'history_removed' ELSE 'history_edited' END AS kind, coalesce(p.bill,c.bill) AS bill, coalesce(p.date,c.date) AS date, CASE WHEN coalesce(p.by_,c.by_)='refid' THEN coalesce(p.ident,c.ident) ELSE '' END AS refid, coalesce(p.a,'') AS old, coalesce(c.a,'') AS new FROM p FULL JOIN c ON p.bill=c.bill AND p.date=c.date AND p.by_=c.by_ AND p.ident=c.ident WHERE p.a IS DISTINCT FROM c.a")
@@ -136,13 +136,15 @@ def _(t):
     return Q.conservation(h, first, {"duplicates": extra, "out_of_window": h.filter(~inside)})
 
 
-@query("D40_health_findings", "bills", """WITH c AS (SELECT count(*) AS seen, count(*) FILTER (WHERE num % 97 = 0) AS malformed, count(*) FILTER (WHERE num % 97 <> 0) AS written, count(*) FILTER (WHERE num % 97 <> 0 AND fo IS NULL) AS unresolved, 0 AS unknown_chamber, count(*) FILTER (WHERE num % 97 <> 0 AND num % 50 = 1) AS no_session FROM (SELECT *, """ + S.FLAG_OUTCOME + """ AS fo FROM bills))
- SELECT 'CRITICAL' AS status, u.* FROM c, LATERAL (SELECT 'CRITICAL' AS severity, 'MALFORMED_BILL_ID' AS code, malformed AS count, seen AS denominator UNION ALL SELECT 'WARN','UNKNOWN_STRUCTURAL_OUTCOME',unresolved,written UNION ALL SELECT 'WARN','SOURCE_URL_MISSING_SESSION',no_session,written) u""")
+@query("D40_health_findings", "bills", """WITH c AS (SELECT count(*) AS seen, count(*) FILTER (WHERE num % 97 = 0) AS malformed, count(*) FILTER (WHERE num % 97 <> 0) AS written, count(*) FILTER (WHERE num % 97 <> 0 AND fo IS NULL) AS unresolved, count(*) FILTER (WHERE num % 97 <> 0 AND chamber NOT IN ('House','Senate')) AS unknown_chamber, count(*) FILTER (WHERE num % 97 <> 0 AND num % 50 = 1) AS no_session, count(*) FILTER (WHERE num % 97 <> 0 AND trim(action)='') AS no_text FROM (SELECT *, CASE WHEN num % 83 = 0 THEN 'Joint' ELSE string_split(committee,' ')[1] END AS chamber, CASE WHEN num % 61 = 0 THEN ' ' ELSE status END AS action, """ + S.FLAG_OUTCOME + """ AS fo FROM bills))
+ SELECT 'CRITICAL' AS status, u.* FROM c, LATERAL (SELECT 'CRITICAL' AS severity, 'MALFORMED_BILL_ID' AS code, malformed AS count, seen AS denominator UNION ALL SELECT 'WARN','UNKNOWN_STRUCTURAL_OUTCOME',unresolved,written UNION ALL SELECT 'WARN','UNKNOWN_CHAMBER_VALUE',unknown_chamber,written UNION ALL SELECT 'WARN','SOURCE_URL_MISSING_SESSION',no_session,written UNION ALL SELECT 'WARN','MISSING_ACTION_TEXT',no_text,written) u WHERE u.count>0""")
 def _(t):
     ok = F.col("num") % 97 != 0
+    chamber = F.when(F.col("num") % 83 == 0, "Joint").otherwise(F.substring_index("committee", " ", 1))
+    action = F.when(F.col("num") % 61 == 0, " ").otherwise(F.col("status"))
     counters = t.bills.withColumn("fo", K.outcome_from_flags()).agg(
         F.count(F.lit(1)).alias("seen"), F.count_if(~ok).alias("malformed"), F.count_if(ok).alias("written"), F.count_if(ok & F.col("fo").isNull()).alias("unresolved"),
-        F.lit(0).cast("bigint").alias("unknown_chamber"), F.count_if(ok & (F.col("num") % 50 == 1)).alias("no_session"), F.lit(0).cast("bigint").alias("no_text"))
+        F.count_if(ok & ~chamber.isin("House", "Senate")).alias("unknown_chamber"), F.count_if(ok & (F.col("num") % 50 == 1)).alias("no_session"), F.count_if(ok & (F.trim(action) == "")).alias("no_text"))
     return Q.health_findings(counters)
 
 

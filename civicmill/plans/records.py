@@ -27,7 +27,8 @@ def bill_records(t):
 
 _NAMES = "cm AS (SELECT DISTINCT committee_code AS code, committee AS name FROM history UNION SELECT DISTINCT committee_code, committee FROM bills)"
 _CODE = f"nullif(regexp_extract(upper({S.heal('refid')}), '^([HS]\\d{{1,2}})((\\d{{3}})?V\\d+)?$', 1), '')"
-_ACTS = f"acts AS (SELECT bill, num, seq, {_CODE} AS code, regexp_matches(upper({S.heal('refid')}), '^[HS]\\d{{1,2}}$') AS ref, CASE WHEN substr({_CODE},1,1)='H' THEN 'House' ELSE 'Senate' END AS ch FROM history WHERE {_CODE} IS NOT NULL)"
+_ACTS = f"acts AS (SELECT bill, num, seq, {_CODE} AS code, regexp_matches(upper({S.heal('refid')}), '^[HS]\\d{{1,2}}$') AS ref, CASE WHEN substr({_CODE},1,1)='H' THEN 'House' ELSE 'Senate' END AS ch FROM history WHERE {_CODE} IN (SELECT code FROM cm)), unk AS (SELECT bill, count(*) AS unknown_codes FROM history WHERE {_CODE} IS NOT NULL AND {_CODE} NOT IN (SELECT code FROM cm) GROUP BY 1)"
+_KNOWN = "cm AS (SELECT DISTINCT committee_code AS code, committee AS name FROM history)"
 _POS = f"""{_ACTS}, pos AS (SELECT a.bill, max_by(code, seq) AS last_code, max_by(ch, seq) AS chamber, bool_or(ch <> CASE WHEN a.bill[1]='H' THEN 'House' ELSE 'Senate' END) AS crossed_over,
  coalesce(max(m.k),0) AS referral_count FROM acts a LEFT JOIN (SELECT bill, count(*) FILTER (WHERE p IS NULL OR p<>code) AS k FROM (SELECT bill, code, lag(code) OVER (PARTITION BY bill ORDER BY seq) AS p FROM acts WHERE ref) GROUP BY 1) m USING (bill) GROUP BY a.bill)"""
 
@@ -38,15 +39,15 @@ def _side(c):
 
 _FLOOR = f"flo AS (SELECT bill, {_side('house')} AS floor_house, {_side('senate')} AS floor_senate FROM history GROUP BY 1)"
 _TALLY = r"regexp_extract(action,'(?i)(\d+-Y\s+\d+-N(\s+\d+-A\w*)?)',1)"
-_VOTE = f"vot AS (SELECT bill, trim(tally) AS vote_tally, date AS vote_date, code AS vote_code FROM (SELECT *, {_TALLY} AS tally, {_CODE} AS code, row_number() OVER (PARTITION BY bill ORDER BY seq DESC) AS rn FROM history WHERE {_TALLY}<>'') WHERE rn=1)"
+_VOTE = f"vot AS (SELECT bill, trim(tally) AS vote_tally, date AS vote_date, code AS vote_code FROM (SELECT *, {_TALLY} AS tally, CASE WHEN {_CODE} IN (SELECT code FROM cm) THEN {_CODE} END AS code, row_number() OVER (PARTITION BY bill ORDER BY seq DESC) AS rn FROM history WHERE {_TALLY}<>'') WHERE rn=1)"
 _UP = f"upc AS (SELECT bill, n AS upcoming, date AS next_date, committee AS next_committee FROM (SELECT bill, date, committee, count(*) OVER (PARTITION BY bill) AS n, row_number() OVER (PARTITION BY bill ORDER BY date, committee) AS rn FROM history WHERE date >= '{TODAY}') WHERE rn=1)"
 RECORD = f"""{_NAMES}, {_POS}, {_FLOOR}, {_VOTE}, {_UP}, ends AS (SELECT bill, max_by(date, seq) AS d, count(*) AS actions FROM history GROUP BY 1), oc AS ({S.OUTCOME}),
  rec AS (SELECT oc.bill, title, status, outcome, CASE WHEN fo IS NOT NULL THEN 'structural_flag' ELSE 'keyword_fallback' END AS outcome_origin, coalesce(fo<>wo,false) AS outcome_mismatch,
  (fo IS NULL AND wo IN {S.lst(K.SETTLED_OUTCOMES)}) AS unverified_terminal, patron, coalesce(chamber, CASE WHEN oc.bill[1]='H' THEN 'House' ELSE 'Senate' END) AS chamber, coalesce(crossed_over,false) AS crossed_over,
  coalesce(floor_house,'') AS floor_house, coalesce(floor_senate,'') AS floor_senate, coalesce(a.name,'') AS last_committee, coalesce(referral_count,0) AS referral_count, coalesce(vote_tally,'') AS vote_tally,
  CASE WHEN vote_tally IS NULL THEN '' ELSE coalesce(b.name,'Floor') END AS vote_location, coalesce(vote_date,'') AS vote_date, coalesce(upcoming,0) AS upcoming, coalesce(next_date,'') AS next_date,
- coalesce(next_committee,'') AS next_committee, coalesce(ends.d,'') AS last_action_date, coalesce(actions,0) AS actions
- FROM oc LEFT JOIN pos USING (bill) LEFT JOIN flo USING (bill) LEFT JOIN vot USING (bill) LEFT JOIN upc USING (bill) LEFT JOIN ends USING (bill) LEFT JOIN cm a ON a.code=last_code LEFT JOIN cm b ON b.code=vote_code)"""
+ coalesce(next_committee,'') AS next_committee, coalesce(ends.d,'') AS last_action_date, coalesce(actions,0) AS actions, coalesce(unknown_codes,0) AS unknown_codes
+ FROM oc LEFT JOIN pos USING (bill) LEFT JOIN flo USING (bill) LEFT JOIN vot USING (bill) LEFT JOIN upc USING (bill) LEFT JOIN ends USING (bill) LEFT JOIN unk USING (bill) LEFT JOIN cm a ON a.code=last_code LEFT JOIN cm b ON b.code=vote_code)"""
 
 
 @query("C01_bill_records", "bills history", f"WITH {RECORD} SELECT * FROM rec")
@@ -74,7 +75,7 @@ def _(t):
  count(*) FILTER (WHERE outcome_origin='keyword_fallback') AS outcome_unverified, count(*) FILTER (WHERE outcome_mismatch) AS outcome_keyword_mismatches, count(*) FILTER (WHERE unverified_terminal) AS outcome_unverified_terminal,
  count(*) FILTER (WHERE patron<>'') AS patron_present, count(*) FILTER (WHERE patron='') AS patron_missing, count(*) FILTER (WHERE floor_house='passed') AS floor_house, count(*) FILTER (WHERE floor_senate='passed') AS floor_senate,
  count(*) FILTER (WHERE outcome IN ('awaiting_governor','signed','vetoed')) AS floor_both_expected, count(*) FILTER (WHERE outcome IN ('awaiting_governor','signed','vetoed') AND NOT (floor_house='passed' AND floor_senate='passed')) AS floor_both_missing,
- count(*) FILTER (WHERE crossed_over) AS crossed_over, count(*) FILTER (WHERE vote_tally<>'') AS with_vote, count(*) FILTER (WHERE upcoming>0) AS with_upcoming FROM rec)
+ count(*) FILTER (WHERE crossed_over) AS crossed_over, count(*) FILTER (WHERE vote_tally<>'') AS with_vote, count(*) FILTER (WHERE upcoming>0) AS with_upcoming, CAST(sum(unknown_codes) AS BIGINT) AS unknown_codes, count(*) FILTER (WHERE unknown_codes>0) AS bills_with_unknown_codes FROM rec)
  SELECT *, outcome_unverified-outcome_unverified_terminal AS outcome_unverified_absent, round(outcome_keyword_mismatches/outcome_structural,4) AS outcome_keyword_mismatch_rate, round(outcome_unverified/records_written,4) AS outcome_unverified_rate,
  round(floor_both_missing/floor_both_expected,4) AS floor_reconcile_rate FROM z""")
 def _(t):
@@ -88,9 +89,9 @@ def _(t):
     return R.completeness_samples(K.with_outcome(t.bills))
 
 
-@query("E01_position", "history", f"WITH {_POS} SELECT bill, last_code, chamber, crossed_over, referral_count FROM pos")
+@query("E01_position", "history", f"WITH {_KNOWN}, {_POS} SELECT bill, last_code, chamber, crossed_over, referral_count FROM pos")
 def _(t):
-    return R.positions(t.history).select("bill", "last_code", "chamber", "crossed_over", "referral_count")
+    return R.positions(t.history, committees(t)).select("bill", "last_code", "chamber", "crossed_over", "referral_count")
 
 
 @query("E02_floor_outcome", "history", f"WITH {_FLOOR} SELECT * FROM flo")
@@ -98,16 +99,17 @@ def _(t):
     return R.floor_outcomes(t.history)
 
 
-@query("E03_latest_vote", "history", f"WITH {_VOTE} SELECT bill, vote_tally, vote_date, coalesce(vote_code,'Floor') AS vote_code FROM vot")
+@query("E03_latest_vote", "history", f"WITH {_KNOWN}, {_VOTE} SELECT bill, vote_tally, vote_date, coalesce(vote_code,'Floor') AS vote_code FROM vot")
 def _(t):
-    return R.latest_votes(t.history).withColumn("vote_code", F.coalesce("vote_code", F.lit("Floor")))
+    return R.latest_votes(t.history, committees(t)).withColumn("vote_code", F.coalesce("vote_code", F.lit("Floor")))
 
 
 _A = "lower(action)"
 _RESET = S.like_any(_A, ("passed house", "passed senate", "agreed to by house", "agreed to by senate"))
 _REF = rf"regexp_matches({_A}, 'referred to\s?[a-z\s&,-]+')"
 _TARGET = rf"trim(split_part(regexp_extract({_A}, 'referred to\s?([a-z\s&,-]+)', 1),'(',1))"
-_TITLED = f"array_to_string(list_transform(string_split({_TARGET},' '), lambda w: upper(substr(w,1,1))||substr(w,2)),' ')"
+_EACH = lambda text, cut: f"array_to_string(list_transform(string_split({text},'{cut}'), lambda w: upper(substr(w,1,1))||substr(w,2)),'{cut}')"
+_TITLED = _EACH(_EACH(_TARGET, " "), "-")
 _SUB = f"trim(regexp_extract({_A}, '(subcommittee[^)]*)', 1))"
 _LEAVES = S.like_any(_A, ("reported", "incorporated", "passed by indefinitely", "defeated")) + f" AND NOT contains({_A},'recommends')"
 _STATE = rf"""st AS (SELECT bill, seq, CASE WHEN {_RESET} THEN 'Unassigned' WHEN {_REF} THEN CASE WHEN starts_with({_A},'h ') THEN 'House ' ELSE 'Senate ' END||{_TITLED} END AS c,

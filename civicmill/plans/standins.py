@@ -107,7 +107,7 @@ def history(d):
     refid = (
         f"case l_linenumber when 1 then concat({_code(d, k)}, 'V', {d.pad('l_partkey', 7)}) "
         f"when 2 then concat('2611', {d.pad('l_partkey % 10000', 4)}) when 3 then cast(5000 + l_suppkey as string) "
-        f"when 4 then {_code(d, k)} when 5 then concat({d.pad('l_partkey', 8)}, 'D') "
+        f"when 4 then case when l_partkey % 40 = 0 then {d.pick('l_suppkey % 2', 'H99', 'S98')} else {_code(d, k)} end when 5 then concat({d.pad('l_partkey', 8)}, 'D') "
         f"when 6 then concat({_bill('l_orderkey')}, 'F122') "
         "else case when l_quantity < 20 then ' nan ' when l_quantity < 30 then concat('SV', cast(l_suppkey as string)) "
         "when l_quantity < 40 then concat(cast(l_suppkey as string), '.0') else 'WEIRD-XYZ' end end")

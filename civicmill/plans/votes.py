@@ -187,18 +187,18 @@ def _(t):
     return V.climb(organisations(t))
 
 
-@query("C15_vote_facts", "votes members", f"WITH {_ORGS}, up AS (SELECT o.id, coalesce(o.value, n.value, r.value) AS value FROM orgs o LEFT JOIN orgs n ON o.parent=n.id AND o.value IS NULL LEFT JOIN orgs r ON n.parent=r.id AND n.value IS NULL), ev AS (SELECT vote_id, 'S'||min(org) AS org_id FROM votes WHERE year < 2001 GROUP BY 1), f AS (SELECT v.*, ev.org_id, up.value AS venue, m.member AS mm FROM votes v LEFT JOIN ev USING (vote_id) LEFT JOIN up ON up.id=ev.org_id LEFT JOIN (SELECT member FROM members WHERE status='Active') m ON m.member=v.member) SELECT CASE WHEN org_id IS NULL THEN 'no_event' WHEN venue IS NULL THEN 'no_venue' WHEN mm IS NULL THEN 'no_member' ELSE 'matched' END AS match, coalesce(venue,'?') AS venue, count(*) AS n FROM f GROUP BY 1,2")
+@query("C15_vote_facts", "votes members", f"WITH {_ORGS}, up AS (SELECT o.id, coalesce(o.value, n.value, r.value) AS value FROM orgs o LEFT JOIN orgs n ON o.parent=n.id AND o.value IS NULL LEFT JOIN orgs r ON n.parent=r.id AND n.value IS NULL), ev AS (SELECT CASE WHEN year >= 2001 THEN 'X'||vote_id ELSE vote_id END AS vote_id, 'S'||min(org) AS org_id FROM votes GROUP BY 1), f AS (SELECT v.*, ev.org_id, up.value AS venue, m.member AS mm FROM votes v LEFT JOIN ev USING (vote_id) LEFT JOIN up ON up.id=ev.org_id LEFT JOIN (SELECT member FROM members WHERE status='Active') m ON m.member=v.member) SELECT CASE WHEN org_id IS NULL THEN 'no_event' WHEN venue IS NULL THEN 'no_venue' WHEN mm IS NULL THEN 'no_member' ELSE 'matched' END AS match, coalesce(venue,'?') AS venue, count(*) AS n FROM f GROUP BY 1,2")
 def _(t):
-    events = t.votes.filter("year < 2001").groupBy("vote_id").agg(F.concat(F.lit("S"), F.min("org").cast("string")).alias("org_id"))
+    events = t.votes.groupBy(F.expr("if(year >= 2001, concat('X', vote_id), vote_id)").alias("vote_id")).agg(F.concat(F.lit("S"), F.min("org").cast("string")).alias("org_id"))
     facts = V.vote_facts(t.votes, events, V.climb(organisations(t)), t.members.filter("status = 'Active'"))
     return facts.groupBy("match", F.coalesce("venue", F.lit("?")).alias("venue")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C16_peer_agreement", "votes members", f"""WITH {DIR}, con AS (SELECT vote_id FROM summ WHERE yes_n>=3 AND no_n>=3), c AS (SELECT vote_id, member, yes, committee AS grp FROM dir WHERE vote_id IN (SELECT vote_id FROM con)),
+@query("C16_peer_agreement", "votes members", f"""WITH {DIR}, con AS (SELECT vote_id FROM summ WHERE yes_n>=3 AND no_n>=3), c AS (SELECT vote_id, member, yes, CAST(substr(member,2) AS BIGINT)//16 AS grp FROM dir WHERE vote_id IN (SELECT vote_id FROM con)),
  p AS (SELECT a.grp, a.member, b.member AS peer, count(*) AS shared, count(*) FILTER (WHERE a.yes=b.yes) AS same FROM c a JOIN c b ON a.vote_id=b.vote_id AND a.grp=b.grp AND a.member<>b.member GROUP BY 1,2,3 HAVING count(*)>=10)
  SELECT grp, member, round(avg(same/shared),6) AS agreement, count(*) AS peers FROM p GROUP BY 1,2""")
 def _(t):
-    return V.peer_agreement(directional(t), t.members.select("member", F.col("committee").alias("grp")))
+    return V.peer_agreement(directional(t), t.members.select("member", F.expr("suppkey div 16").alias("grp")))
 
 
 _SEASON = f"""{DIR}, s AS (SELECT member, party, chamber, year, CASE WHEN party = CASE WHEN (year + (chamber='H')::INT) % 2 = 0 THEN 'D' ELSE 'R' END THEN 'maj' ELSE 'min' END AS standing, count(*) AS n, count(*) FILTER (WHERE defect) AS d FROM flagged WHERE party<>'' GROUP BY ALL HAVING count(*)>=20),

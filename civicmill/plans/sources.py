@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from civicmill.functions import ids as I
 from civicmill.plans.registry import query
-from civicmill.session import scratch_path
+from civicmill.session import cut_lineage, scratch_path
 from civicmill.sources import readers as Rd
 from civicmill.sources import writers as Wr
 
@@ -95,12 +97,17 @@ def _(t):
     return Rd.labelled_links(_link_rows(t), "html", "event_id")[1]
 
 
-@query("A07_file_manifest")
+@query("A07_file_manifest", "texts", """SELECT u.scenario, u.state, (SELECT count(*) FROM texts) AS lines FROM (VALUES ('same','ok'), ('tampered','changed'), ('new','unlisted'), ('lost','missing')) u(scenario, state)""")
 def _(t):
+    """The files against their own manifest, a tampered one, an empty one, and with all files gone: states found in each."""
     path = scratch_path(t.spark, "files")
     t.texts.select(F.regexp_replace("text", r"[\r\n]", " ").alias("value")).write.mode("overwrite").text(path)
-    manifest = Rd.file_manifest(t.spark, path)
-    return Rd.verify_manifest(Rd.file_manifest(t.spark, path), manifest).groupBy("state").agg(N())
+    files = cut_lineage(Rd.file_manifest(t.spark, path))
+    lines = t.spark.read.text(path).agg(N()).scalar()
+    tampered = files.withColumn("sha256", F.sha2("sha256", 256))
+    cases = (("same", files, files), ("tampered", files, tampered), ("new", files, files.limit(0)), ("lost", files.limit(0), files))
+    states = [Rd.verify_manifest(current, manifest).select(F.lit(name).alias("scenario"), "state").distinct() for name, current, manifest in cases]
+    return reduce(lambda x, y: x.unionByName(y), states).withColumn("lines", lines)
 
 
 @query("A08_guarded_publish", "bills", "SELECT status, count(*) AS n FROM bills GROUP BY 1")
@@ -149,9 +156,8 @@ def _(t):
 @query("A14_session_registry", "bills", "SELECT 'VA' AS jurisdiction, session, count(*) AS rows, 3 AS columns, session = (SELECT max(session) FROM bills) AS active FROM bills GROUP BY 2")
 def _(t):
     root = scratch_path(t.spark, "archive")
-    sessions = [r["session"] for r in t.bills.select("session").distinct().orderBy("session").collect()]  # one row per yearly session
-    entries = [Wr.archive_session(t.bills.filter(F.col("session") == s).select("bill", "title", "status"), root, s) for s in sessions]
-    registry = t.spark.createDataFrame([("VA", e["session"], e["location"], e["rows"], e["columns"], i) for i, e in enumerate(entries)], "jurisdiction string, session string, location string, rows bigint, columns bigint, archived_at int")
+    entries = Wr.archive_sessions(t.bills.select("session", "bill", "title", "status"), root, "session")
+    registry = entries.withColumn("jurisdiction", F.lit("VA")).withColumn("archived_at", F.lit(0))
     active = Wr.resolve_active(registry).withColumnRenamed("location", "_l")
     return registry.join(active, "jurisdiction").select("jurisdiction", "session", "rows", "columns", (F.col("location") == F.col("_l")).alias("active"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from civicmill import scale
 from civicmill.functions import ids as I
+from civicmill.session import cut_lineage
 
 
 class PublishRefused(RuntimeError):
@@ -94,16 +95,26 @@ def prune(log: DataFrame, order: str, stamp: str, now: str, days: int) -> DataFr
     return log.filter(F.col(order) >= F.lit(plan["keep_from"]))
 
 
-def archive_session(df: DataFrame, root: str, session: str) -> dict:
-    """Copy one session, read it back, compare rows, content and columns; only then is it fit for the registry."""
+def archive_sessions(df: DataFrame, root: str, session: str) -> DataFrame:
+    """Copy every session in one write, read it back, compare rows and content; only then is it fit for the registry.
+
+    Returns session, location, rows and columns. One grouped digest on either side compares all sessions at once.
+    """
     spark = df.sparkSession
-    target = f"{root.rstrip('/')}/session={session}"
-    df.write.mode("overwrite").parquet(target)
-    back = spark.read.parquet(target)
-    digest = lambda x: tuple(x.agg(*scale.multiset_digest(*sorted(df.columns))).first())
-    if sorted(back.columns) != sorted(df.columns) or digest(back) != digest(df):
-        raise PublishRefused(f"archive of session {session} does not match its source")
-    return {"session": session, "location": target, "rows": digest(back)[0], "columns": len(df.columns)}
+    columns = [c for c in df.columns if c != session]
+    df.write.mode("overwrite").partitionBy(session).parquet(root)
+    back = spark.read.schema(df.schema).parquet(root)
+    digest = lambda x: x.groupBy(session).agg(*scale.multiset_digest(*sorted(columns)))
+    ours, theirs = digest(df), digest(back).select(F.col(session).alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("rows", "digest_lo", "digest_hi")])
+    same = F.lit(True)
+    for c in ("rows", "digest_lo", "digest_hi"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    compared = cut_lineage(ours.join(theirs, F.col(session).eqNullSafe(F.col("_s")), "full").withColumn("same", same))
+    wrong = [r[0] for r in compared.filter("not same").select(F.coalesce(session, "_s")).limit(5).collect()]
+    if wrong:
+        raise PublishRefused(f"archive does not match its source, first in sessions {wrong}")
+    place = F.concat(F.lit(f"{root.rstrip('/')}/{session}="), F.col(session))
+    return compared.select(F.col(session), place.alias("location"), "rows", F.lit(len(columns)).cast("bigint").alias("columns"))
 
 
 def resolve_active(registry: DataFrame) -> DataFrame:

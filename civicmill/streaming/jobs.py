@@ -6,14 +6,15 @@ state live in the checkpoint folder, so a lost executor or driver resumes where
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from civicmill import scale
 from civicmill.operators.diffs import WITNESS_FIELDS
+from civicmill.session import cut_lineage
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
@@ -29,54 +30,67 @@ def run(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> D
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-# --- change feed ---------------------------------------------------------------------------------------------------
-_FEED = "date string, committee string, event_type string, time string, sort_time string, status string, location string"
-_STATE = "time string, sort_time string, status string, location string"
+# --- operators with keyed state ------------------------------------------------------------------------------------
+Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
 
-def _step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Deltas of one meeting, in poll order. Only the last seen fields are kept as state."""
-    polls = pd.concat(list(batches)).sort_values("seen")  # one meeting's polls inside one micro-batch
-    last = tuple(state.get) if state.exists else None
-    rows = []
-    for p in polls[list(WITNESS_FIELDS)].itertuples(index=False, name=None):
-        if last is None:
-            rows.append((*key, "ADDED", *p))
-        elif p != last:
-            backfill = p[:3] == last[:3] and not last[3] and bool(p[3])
-            rows.append((*key, "BACKFILL" if backfill else "CHANGED", *p))
-        last = p
-    state.update(last)
-    yield pd.DataFrame(rows, columns=["date", "committee", "event_type", *WITNESS_FIELDS])
+def run_keyed(stream: DataFrame, step: Step, out: str, state: str, checkpoint: str) -> DataFrame:
+    """Drain a stream through ``step(batch, state) -> (events, new state)``; returns the events, each with its ``batch``.
+
+    Every micro-batch runs the batch operators on the cluster, so a backfill of one hot key is split as any table is.
+    Events and state are tables of the batch's number: a batch that is run again after a failure replaces its own.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = cut_lineage(batch)
+        events, new = step(rows, spark.read.parquet(f"{state}/{number - 1}") if number else None)
+        new.write.mode("overwrite").parquet(f"{state}/{number}")
+        events.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.parquet(out)
 
 
-def change_feed(polls: DataFrame) -> DataFrame:
-    """ADDED / CHANGED / BACKFILL against the last poll of the same meeting.
+def change_feed(polls: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """ADDED / CHANGED / BACKFILL of each poll against the one before it of the same meeting, in poll order.
 
-    ``polls``: date, committee, seen, time, sort_time, status, location. State is four strings per meeting.
+    ``polls``: date, committee, seen, time, sort_time, status, location. The state is the last poll of each meeting.
+    A location that was merely empty before is a backfill. Polls older than the state's are compared where they fall.
+    """
+    keys, fields = ["date", "committee"], list(WITNESS_FIELDS)
+    rows = polls.select(*keys, "seen", *fields, F.lit(True).alias("_new"))
+    if state is not None:
+        rows = rows.unionByName(state.select(*keys, "seen", *fields, F.lit(False).alias("_new")))
+    steps = scale.running(rows, keys, ["seen", "_new"], lags={"_p": F.struct(*fields)})
+    differs = [~F.col(f).eqNullSafe(F.col(f"_p.{f}")) for f in fields]
+    others, moved = reduce(lambda a, b: a | b, differs[:-1]), differs[-1]
+    backfill = ~others & moved & (F.coalesce("_p.location", F.lit("")) == "") & (F.coalesce("location", F.lit("")) != "")
+    kind = F.when(F.col("_p").isNull(), "ADDED").when(backfill, "BACKFILL").when(others | moved, "CHANGED")
+    events = steps.filter("_new").withColumn("event_type", kind).filter("event_type IS NOT NULL")
+    return events.select(*keys, "seen", "event_type", *fields), scale.latest(rows.drop("_new"), keys, ["seen"]).select(*keys, "seen", *fields)
+
+
+def outages(signals: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Closed outages per (cls, detector) with their failures; the state holds the open ones.
+
+    ``signals``: cls, detector, ts, event_id, ok. An open outage stands in for its failures: it comes back as one
+    failed signal at its start, which counts for all of them.
     """
-    return polls.groupBy("date", "committee").applyInPandasWithState(_step, _FEED, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-# --- outages -------------------------------------------------------------------------------------------------------
-def _outage(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    signals = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    start, failures = state.get if state.exists else (None, 0)
-    rows = []
-    for ts, ok in signals[["ts", "ok"]].itertuples(index=False, name=None):
-        if ok and start is not None:
-            rows.append((*key, start, ts, failures))
-            start, failures = None, 0
-        elif not ok:
-            start, failures = (ts if start is None else start), failures + 1
-    state.update((start, failures))
-    yield pd.DataFrame(rows, columns=["cls", "detector", "start", "end", "failures"])
-
-
-def outages(signals: DataFrame) -> DataFrame:
-    """Closed outages per (cls, detector), emitted when the next pass arrives. Open ones stay in the state."""
-    return signals.groupBy("cls", "detector").applyInPandasWithState(
-        _outage, "cls string, detector string, start timestamp, end timestamp, failures bigint", "start timestamp, failures bigint", "append", GroupStateTimeout.NoTimeout)
+    columns = ["cls", "detector", "ts", "event_id", "ok"]
+    rows = signals.select(*columns, F.lit(1).cast("bigint").alias("weight"))
+    if state is not None:
+        rows = rows.unionByName(state.select("cls", "detector", "ts", "event_id", F.lit(False).alias("ok"), F.col("failures").alias("weight")))
+    counted = scale.running(rows, ["cls", "detector"], ["ts", "event_id"], sums={"passes": F.when(F.col("ok"), 1).otherwise(0).cast("bigint")})
+    failed, first = F.when(~F.col("ok"), F.col("weight")), F.struct("ts", "event_id")
+    groups = counted.groupBy("cls", "detector", "passes").agg(
+        F.min(F.when(~F.col("ok"), first)).alias("start"), F.sum(failed).alias("failures"), F.min(F.when(F.col("ok"), F.col("ts"))).alias("pass_ts"))
+    groups = cut_lineage(groups)
+    closing = groups.select("cls", "detector", (F.col("passes") - 1).alias("passes"), F.col("pass_ts").alias("end")).filter("end IS NOT NULL")
+    all_outages = groups.filter("start IS NOT NULL").join(closing, ["cls", "detector", "passes"], "left")
+    closed = all_outages.filter("end IS NOT NULL").select("cls", "detector", F.col("start.ts").alias("start"), "end", "failures")
+    return closed, all_outages.filter("end IS NULL").select("cls", "detector", "start.ts", "start.event_id", "failures")
 
 
 # --- windows -------------------------------------------------------------------------------------------------------

@@ -348,16 +348,40 @@ def metric_series(log: DataFrame, key: str, per: str | None = None) -> DataFrame
 
 
 # --- time resolution ---------------------------------------------------------------------------------------------
-def resolution_ladder(rows: DataFrame, rungs: Sequence[tuple[str, DataFrame, Sequence[str]]], default: str) -> DataFrame:
+def resolution_ladder(rows: DataFrame, rungs: Sequence[tuple[str, DataFrame, Sequence[str]]], default: str | Column) -> DataFrame:
     """First rung that knows a time, with the rung's name as origin. Each rung has one row per key."""
+    default = F.lit(default) if isinstance(default, str) else default
     out = rows
     for i, (name, table, keys) in enumerate(rungs):
         out = out.join(table.select(*keys, F.col("time").alias(f"_t{i}")), list(keys), "left")
     found = F.coalesce(*[F.when(F.col(f"_t{i}").isNotNull(), F.struct(F.col(f"_t{i}").alias("time"), F.lit(name).alias("origin")))
-                         for i, (name, _, _) in enumerate(rungs)], F.struct(F.lit(None).cast("string").alias("time"), F.lit(default).alias("origin")))
+                         for i, (name, _, _) in enumerate(rungs)], F.struct(F.lit(None).cast("string").alias("time"), default.alias("origin")))
     return out.withColumn("_f", found).select(*rows.columns, F.col("_f.time").alias("resolved_time"), F.col("_f.origin").alias("resolved_origin"))
 
 
+def parent_committee(name) -> Column:
+    """The committee a subcommittee belongs to; null for a committee."""
+    parent = F.trim(F.regexp_extract(name, r"^(.*?)\s+-\s+", 1))
+    return F.when(parent != "", parent)
+
+
+def agenda_hint(text) -> Column:
+    """The committee whose agenda a text says the item was placed on; null if it says none."""
+    hint = F.trim(F.regexp_extract(text, r"(?i)placed on (.+?) agenda", 1))
+    return F.when(hint != "", hint)
+
+
+def overlapping_names(rows: DataFrame, schedule: DataFrame) -> DataFrame:
+    """(date, committee, time): names of one date of which one contains the other; the first scheduled name decides.
+
+    Works on the distinct names of a date on both sides, of which there are as many as committees, not as rows.
+    """
+    asked = rows.select("date", "committee").filter("committee <> ''").distinct()
+    named = schedule.select("date", F.col("committee").alias("name"), "time").distinct()
+    met = asked.join(named, "date").filter(F.contains("name", "committee") | F.contains("committee", "name"))
+    return met.groupBy("date", "committee").agg(F.min_by("time", "name").alias("time"))
+
+
 def relative_chain(nodes: DataFrame) -> DataFrame:
     """Clock of every (date, name): published, or the anchor's clock plus an offset, through a chain of any length.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicmill import scale
@@ -85,7 +85,21 @@ def archive_overlap(ids: DataFrame, session: str, key: str) -> DataFrame:
     return out.select("session", "later", "size", "later_size", "shared", F.round(F.col("shared") / least, 4).alias("overlap"), ((F.col("shared") == F.col("size")) & (F.col("size") == F.col("later_size"))).alias("duplicate"))
 
 
-VERBS = ("reported", "passed", "defeated", "stricken", "continued", "left in")
+# Phrases of an action taken in a meeting, and clerical ones that override them.
+MEETING_PHRASES = ("reported from", "recommends reporting", "recommends continuing", "recommends passing", "recommends laying", "recommends defeating", "recommends striking",
+                   "committee amendment offered", "committee substitute offered", "subcommittee substitute offered", "subcommittee amendment offered", "committee offered",
+                   "subcommittee offered", "continued to next session", "continued to 2027", "passed by for the day", "passed by indefinitely", "engrossed", "read first time",
+                   "read second time", "read third time", "constitutional reading dispensed", "taken up", "laid on the table", "stricken from docket", "block vote", "voice vote",
+                   "rules suspended")
+CLERICAL_PHRASES = ("placed on ", "assigned ", "referred to", "rereferred", "transmitted to", "enrolled", "approved by", "signed by", "fiscal impact statement",
+                    "fiscal impact statement from", "prefiled", "printed for", "committee substitute printed", "incorporates", "communicated", "enrolled bill", "scheduled",
+                    "continued to 2027 in")
+
+
+def is_meeting_action(c) -> Column:
+    """A meeting phrase occurs and no clerical one: a filing that mentions an action is no action."""
+    text = F.lower(F.coalesce(F.col(c), F.lit("")))
+    return K.contains_any(text, MEETING_PHRASES) & ~K.contains_any(text, CLERICAL_PHRASES)
 
 
 def three_way(sheet: DataFrame, truth: DataFrame, history: DataFrame) -> DataFrame:
@@ -93,7 +107,7 @@ def three_way(sheet: DataFrame, truth: DataFrame, history: DataFrame) -> DataFra
 
     ``sheet``: bill, date, outcome, committee, time. ``truth``: bill, date, action. ``history``: bill, date, action.
     """
-    verb = lambda c: K.contains_any(F.lower(F.coalesce(F.col(c), F.lit(""))), VERBS)
+    verb = is_meeting_action
     ledger = F.col("committee") == "Ledger Updates"
     unmatched = ~ledger & F.col("time").rlike("NO_SCHEDULE_MATCH|NO_CONVENE_ANCHOR")
     real = ~F.lower(I.blank("outcome")).isin("", "none", "scheduled")

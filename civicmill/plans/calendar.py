@@ -434,18 +434,32 @@ def _schedule(t):
     return s
 
 
-@query("C20_resolution_ladder", "calendar legevents", f"""WITH s AS (SELECT *, {S.minutes('time')} AS m FROM calendar WHERE kind='view' AND {S.minutes('time')} IS NOT NULL), r1 AS (SELECT date, committee, min_by(time, event_id) AS time FROM s GROUP BY 1,2), r2 AS (SELECT date, committee[1:6] AS stem, min_by(time, event_id) AS time FROM s WHERE committee IN ('House Convenes','Senate Adjourned','House Recessed') GROUP BY 1,2),
- r3 AS (SELECT date, bill, max(event_date[12:16]) AS time FROM legevents WHERE kind='purchase' AND {S.real_time('event_date')} GROUP BY 1,2), rw AS (SELECT event_id, date, committee, committee[1:6] AS stem, bill FROM calendar WHERE kind<>'view')
- SELECT event_id, coalesce(r1.time, r2.time, r3.time) AS resolved_time, CASE WHEN r1.time IS NOT NULL THEN 'api_schedule' WHEN r2.time IS NOT NULL THEN 'convene_anchor' WHEN r3.time IS NOT NULL THEN 'legislation_event' ELSE 'journal_default' END AS resolved_origin
- FROM rw LEFT JOIN r1 USING (date, committee) LEFT JOIN r2 ON r2.date=rw.date AND r2.stem=rw.stem LEFT JOIN r3 ON r3.date=rw.date AND r3.bill=rw.bill""")
+_FLOOR_NAMES = "('House Convenes','Senate Adjourned','House Recessed')"
+
+
+@query("C20_resolution_ladder", "calendar legevents", f"""WITH s AS (SELECT *, {S.minutes('time')} AS m FROM calendar WHERE kind='view' AND {S.minutes('time')} IS NOT NULL), r1 AS (SELECT date, committee AS name, min_by(time, event_id) AS time FROM s GROUP BY 1,2),
+ rw AS (SELECT event_id, date, bill, committee IN {_FLOOR_NAMES} AS fl, committee[1:6] AS stem, CASE event_id % 7 WHEN 0 THEN committee||' - Sub 1' WHEN 1 THEN 'Docket' WHEN 2 THEN substr(committee, instr(committee,' ')+1) ELSE committee END AS committee, CASE WHEN event_id % 7 = 1 THEN 'Placed on '||committee||' agenda' ELSE outcome END AS outcome FROM calendar WHERE kind<>'view'),
+ k AS (SELECT *, nullif(trim(regexp_extract(committee,'^(.*?)\\s+-\\s+',1)),'') AS parent, nullif(trim(regexp_extract(outcome,'(?i)placed on (.+?) agenda',1)),'') AS hint FROM rw),
+ sb AS (SELECT date, committee, min_by(time, name) AS time FROM (SELECT DISTINCT date, committee FROM k WHERE committee<>'') JOIN r1 USING (date) WHERE contains(name, committee) OR contains(committee, name) GROUP BY 1,2),
+ r5 AS (SELECT date, committee[1:6] AS stem, min_by(time, event_id) AS time FROM s WHERE committee IN {_FLOOR_NAMES} GROUP BY 1,2), r6 AS (SELECT date, bill, max(event_date[12:16]) AS time FROM legevents WHERE kind='purchase' AND {S.real_time('event_date')} GROUP BY 1,2)
+ SELECT k.event_id, coalesce(e.time, p.time, h.time, sb.time, r5.time, r6.time) AS resolved_time, CASE WHEN coalesce(e.time, p.time, h.time, sb.time) IS NOT NULL THEN 'api_schedule' WHEN r5.time IS NOT NULL THEN 'convene_anchor' WHEN r6.time IS NOT NULL THEN 'legislation_event' WHEN fl THEN 'floor_miss' ELSE 'journal_default' END AS resolved_origin
+ FROM k LEFT JOIN r1 e ON e.date=k.date AND e.name=k.committee LEFT JOIN r1 p ON p.date=k.date AND p.name=k.parent LEFT JOIN r1 h ON h.date=k.date AND h.name=k.hint LEFT JOIN sb ON sb.date=k.date AND sb.committee=k.committee LEFT JOIN r5 ON fl AND r5.date=k.date AND r5.stem=k.stem LEFT JOIN r6 ON NOT fl AND r6.date=k.date AND r6.bill=k.bill""")
 def _(t):
-    s = _schedule(t)
+    """Some rows name a subcommittee, some only say on whose agenda they were placed, some give part of a name."""
+    s, e, committee = _schedule(t), F.col("event_id") % 7, F.col("committee")
     stem = F.substring("committee", 1, 6)
+    floor = K.meeting_kind("committee") == "floor"
+    named = F.when(e == 0, F.concat("committee", F.lit(" - Sub 1"))).when(e == 1, "Docket").when(e == 2, F.expr("substr(committee, instr(committee, ' ') + 1)")).otherwise(committee)
+    said = F.when(e == 1, F.concat(F.lit("Placed on "), "committee", F.lit(" agenda"))).otherwise(F.col("outcome"))
+    rows = t.calendar.filter("kind <> 'view'").select("event_id", "date", named.alias("committee"), said.alias("outcome"), F.when(floor, stem).alias("stem"), F.when(~floor, F.col("bill")).alias("bill"), floor.alias("floor"))
+    rows = rows.withColumn("parent", O.parent_committee("committee")).withColumn("hint", O.agenda_hint("outcome"))
     exact = s.groupBy("date", "committee").agg(F.min_by("time", "event_id").alias("time"))
-    convene = s.filter(K.meeting_kind("committee") == "floor").groupBy("date", stem.alias("stem")).agg(F.min_by("time", "event_id").alias("time"))
+    under = lambda name: exact.withColumnRenamed("committee", name)
+    convene = s.filter(floor).groupBy("date", stem.alias("stem")).agg(F.min_by("time", "event_id").alias("time"))
     events = t.legevents.filter((F.col("kind") == "purchase") & C.has_real_time("event_date")).groupBy("date", "bill").agg(F.max(F.substring("event_date", 12, 5)).alias("time"))
-    rows = t.calendar.filter("kind <> 'view'").select("event_id", "date", "committee", stem.alias("stem"), "bill")
-    out = O.resolution_ladder(rows, [("api_schedule", exact, ["date", "committee"]), ("convene_anchor", convene, ["date", "stem"]), ("legislation_event", events, ["date", "bill"])], "journal_default")
+    rungs = [("api_schedule", exact, ["date", "committee"]), ("api_schedule", under("parent"), ["date", "parent"]), ("api_schedule", under("hint"), ["date", "hint"]),
+             ("api_schedule", O.overlapping_names(rows, exact), ["date", "committee"]), ("convene_anchor", convene, ["date", "stem"]), ("legislation_event", events, ["date", "bill"])]
+    out = O.resolution_ladder(rows, rungs, F.when(F.col("floor"), "floor_miss").otherwise("journal_default"))
     return out.select("event_id", "resolved_time", "resolved_origin")
 
 

@@ -163,7 +163,7 @@ def _(t):
 
 _THREE = f"""sh AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'HB' ELSE 'SB' END||user_id AS bill, date, CASE WHEN event_id % 3 = 0 THEN 'Reported from x' WHEN event_id % 3 = 1 THEN '' ELSE 'Printed' END AS outcome, committee, CASE WHEN event_id % 4 = 0 THEN '⏱️ [NO_SCHEDULE_MATCH]' ELSE time END AS time FROM calendar WHERE kind IN ('view','click')),
  tr AS (SELECT bill, date, description AS action FROM legevents WHERE kind IN ('error','view')), hi AS (SELECT bill, date, description AS action FROM legevents WHERE kind IN ('error','purchase') AND user_id % 3 <> 0)"""
-_V = lambda c: f"coalesce(regexp_matches(lower({c}),'reported|passed|defeated|stricken|continued|left in'),false)"
+_V = lambda c: f"({S.like_any(f'lower({c})', Q.MEETING_PHRASES)} AND NOT {S.like_any(f'lower({c})', Q.CLERICAL_PHRASES)})"
 _TW = f"""{_THREE}, s AS (SELECT bill, date, count(*) AS sheet_rows, count(*) FILTER (WHERE committee='Ledger Updates' AND {_V('outcome')}) AS meeting_in_ledger, count(*) FILTER (WHERE committee<>'Ledger Updates' AND contains(time,'NO_SCHEDULE') AND {_V('outcome')}) AS no_match_meeting, count(*) FILTER (WHERE committee<>'Ledger Updates' AND contains(time,'NO_SCHEDULE') AND NOT {_V('outcome')}) AS no_match_admin, count(*) FILTER (WHERE outcome<>'') AS real_rows FROM sh GROUP BY 1,2),
  q AS (SELECT bill, date, count(*) AS truth_rows, count(*) FILTER (WHERE {_V('action')}) AS truth_meetings FROM tr GROUP BY 1,2), h AS (SELECT bill, date, count(*) AS history_rows, count(*) FILTER (WHERE {_V('action')}) AS history_meetings FROM hi GROUP BY 1,2),
  k AS (SELECT bill, date FROM s UNION SELECT bill, date FROM q UNION SELECT bill, date FROM h), f AS (SELECT k.bill, k.date, coalesce(sheet_rows,0) AS sheet_rows, coalesce(meeting_in_ledger,0) AS meeting_in_ledger, coalesce(no_match_meeting,0) AS no_match_meeting, coalesce(no_match_admin,0) AS no_match_admin, coalesce(history_rows,0) AS history_rows, coalesce(history_meetings,0) AS history_meetings,

@@ -37,13 +37,14 @@ UNLESS = frozenset("no without with has".split())
 
 
 class Node:
-    __slots__ = ("label", "children", "own", "gone", "end", "number", "tag")
+    __slots__ = ("label", "children", "own", "gone", "end", "number", "tag", "links", "plain")
 
     def __init__(self, tag: str, label: str, gone: bool, number: int):
         self.tag, self.label, self.gone, self.number = tag, label, gone, number
         self.children: list[Node] = []
         self.own: list[str] = []
         self.end = number
+        self.links, self.plain = 0, False  # blocks of link text alone; whether any text stands outside links
 
 
 def marked(attributes: str) -> bool:
@@ -67,21 +68,31 @@ def header_like(tag: str, attributes: str) -> bool:
 def parse(html: str) -> tuple[Node, list[tuple[int, bool, str]]]:
     """The tree of block elements, and the blocks of text in page order: (number of its node, not content, text).
 
-    Inline elements cut no text. An open paragraph ends where another block begins, unmatched end tags are ignored,
+    Inline elements cut no text. Outside an article, three or more blocks that are links and nothing else are a menu. An open paragraph ends where another block begins, unmatched end tags are ignored,
     and what is still open at the end is closed there. Raw elements hold no markup.
     """
     root = Node("#", "#", False, 0)
     stack, blocks, buffer, count, at = [root], [], [], 1, 0
+    in_link, plain = 0, False
     deep: list[str] = []  # open elements below the deepest level kept: their text belongs to that level
 
     def flush() -> None:
+        nonlocal plain
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
             if text:
                 node = stack[-1]
                 node.own.append(text)
+                node.plain |= plain
+                node.links += not plain
                 blocks.append((node.number, node.gone, text))
+        plain = False
+
+    def put(text: str) -> None:
+        nonlocal plain
+        buffer.append(text)
+        plain = plain or (not in_link and not text.isspace())
 
     def close(depth: int) -> None:
         flush()
@@ -92,10 +103,10 @@ def parse(html: str) -> tuple[Node, list[tuple[int, bool, str]]]:
     while True:
         found = search(html, at)
         if not found:
-            buffer.append(html[at:])
+            put(html[at:])
             break
         if found.start() > at:
-            buffer.append(html[at : found.start()])
+            put(html[at : found.start()])
         at = found.end()
         tag = (found[2] or "").lower()
         if not tag:
@@ -109,6 +120,8 @@ def parse(html: str) -> tuple[Node, list[tuple[int, bool, str]]]:
                 flush()
             continue
         if tag in INLINE:
+            if tag == "a":
+                in_link = 0 if found[1] else 1
             if not found[1] and tag not in VOID and marked(found[3]) and tag == "span":
                 flush()
                 node = Node(tag, tag + "!", True, count)
@@ -121,6 +134,7 @@ def parse(html: str) -> tuple[Node, list[tuple[int, bool, str]]]:
         if tag == "br":
             buffer.append(" ")
             continue
+        in_link = 0  # a link left open ends with its block
         if found[1]:
             if tag in deep:
                 flush()
@@ -160,9 +174,28 @@ def parse(html: str) -> tuple[Node, list[tuple[int, bool, str]]]:
         node.end = count
     close(0)
     root.end = count
+    menus = list(link_lists(root)[0])
+    if menus:
+        blocks = [(n, gone or any(a <= n < b for a, b in menus), t) for n, gone, t in blocks]
     return root, blocks
 
 
+def link_lists(node: Node) -> tuple[list[tuple[int, int]], int, bool]:
+    """(ranges of the menus at or below ``node``, which are marked as gone; its blocks of links; any other text)."""
+    if node.gone or node.tag in ("article", "main"):
+        return [], 0, True
+    ranges, links, plain = [], node.links, node.plain
+    for child in node.children:
+        below, n, other = link_lists(child)
+        ranges += below
+        links += n
+        plain |= other
+    if not plain and links >= 3 and node.tag not in ("#", "html", "body"):
+        node.gone = True
+        return [(node.number, node.end)], 0, False
+    return ranges, links, plain
+
+
 # An aligned tree is [label, hash of its texts, length of its texts, in the article, number, children]. Runs of equal
 # sibling leaves are one node, as a wrapper's repeated slot is.
 Tree = list

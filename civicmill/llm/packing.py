@@ -17,9 +17,10 @@ from civicmill.llm.common import ranked
 from civicmill.session import cut_lineage
 
 PIECE = "row_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-WORDS_KEPT = 150_000  # words of a generation whose ids a worker remembers
-SEPARATORS = re.compile(r"[\x1c-\x1f]")
-PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?|%$&#*()]*)")
+PIECES_KEPT = 250_000  # pieces of a generation whose ids a worker remembers
+# How the vocabulary cuts a lower-cased text, for the letters, digits and white space of Latin-1.
+LETTER, DIGIT, SPACE = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
 Plan = list[tuple[tuple[int, ...], int]]  # lengths of a sequence in order, number of such sequences
 
 
@@ -41,47 +42,51 @@ class Generations(dict):
 
 
 class WordEncoder:
-    """Ids of whole texts. The vocabulary never joins across white space, so ids of words can be remembered.
+    """Ids of whole texts. The vocabulary lower-cases, never joins across its own cuts, and each cut piece has its ids.
 
-    Not for vocabularies in which a token holds white space. A plain word with marks after it is two pieces for the
-    vocabulary, whose letters it lower-cases: the word without marks and case is remembered too, and words not yet
-    known are encoded together, as one text.
+    So ids of pieces can be remembered: two generations of them are, so that pieces in use stay and memory is bounded.
+    Pieces not yet known are encoded together, as one text. Texts of Latin-1 letters are cut here, by the vocabulary's
+    own pattern; any other text is encoded whole by the vocabulary. Not for vocabularies with other cuts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.atoms = Generations(WORDS_KEPT), Generations(WORDS_KEPT)
+        self.known = Generations(PIECES_KEPT)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        # four control characters cut words for Python but not for the vocabulary
-        odd = [bool(SEPARATORS.search(t)) for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        new = self.words.missing(set().union(*split))
-        for lo in range(0, len(new), 2000):
-            self._learn(new[lo : lo + 2000])
-        get = self.words.__getitem__
-        return [self._whole(t) if o else np.frombuffer(b"".join(map(get, words)), dtype="<u4") for t, o, words in zip(texts, odd, split, strict=True)]
-
-    def _learn(self, words: list[str]) -> None:
-        made = []
-        for word in words:
-            plain = PLAIN.fullmatch(word)
-            made.append((plain[1].lower(), plain[2]) if plain else (word, ""))
-        atoms = self.atoms.missing({a for pair in made for a in pair if a})
-        if atoms:
-            coded = self.tokenizer.encode(" ".join(atoms), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in atoms)])
-            at = np.array([o[0] for o in coded.offsets], dtype=np.int64)
-            ids, cuts = np.array(coded.ids, dtype="<u4").tobytes(), (4 * np.searchsorted(at, starts)).tolist()
-            self.atoms.update((w, ids[a:b]) for w, a, b in zip(atoms, cuts[:-1], cuts[1:], strict=True))
-        self.words.update((w, self.atoms[a] + (self.atoms[b] if b else b"")) for w, (a, b) in zip(words, made, strict=True))
+        cut = [PIECES.findall(t.lower()) if plain(t) else None for t in texts]
+        new = self.known.missing(set().union(*(c for c in cut if c)))
+        for lo in range(0, len(new), 5000):
+            self._learn(new[lo : lo + 5000])
+        get = self.known.__getitem__
+        return [self._whole(t) if c is None else np.frombuffer(b"".join(map(get, c)), dtype="<u4") for t, c in zip(texts, cut, strict=True)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        coded = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in pieces)])
+        at = np.fromiter((o[0] for o in coded.offsets), dtype=np.int64, count=len(coded.ids))
+        ids, cuts = np.array(coded.ids, dtype="<u4").tobytes(), (4 * np.searchsorted(at, starts)).tolist()
+        self.known.update((w, ids[a:b]) for w, a, b in zip(pieces, cuts[:-1], cuts[1:], strict=True))
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
+def plain(text: str) -> bool:
+    """Latin-1, so that case and composition leave each character alone, and nothing that may be a special token."""
+    if "<|" in text:
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
     """One per Python worker: what one task has learnt serves the next."""

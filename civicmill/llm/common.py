@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from civicmill.session import cut_lineage
 
 # A side of at most this many rows may be hinted as a broadcast; every hint stands behind a count of that side.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def checked_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

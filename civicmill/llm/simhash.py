@@ -100,17 +100,16 @@ def near_edges(prints: DataFrame, radius: int) -> DataFrame:
     from each to the smallest member that emits the word keeps them connected.
     """
     masks = F.array(*[F.struct(F.lit(i).cast("smallint").alias("t"), F.lit(signed(m)).alias("m")) for i, m in enumerate(covering_masks(radius))])
-    placed = prints.select("j", "fp", F.explode(masks).alias("x")).select("j", "x.t", F.expr("fp & x.m").alias("key"), "fp")
-    bucket = ["j", "t", "key"]
-    sizes = placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
-    sizes = cut_lineage(sizes)  # most buckets hold one member and end here
-    close = F.expr(f"bit_count(src ^ dst) <= {radius}")
-    twos = sizes.filter("n = 2").select("j", F.col("low").alias("src"), F.col("high").alias("dst")).filter(close)
-    larger = sizes.filter("n > 2").select(*bucket, "n")
-    members = cut_lineage(placed.join(checked_broadcast(larger, larger.count()), bucket))
+    each = prints.select("j", "fp", F.explode(masks).alias("x"))
+    # one number names a bucket; two buckets that share it only cost comparisons
+    placed = each.select(F.xxhash64("j", "x.t", F.expr("fp & x.m")).alias("bucket"), "j", "fp")
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = cut_lineage(sizes)  # most buckets hold one member and end here: only their number and a count were shuffled
+    members = cut_lineage(placed.join(checked_broadcast(sizes, sizes.count()), "bucket"))
     small = members.filter(F.col("n") <= BUCKET)
-    pairs = small.select(*bucket, F.col("fp").alias("src")).join(small.select(*bucket, F.col("fp").alias("dst")), bucket)
-    verified = twos.unionByName(pairs.filter("src < dst").filter(close).select("j", "src", "dst")).distinct()
+    left, right = small.select("bucket", "j", F.col("fp").alias("src")), small.select("bucket", "j", F.col("fp").alias("dst"))
+    close = F.expr(f"bit_count(src ^ dst) <= {radius}")
+    verified = left.join(right, ["bucket", "j"]).filter("src < dst").filter(close).select("j", "src", "dst").distinct()
     hot = members.filter(F.col("n") > BUCKET).select("j", "fp").distinct()
     return verified.unionByName(_ball_edges(hot, radius))
 

@@ -77,4 +77,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_topk, op3_urls, op4_decontamination, op5_quality, op6_packing, op7_lm_score, op8_html, op9_licenses, op10_simhash)
 }
-ORACLES: dict[str, str] = {}
+# The other queries need checksums, fingerprints, tokens, trained models or document trees.
+ORACLES: dict[str, str] = {
+    "op2_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS f FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.f, c.f) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.f) = len(c.f) WHERE q.vec_id % 20 = 0),
+ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 20""",
+    # of the links that pages declare, absolute ones: no page given has any
+    "op3_urls": """WITH RECURSIVE rules AS (SELECT * FROM (VALUES ('allow','com','/'), ('block','example.com','/en/'), ('allow','www.example.com','/en/'), ('block','net','/es/'), ('block','net','/fr/')) r(verdict, host, path)),
+ p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url,'(?s)^.*?://([^/?#]*)',1),''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url,'(?s)^.*?://[^/?#]*([^?#]*)',1),'') AS path,
+  regexp_extract(url,'(?s)^.*?://[^/?#]*([^#]*)',1) AS tail, regexp_replace(html,'(?s)<!--.*?-->','','g') AS body FROM pages),
+ l AS (SELECT host||tail AS src, unnest([regexp_extract(regexp_extract(body,'(?is)<link\\b[^>]*\\srel\\s*=\\s*["'']?canonical\\b[^>]*>'),'(?is)\\shref\\s*=\\s*["'']?([^\\s"''>]+)',1), regexp_extract(regexp_extract(body,'(?is)<meta\\b[^>]*\\shttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'),'(?is)url\\s*=\\s*([^\\s"''>]+)',1)]) AS href FROM p WHERE contains(url,'://')),
+ e AS (SELECT src, translate(regexp_extract(href,'(?s)^.*?://([^/?#]*)',1),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')||regexp_extract(href,'(?s)^.*?://[^/?#]*([^#]*)',1) AS dst FROM l WHERE contains(href,'://')),
+ two AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), nodes AS (SELECT DISTINCT src AS node FROM two),
+ nr AS (SELECT node, arg_max(r.verdict, length(r.host||r.path)) AS verdict FROM nodes JOIN rules r ON (regexp_extract(node,'^[^/?]*')=r.host OR ends_with(regexp_extract(node,'^[^/?]*'),'.'||r.host)) AND starts_with(regexp_extract(node,'(?s)^[^/?]*([^?]*)',1), r.path) GROUP BY 1),
+ reach AS (SELECT node FROM nr WHERE verdict='block' UNION SELECT two.dst FROM reach JOIN two ON two.src=reach.node),
+ keyed AS (SELECT DISTINCT host, path FROM p), ru AS (SELECT k.host, k.path, arg_max(r.host||r.path, length(r.host||r.path)) AS rule, arg_max(r.verdict, length(r.host||r.path)) AS verdict FROM keyed k JOIN rules r ON (k.host=r.host OR ends_with(k.host,'.'||r.host)) AND starts_with(k.path, r.path) GROUP BY 1,2)
+ SELECT p.page_id, p.host, p.path, ru.rule, CASE WHEN ru.rule IS NOT NULL THEN ru.verdict WHEN contains(p.url,'://') AND p.host||p.tail IN (SELECT node FROM reach) THEN 'block' ELSE 'allow' END AS verdict,
+ CASE WHEN ru.rule IS NOT NULL THEN 'rule' WHEN contains(p.url,'://') AND p.host||p.tail IN (SELECT node FROM reach) THEN 'alias' ELSE 'default' END AS reason FROM p LEFT JOIN ru ON ru.host=p.host AND ru.path=p.path""",
+    "op4_decontamination": """WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text),'[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+ i AS (SELECT item_id, least(5, len(w)) AS k, list_sort(list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda j: array_to_string(w[j:j + least(5, len(w)) - 1], ' ')))) AS s FROM b WHERE len(w) > 0),
+ c AS (SELECT s, min(item_id) AS item_id, any_value(k) AS k FROM i GROUP BY 1), sh AS (SELECT item_id, k, len(s) AS n, unnest(s) AS g FROM c),
+ d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text),'[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+ dg AS (SELECT DISTINCT doc_id, k, array_to_string(w[j:j + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS j FROM d, (SELECT DISTINCT k FROM c)))
+ SELECT doc_id, item_id, CAST(any_value(n) AS INTEGER) AS n_shingles, count(*) AS n_found, count(*) / any_value(n) AS containment FROM dg JOIN sh USING (k, g) GROUP BY 1, 2 HAVING count(*) >= ceil(any_value(n) * 0.8 - 1e-9)""",
+}

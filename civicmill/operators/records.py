@@ -125,6 +125,33 @@ def bill_records(universe: DataFrame, history: DataFrame, docket: DataFrame, com
         "vote_date", "upcoming", "next_date", "next_committee", "last_action_date", "actions", "unknown_codes")
 
 
+PATRONS = "array<struct<PatronTypeID:int,Name:string,MemberDisplayName:string,MemberNumber:string>>"
+
+
+def chief_patron(universe: DataFrame, patrons: str = "patrons", surname: str = "patron") -> DataFrame:
+    """Adds chief (full name), chief_number and chief_origin from the nested patron list of each bill.
+
+    The chief is the entry of type 1 or so named, else the first entry. Where the list is absent, empty, no list at
+    all, or its chief has no name, the surname of the bulk table stands in, and the origin says so. A number of another
+    format is never put in the place of a missing one.
+    """
+    listed = F.from_json(F.col(patrons), PATRONS)
+    entries = F.filter(listed, lambda p: p.isNotNull())
+    named = F.filter(entries, lambda p: (p["PatronTypeID"] == 1) | (p["Name"] == "Chief Patron"))
+    chief = F.coalesce(F.try_element_at(named, F.lit(1)), F.try_element_at(entries, F.lit(1)))
+    out = universe.withColumn("_chief", chief)
+    full, number, fallback = I.blank(F.col("_chief.MemberDisplayName")), I.blank(F.col("_chief.MemberNumber")), I.blank(surname)
+    origin = F.when(full != "", "universe").when(fallback != "", "bulk").otherwise("none")
+    return out.withColumn("chief", F.when(full != "", full).otherwise(fallback)).withColumn("chief_number", number).withColumn("chief_origin", origin).drop("_chief")
+
+
+def patron_coverage(patrons: DataFrame) -> DataFrame:
+    """How many bills have their chief from each origin, and the share with a full name: a fall says the list changed shape."""
+    full = F.count_if(F.col("chief_origin") == "universe")
+    one = patrons.agg(F.count(F.lit(1)).alias("bills"), full.alias("from_universe"), F.count_if(F.col("chief_origin") == "bulk").alias("from_bulk"), F.count_if(F.col("chief_origin") == "none").alias("missing"))
+    return one.withColumn("full_name_rate", K.safe_rate("from_universe", "bills"))
+
+
 def completeness(records: DataFrame) -> DataFrame:
     """Counters and rates with their denominators, as one row, in one aggregation."""
     n = F.count(F.lit(1))

@@ -55,6 +55,31 @@ def _(t):
     return bill_records(t)
 
 
+_CHIEF = """ch AS (SELECT bill, CASE num % 6 WHEN 3 THEN 'Ann '||patron WHEN 4 THEN 'First '||patron ELSE CASE WHEN num % 5 = 0 THEN '' ELSE patron END END AS chief, CASE num % 6 WHEN 3 THEN 'H'||patron_id WHEN 4 THEN '' WHEN 5 THEN 'S'||patron_id ELSE '' END AS chief_number,
+ CASE WHEN num % 6 IN (3,4) THEN 'universe' WHEN num % 5 = 0 THEN 'none' ELSE 'bulk' END AS chief_origin FROM bills)"""
+
+
+def chiefs(t):
+    """Bills with a patron list in every shape it may arrive in: absent, no list, empty, chief second, no chief, no name."""
+    k, text = F.col("num") % 6, F.format_string
+    cell = (F.when(k == 1, F.lit('{"PatronTypeID": 1}')).when(k == 2, F.lit("[]"))
+            .when(k == 3, text('[{"PatronTypeID": 2, "MemberDisplayName": "Co"}, {"PatronTypeID": 1, "MemberDisplayName": " Ann %s ", "MemberNumber": "H%d"}]', "patron", "patron_id"))
+            .when(k == 4, text('[{"Name": "Patron", "MemberDisplayName": "First %s"}, {"Name": "Patron", "MemberDisplayName": "Second"}]', "patron"))
+            .when(k == 5, text('[{"Name": "Chief Patron", "MemberNumber": "S%d"}]', "patron_id")))
+    surname = F.when(F.col("num") % 5 == 0, " ").otherwise(F.col("patron"))
+    return R.chief_patron(t.bills.select("bill", surname.alias("patron"), cell.alias("patrons")))
+
+
+@query("C01_chief_patron", "bills", f"WITH {_CHIEF} SELECT * FROM ch")
+def _(t):
+    return chiefs(t).select("bill", "chief", "chief_number", "chief_origin")
+
+
+@query("C01_patron_coverage", "bills", f"WITH {_CHIEF} SELECT count(*) AS bills, count(*) FILTER (WHERE chief_origin='universe') AS from_universe, count(*) FILTER (WHERE chief_origin='bulk') AS from_bulk, count(*) FILTER (WHERE chief_origin='none') AS missing, round(count(*) FILTER (WHERE chief_origin='universe')/count(*),4) AS full_name_rate FROM ch")
+def _(t):
+    return R.patron_coverage(chiefs(t))
+
+
 @query("C02_team_list", "bills titles", f"""WITH w AS (SELECT bill, 'Watching' AS type, name AS my_title, 0 AS l, id AS pos FROM titles WHERE size <= 25 UNION ALL SELECT bill, 'Involved', NULL, 1, id FROM titles WHERE size >= 20),
  f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bill ORDER BY l, pos) AS rn FROM w) WHERE rn=1)
  SELECT f.bill, type, coalesce(my_title,'-') AS my_title, coalesce(b.status,'none') AS status FROM f LEFT JOIN bills b USING (bill)""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,11 @@ def checked_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> D
     return F.broadcast(df) if rows <= most else df
 
 
+def gathered(df: DataFrame) -> pd.DataFrame:
+    """The rows of a table whose size is bounded, on the driver: as columns, never as one Python object a row."""
+    return df.toArrow().to_pandas()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. Pure ASCII takes the fast built-in, where both agree."""
     plain = F.length(text) == F.octet_length(text)

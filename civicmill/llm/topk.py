@@ -39,6 +39,8 @@ def block_top_k(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, i
     found = []
     exact_items = items.astype(np.float64)
     norms = np.linalg.norm(exact_items, axis=1)
+    # integers below 2^53 are exact as floats, whatever the order of their sums
+    safe = float(np.abs(queries).max(initial=0)) * float(np.abs(items).max(initial=0)) * items.shape[1] < 2.0**53
     item_levels = [segment_features(exact_items, s) for s in LEVELS]
     for start in range(0, len(queries), CHUNK):
         q = queries[start : start + CHUNK]
@@ -56,6 +58,12 @@ def block_top_k(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, i
         threshold = first.min(axis=1).astype(np.float64)
         coarse = levels[0] @ item_levels[0].T >= threshold[:, None] - slack
         near = coarse & (fine >= threshold[:, None] - slack) & ~own
+        some = np.nonzero(near.any(axis=0))[0]  # items that survive for some query of the chunk
+        if safe:
+            score = np.where(near[:, some], wide @ exact_items[some].T, -np.inf)
+            qi, xi = np.nonzero(score >= threshold[:, None])
+            found.append((qi + start, some[xi], score[qi, xi].astype(np.int64)))
+            continue
         qi, xi = np.nonzero(near)
         for lo in range(0, len(qi), 200_000):  # bounded memory for the exact step
             a, b = qi[lo : lo + 200_000], xi[lo : lo + 200_000]

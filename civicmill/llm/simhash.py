@@ -155,12 +155,111 @@ def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, prints: int =
     return marked.join(named, "f").select("row_id", "f", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, width: int = 2, prints: int = 3, distinct: bool = True, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def text_key(text: str | None) -> str:
+    """A 128-bit hash of the words: texts of the same words, in order, have one key."""
+    return xxhash.xxh128_hexdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
+
+
+def with_text_keys(docs: DataFrame, text: str = "text", width: int = 2, prints: int = 8, distinct: bool = True) -> DataFrame:
+    """``docs`` with ``_t``: key (a 128-bit hash of the words, equal for texts of the same words) and f (fingerprints)."""
+
+    @F.pandas_udf("key string, f array<bigint>")
+    def keyed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in texts:
+            words = [np.array(fingerprints(t, width, prints, distinct), dtype=np.uint64).view(np.int64) for t in column]
+            yield pd.DataFrame({"key": [text_key(t) for t in column], "f": pd.Series(words, dtype=object)})
+
+    return docs.withColumn("_t", keyed(F.col(text)))
+
+
+def with_only_keys(texts: DataFrame) -> DataFrame:
+    @F.pandas_udf("string")
+    def keyed(column: pd.Series) -> pd.Series:
+        return pd.Series([text_key(t) for t in column], dtype=object)
+
+    return texts.select("body", keyed("body").alias("key"))
+
+
+def shingle_sets(ids: DataFrame, over: int) -> DataFrame:
+    """(key, n, set) of each (key, body): its distinct shingles of ``over`` words as 64-bit hashes, and their number."""
+
+    @F.pandas_udf("array<bigint>")
+    def distinct_shingles(column: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, over)).view(np.int64) for t in column], dtype=object)
+
+    return ids.select("key", distinct_shingles("body").alias("set")).select("key", F.size("set").alias("n"), "set")
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, end: str, other: str, out: str) -> DataFrame:
+    """``pairs`` with the set of ``end``. An end in very many pairs is dealt over copies of its set."""
+    hot = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUCKET * BUCKET)
+    hot = cut_lineage(hot.select(end, F.least(F.lit(256), F.ceil(F.col("_n") / (BUCKET * BUCKET))).cast("int").alias("_copies")))
+    hot = checked_broadcast(hot, hot.count())
+    dealt = pairs.join(hot, end, "left").withColumn("_copy", F.pmod(F.xxhash64(other), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    copied = sets.select(F.col("key").alias(end), F.col("set").alias(out)).join(hot, end, "left")
+    copied = copied.select(end, out, F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)).alias("_copy"))
+    return dealt.join(copied, [end, "_copy"]).drop("_copy")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct ``pairs`` (src, dst) whose sets have a Jaccard similarity of at least ``similarity``."""
+    small = sets.select("key", "n")
+    sized = pairs.join(small.toDF("src", "n1"), "src").join(small.toDF("dst", "n2"), "dst")
+    sized = cut_lineage(sized.filter(F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(similarity) - 1e-9))
+    met = _with_set(_with_set(sized, sets, "src", "dst", "a"), sets, "dst", "src", "b")
+    common = F.size(F.array_intersect("a", "b"))
+    return met.select("src", "dst", "n1", "n2", common.alias("c")).filter(F.col("c") >= (F.col("n1") + F.col("n2") - F.col("c")) * F.lit(similarity) - 1e-9).select("src", "dst")
+
+
+def _bucket_pairs(members: DataFrame, labels: DataFrame, radius: int) -> DataFrame:
+    """Distinct pairs (src, dst) that share a bucket within ``radius`` bits and are not yet in one component.
+
+    Buckets of one component end before any pair is made; large ones are dealt into parts.
+    """
+    named = members.join(labels, "key", "left").withColumn("c", F.coalesce("component", "key"))
+    mixed = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    mixed = mixed.select("bucket", F.greatest(F.lit(1), F.floor(F.col("n") / (8 * BUCKET))).cast("int").alias("parts"))
+    open_ = cut_lineage(named.join(mixed, "bucket").select("bucket", "fp", "key", "c", "parts"))
+    left = open_.select("bucket", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.col("key").alias("src"), F.col("fp").alias("fp1"), F.col("c").alias("c1"))
+    right = open_.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("dst"), F.col("fp").alias("fp2"), F.col("c").alias("c2"))
+    met = left.join(right, ["bucket", "part"]).filter(F.expr(f"src < dst and c1 <> c2 and bit_count(fp1 ^ fp2) <= {radius}"))
+    return met.select("src", "dst").distinct()
+
+
+def verified_components(texts: DataFrame, marked: DataFrame, radius: int, over: int, similarity: float) -> DataFrame:
+    """(node, component) over the keys of ``marked`` (key, f): linked are texts with a similarity of ``similarity`` or more.
+
+    Fingerprints only propose pairs: two texts are compared if one of their fingerprints is within ``radius`` bits, or
+    up to two bits beyond if they share a bucket all the same.
+    Each bucket's members are first compared with three of them, which joins most copies; then all pairs that share a
+    bucket and are not joined yet are compared. A pair already joined would change nothing. Every link is the exact
+    Jaccard similarity of the two sets of ``over``-word shingles.
+    """
+    masks = F.array(*[F.struct(F.lit(i).cast("smallint").alias("t"), F.lit(signed(m)).alias("m")) for i, m in enumerate(covering_masks(radius))])
+    nodes = cut_lineage(marked.groupBy("key").agg(F.first("f").alias("f")))  # texts of the same words have one f
+    each = nodes.select("key", F.posexplode("f").alias("j", "fp")).select("key", "j", "fp", F.explode(masks).alias("x"))
+    placed = each.select(F.xxhash64("j", "x.t", F.expr("fp & x.m")).alias("bucket"), "fp", "key")
+    sizes = cut_lineage(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
+    members = cut_lineage(placed.join(checked_broadcast(sizes, sizes.count()), "bucket"))
+    wanted = cut_lineage(members.select("key").distinct())
+    keyed = with_only_keys(texts).join(checked_broadcast(wanted, wanted.count()), "key", "left_semi")
+    sets = cut_lineage(shingle_sets(keyed, over).groupBy("key").agg(F.first("n").alias("n"), F.first("set").alias("set")))
+    hubs = members.groupBy("bucket").agg(F.min("key").alias("h0"), F.max("key").alias("h1"), F.min_by("key", F.xxhash64("key")).alias("h2"))
+    hubs = hubs.select("bucket", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("hub"))
+    stars = members.join(hubs, "bucket").filter("key <> hub").select(F.least("key", "hub").alias("src"), F.greatest("key", "hub").alias("dst")).distinct()
+    stars = cut_lineage(similar_pairs(cut_lineage(stars), sets, similarity))
+    joined = cut_lineage(components(stars).withColumnRenamed("node", "key"))
+    rest = similar_pairs(cut_lineage(_bucket_pairs(members, joined, radius + 2)), sets, similarity)
+    return components(stars.unionByName(cut_lineage(rest)))
+
+
+def keep_one(docs: DataFrame, radius: int = 4, width: int = 2, prints: int = 8, distinct: bool = True, text: str = "text", row_id: str = "doc_id", over: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id.
 
-    The defaults are chosen for copies with a similarity of 0.8 or more over five-word shingles: such copies share
-    about 95 % of their distinct word pairs, and one of three independent fingerprints over those then differs in at
-    most four bits in about 98 of 100 cases, against 4 in 10 at a similarity of 0.7 and under 1 in 10 at 0.5.
+    Linked are texts whose sets of ``over``-word shingles have a Jaccard similarity of at least ``similarity``, counted
+    exactly; groups are the connected components of those links. Fingerprints over distinct word pairs only find the
+    pairs to count: with eight of them, 470 of 472 pairs of similarity 0.8 to 0.85 and all 1,115 above were found (texts
+    of sf0.01 with words replaced at random). Texts of the same words are one text; texts without words are, too.
 
     Rows without an id yield to those with one. Among rows that share the chosen id (or all lack one) an arbitrary one
     stays. Only those few repeated rows are regrouped; all others pass by a semi-join on their id.
@@ -169,15 +268,20 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 2, prints: int = 3,
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, body = f"c{names.index(row_id)}", f"c{names.index(text)}"
-    groups = cut_lineage(near_groups(rows, radius, width, prints, distinct, body, key))
-    chosen = groups.filter(F.col("row_id").eqNullSafe(F.col("component_id")))
-    chosen = cut_lineage(chosen.groupBy("root", F.col("row_id").alias("_id")).agg(F.min("f").alias("_f")))
+    marked = with_text_keys(rows.select(F.col(key).alias("row_id"), body), body, width, prints, distinct)
+    marked = cut_lineage(marked.select("row_id", "_t.key", "_t.f"))
+    joined = verified_components(rows.select(F.col(body).alias("body")), marked, radius, over, similarity)
+    groups = marked.join(joined.withColumnRenamed("node", "key"), "key", "left").select("row_id", "key", F.coalesce("component", "key").alias("root"))
+    groups = cut_lineage(groups)
+    names_of = groups.groupBy("root").agg(F.min("row_id").alias("component_id"))
+    chosen = groups.join(names_of, "root").filter(F.col("row_id").eqNullSafe(F.col("component_id")))
+    chosen = cut_lineage(chosen.groupBy("root", F.col("row_id").alias("_id")).agg(F.min("key").alias("_key")))
     often = groups.filter("row_id is not null").groupBy(F.col("row_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
     once = chosen.join(often.filter("_n = 1"), "_id").select("_id")
     alone = rows.join(once, F.col(key) == F.col("_id"), "left_semi")
-    # ids that several rows carry: the fingerprints tell those rows apart, and one row per group is picked
+    # ids that several rows carry: the texts tell those rows apart, and one row per group is picked
     several = chosen.join(once, "_id", "left_anti")
     again = rows.join(several.select("_id").distinct(), F.col(key).eqNullSafe(F.col("_id")), "left_semi")
-    again = with_fingerprints(again, body, "_print", width, prints, distinct)
-    picked = again.join(several, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_f"))).dropDuplicates(["root"])
+    again = with_text_keys(again, body, width, prints, distinct)
+    picked = again.join(several, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_t.key") == F.col("_key"))).dropDuplicates(["root"])
     return alone.unionByName(picked.select(*rows.columns)).toDF(*names)

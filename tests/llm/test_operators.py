@@ -495,6 +495,38 @@ def test_one_row_of_each_group_stays(spark, odd):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [2, 5]
 
 
+def test_near_duplicates_are_verified_by_five_word_shingles(spark, given):
+    """Proposed pairs below 0.8 are no duplicates, alone or in a bucket of hundreds; those above all are."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+
+    def changed(words, k, tag):
+        out = list(words)
+        for n, i in enumerate(rng.choice(len(out), k, replace=False)):
+            out[i] = f"{tag}x{n}"
+        return out
+
+    texts = {i: changed(base, int(rng.integers(1, 26)), f"t{i}") for i in range(0, 300)}
+    apart = [f"v{i}" for i in rng.integers(0, 5000, 400)]
+    texts |= {1000 + i: changed(apart, 6, f"a{i}") for i in range(60)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string")
+    sets = {i: {tuple(w[a : a + 5]) for a in range(len(w) - 4)} for i, w in texts.items()}
+    roots = {i: i for i in texts}
+
+    def top(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                roots[max(top(a), top(b))] = min(top(a), top(b))
+    want = {top(i) for i in texts}
+    got = {r["doc_id"] for r in simhash.keep_one(df).select("doc_id").collect()}
+    assert len(want) > 50 and want <= got and len(got - want) <= 0.02 * len(texts)
+
+
 def test_pipeline_stages_keep_their_columns(spark):
     import corpus_pipeline
 

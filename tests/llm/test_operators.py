@@ -205,6 +205,24 @@ def test_model_sums_to_one_and_matches_counts(spark):
         assert total == pytest.approx(1.0, abs=1e-6)
 
 
+def test_joined_scores_equal_the_model_and_learn_from_all_trusted_text(spark, odd, monkeypatch):
+    long = [(i, " ".join(f"w{(i * 31 + j * j) % 977}" for j in range(25_000)), 1, 0) for i in range(80)]
+    rows = spark.createDataFrame(long, "doc_id bigint, text string, quality int, toxic int")
+    seen = []
+    whole = quality.fit_tables
+    monkeypatch.setattr(quality, "fit_tables", lambda texts: seen.append(texts.agg(F.sum(F.length("body"))).first()[0]) or whole(texts))
+    quality.classify(rows.select("doc_id", "text", F.lit("en").alias("lang")), rows.drop("text"), ["doc_id"])
+    assert seen[0] > 0.6 * sum(len(r[1]) for r in long) > 3_500_000
+    texts = odd.filter("doc_id in (1, 6, 8)").select(F.col("text").alias("body"))
+    model = quality.fit(texts)
+    for local in (0, 40):
+        monkeypatch.setattr(quality, "LOCAL_RUNS", local)
+        for r in quality.with_surprise(odd, whole(texts), ["text"]).collect():
+            flat, fresh, n = quality.framed([r["text"]], model.ids)
+            assert r["_s"]["n"] == n[0]
+            assert r["_s"]["bits"] == pytest.approx(-model.log_probabilities(flat, fresh).sum() / np.log10(2), rel=1e-4)
+
+
 def test_quality_separates_held_out_labels(spark):
     out = quality.classify(queries.table(spark, DATA.replace("sf0.001", "sf0.01"), "documents"), queries.table(spark, DATA.replace("sf0.001", "sf0.01"), "labels"), ["doc_id", "lang"])
     labels = queries.table(spark, DATA.replace("sf0.001", "sf0.01"), "labels")

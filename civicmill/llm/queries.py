@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicmill.llm import decontamination, html, licenses, lm_score, packing, quality, sharding, simhash, topk, urls
+from civicmill.llm import bpe, centroids, decontamination, html, licenses, lm_score, packing, quality, sharding, simhash, topk, urls, whitening
 
 RULES = (
     urls.Rule("allow", "com", "/"),
@@ -74,10 +75,41 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("row_id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("f")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), 8).withColumnRenamed("row_id", "vec_id")
+    # a row's deviation is exact at any size; only what fits a long can be given as one
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), path).withColumn("decoded", bpe.decoded(F.col("ids"), path))
+    return coded.select(
+        F.col("row_id").alias("doc_id"),
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centres = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64)
+    digest = [hashlib.sha256(",".join(map(str, c.components)).encode()).hexdigest() for c in centres]
+    of = lambda values, kind: F.get(F.lit(values).cast(f"array<{kind}>"), F.col("cluster"))
+    return rows.select(
+        F.col("row_id").alias("vec_id"),
+        "cluster",
+        "distance",
+        of([c.inertia for c in centres], "bigint").alias("cluster_inertia"),
+        F.lit(sum(c.inertia for c in centres)).cast("bigint").alias("inertia"),
+        of(digest, "string").alias("centroid_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_topk, op3_urls, op4_decontamination, op5_quality, op6_packing, op7_lm_score, op8_html, op9_licenses, op10_simhash)
+    f.__name__: f for f in (op1_sharding, op2_topk, op3_urls, op4_decontamination, op5_quality, op6_packing, op7_lm_score, op8_html, op9_licenses, op10_simhash, op11_whitening, op12_bpe, op13_centroids)
 }
-# The other queries need checksums, fingerprints, tokens, trained models or document trees.
+# The other queries need checksums, fingerprints, tokens, trained models, eigenvectors or document trees.
 ORACLES: dict[str, str] = {
     "op2_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS f FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.f, c.f) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.f) = len(c.f) WHERE q.vec_id % 20 = 0),

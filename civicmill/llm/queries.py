@@ -109,6 +109,29 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_topk, op3_urls, op4_decontamination, op5_quality, op6_packing, op7_lm_score, op8_html, op9_licenses, op10_simhash, op11_whitening, op12_bpe, op13_centroids)
 }
+
+
+def lloyd_sql(k: int, rounds: int, dims: int) -> str:
+    """Full scans of every round as SQL."""
+    nearest = "(SELECT i, j, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM n, c{})"
+    steps = [
+        f"""a{r} AS (SELECT i, min_by(j, (d, j)) AS j FROM {nearest.format(r)} GROUP BY i),
+ s{r} AS (SELECT j, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS m FROM (SELECT j, unnest(v) AS x, unnest(range({dims})) AS pos FROM n JOIN a{r} USING (i)) GROUP BY j, pos),
+ m{r} AS (SELECT j, list(CAST(CASE WHEN s >= 0 THEN s // m ELSE -((m - 1 - s) // m) END AS BIGINT) ORDER BY pos) AS c FROM s{r} GROUP BY j),
+ c{r + 1} AS (SELECT j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j))"""
+        for r in range(rounds)
+    ]
+    hashed = "sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v"
+    return f"""WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ n AS (SELECT row_number() OVER () AS i, vec_id, v FROM kept),
+ c0 AS (SELECT row_number() OVER (ORDER BY {hashed}) - 1 AS j, v AS c FROM kept ORDER BY {hashed} LIMIT {k}),
+ {",".join(steps)},
+ f AS (SELECT i, min_by(j, (d, j)) AS j, CAST(min(d) AS BIGINT) AS d FROM {nearest.format(rounds)} GROUP BY i)
+ SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM n JOIN f USING (i) JOIN c{rounds} USING (j)"""
+
+
 # The other queries need checksums, fingerprints, tokens, trained models, eigenvectors or document trees.
 ORACLES: dict[str, str] = {
     "op2_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS f FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
@@ -132,4 +155,5 @@ ORACLES: dict[str, str] = {
  d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text),'[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
  dg AS (SELECT DISTINCT doc_id, k, array_to_string(w[j:j + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS j FROM d, (SELECT DISTINCT k FROM c)))
  SELECT doc_id, item_id, CAST(any_value(n) AS INTEGER) AS n_shingles, count(*) AS n_found, count(*) / any_value(n) AS containment FROM dg JOIN sh USING (k, g) GROUP BY 1, 2 HAVING count(*) >= ceil(any_value(n) * 0.8 - 1e-9)""",
+    "op13_centroids": lloyd_sql(16, 3, 64),
 }

@@ -3,6 +3,7 @@
 import hashlib
 import math
 
+import duckdb
 import numpy as np
 
 from civicmill.llm import centroids, queries
@@ -92,3 +93,11 @@ def test_components_too_large_for_floats_are_exact(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     out, _ = centroids.cluster_vectors(df, 4, 3, 2)
     assert key(tuple(r) for r in out.collect()) == key(brute(rows, 4, 3, 2)[0])
+
+
+def test_query_equals_its_sql(spark):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
+    found = duck.execute(queries.ORACLES["op13_centroids"])
+    names = [d[0] for d in found.description]
+    assert sorted(map(tuple, queries.op13_centroids(spark, DATA).select(names).collect())) == sorted(found.fetchall())

@@ -6,7 +6,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from civicmill.llm.packing import Generations
 
-TEXTS_AT_ONCE, CHARS_AT_ONCE = 512, 4_000_000  # of a batch, whose new pieces are merged together
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 512, 4_000_000  # of a batch, whose new pieces are merged together
 PIECES_KEPT = 250_000  # pieces of a generation whose ids a worker remembers
 TOGETHER = 256  # pieces of at most so many symbols are merged side by side, longer ones each in a tree of its own
 CELLS = 1 << 18  # symbols of the pieces merged side by side
@@ -66,15 +66,19 @@ class Vocabulary:
         key = left * self.size + right
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks = np.append(key[order], np.int64(2**62)), np.append(order.astype(np.int32), NONE)
-        self.rank = dict(zip(key.tolist(), range(len(key)), strict=True))
         tokenizer = Tokenizer.from_file(path)
         self.normalizer, self.cutter = tokenizer.normalizer, tokenizer.pre_tokenizer
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.latin = end != "" and steps[0].get("pattern") == {"Regex": WORD_SPLIT}
         token = {i: t for t, i in ids.items()} | {i: t for t, i in added.items()}
-        self.token = [token.get(i, "") for i in range(self.size)]
+        self.token = pa.array([token.get(i, "") for i in range(self.size)])
         self.decoder = decoder
 
+    @cached_property
+    def rank(self) -> dict[int, int]:
+        """Ranks by pair, for a tree of its own; few texts need one."""
+        return dict(zip(self.keys[:-1].tolist(), self.ranks[:-1].tolist(), strict=True))
+
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.size + right
         at = np.searchsorted(self.keys, key)
@@ -253,24 +257,25 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with a bounded number of texts and, but for one very long text, of characters."""
-    lo = chars = 0
-    for i, t in enumerate(texts):
-        if i > lo and (i - lo >= TEXTS_AT_ONCE or chars + len(t) > CHARS_AT_ONCE):
-            yield lo, i
-            lo, chars = i, 0
-        chars += len(t)
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in turn, with a bounded number of texts and, but for one very long text, of bytes at once."""
+    lo = held = 0
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > lo and (i - lo >= TEXTS_AT_ONCE or held + size > BYTES_AT_ONCE):
+            yield texts.slice(lo, i - lo)
+            lo, held = i, 0
+        held += size
     if lo < len(texts):
-        yield lo, len(texts)
+        yield texts.slice(lo)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", row_id: str = "doc_id", with_text: bool = False) -> DataFrame:
     """(row_id, ids): the ids of each whole text by the vocabulary file at ``vocabulary``, special tokens in texts included.
 
     No special token is added; truncation and padding of the file are not used. A text is cut into pieces by the
     vocabulary's own rules; in each piece the leftmost pair of the lowest rank is merged until no pair can be. Texts
     are encoded where they are read: nothing is shuffled, and a worker holds one batch and a bounded memory of pieces.
+    ``with_text`` adds ``decoded``, the ids' text (see there), in the same pass.
 
     A null text is empty, and an empty text has no ids. Ids, null or repeated, and repeated rows stay as they are. No
     rows give no rows. Other columns are ignored.
@@ -278,16 +283,20 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", row_i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("body").to_pylist()
-            for lo, hi in slices(texts):
-                found = encoder(vocabulary)(texts[lo:hi])
+            at = 0
+            for texts in slices(batch.column("body")):
+                coder = encoder(vocabulary)
+                found = coder(texts.to_pylist())
                 offsets = np.cumsum([0, *(len(b) // 4 for b in found)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays([batch.column("row_id").slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, values)], ["row_id", "ids"])
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+                columns = [batch.column("row_id").slice(at, len(texts)), ids]
+                columns += [decode_lists(coder.vocabulary, ids)] if with_text else []
+                yield pa.RecordBatch.from_arrays(columns, ["row_id", "ids", "decoded"][: len(columns)])
+                at += len(texts)
 
     rows = docs.select(F.col(row_id).alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     kind = rows.schema["row_id"].dataType.simpleString()
-    return rows.mapInArrow(encode, f"row_id {kind}, ids array<int>")
+    return rows.mapInArrow(encode, f"row_id {kind}, ids array<int>" + (", decoded string" if with_text else ""))
 
 
 def decoded(ids: Column, vocabulary: str) -> Column:
@@ -300,34 +309,31 @@ def decoded(ids: Column, vocabulary: str) -> Column:
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
         known = encoder(vocabulary).vocabulary
-        tokens = pa.array(known.token)
-        out = []
-        for lo in range(0, len(lists), TEXTS_AT_ONCE):
-            part = lists.slice(lo, TEXTS_AT_ONCE)
-            values = part.flatten()
-            inside = pc.fill_null(pc.and_(pc.greater_equal(values, 0), pc.less(values, known.size)), False)
-            if not pc.all(inside).as_py():
-                part = pa.array([x and [i for i in x if i is not None and 0 <= i < known.size] for x in part.to_pylist()], pa.list_(pa.int32()))
-                values = part.flatten()
-            names = tokens.take(values)
-            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(part), 0))
-            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
-            joined = pc.binary_join(pa.ListArray.from_arrays(offsets, names), " " if known.decoder is None else "")
-            if known.decoder is not None:
-                special = known.special
-                whole = [from_letters(known, t, special) for t in joined.to_pylist()]
-                joined = pa.array(whole, pa.string())
-            out.append(pc.if_else(pc.is_null(part), pa.scalar(None, pa.string()), joined))
+        out = [decode_lists(known, lists.slice(lo, TEXTS_AT_ONCE)) for lo in range(0, len(lists), TEXTS_AT_ONCE)]
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return decode(ids)
 
 
-def from_letters(known: Vocabulary, text: str, special: re.Pattern | None) -> str:
+def decode_lists(known: Vocabulary, part: pa.Array) -> pa.Array:
+    values = part.flatten()
+    inside = pc.fill_null(pc.and_(pc.greater_equal(values, 0), pc.less(values, known.size)), False)
+    if not pc.all(inside).as_py():
+        part = pa.array([x and [i for i in x if i is not None and 0 <= i < known.size] for x in part.to_pylist()], pa.list_(pa.int32()))
+        values = part.flatten()
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(part), 0))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, known.token.take(values)), " " if known.decoder is None else "")
+    if known.decoder is not None:
+        joined = pa.array([from_letters(known, t) for t in joined.to_pylist()], pa.string())
+    return pc.if_else(pc.is_null(part), pa.scalar(None, pa.string()), joined)
+
+
+def from_letters(known: Vocabulary, text: str) -> str:
     """The text whose bytes the letters of ``text`` stand for; special tokens stand for themselves."""
     raw = bytearray()
     at = 0
-    for found in special.finditer(text) if special else ():
+    for found in known.special.finditer(text) if known.special else ():
         raw += bytes(map(known.byte_of.__getitem__, text[at : found.start()])) + found.group().encode()
         at = found.end()
     return (raw + bytes(map(known.byte_of.__getitem__, text[at:]))).decode("utf-8", "replace")

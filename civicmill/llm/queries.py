@@ -82,8 +82,7 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), path).withColumn("decoded", bpe.decoded(F.col("ids"), path))
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_text=True)
     return coded.select(
         F.col("row_id").alias("doc_id"),
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -41,7 +41,8 @@ def odd_texts():
 def test_ids_and_texts_equal_the_library(spark, name):
     texts, path, known = odd_texts(), queries.tokenizer_path(name), library(name)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    out = bpe.encode_documents(df, path).withColumn("decoded", bpe.decoded(F.col("ids"), path)).collect()
+    out = bpe.encode_documents(df, path, with_text=True).withColumn("again", bpe.decoded(F.col("ids"), path)).collect()
+    assert all(r["again"] == r["decoded"] for r in out)
     assert {r["row_id"]: r["ids"] for r in out} == {i: known.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
     assert {r["row_id"]: r["decoded"] for r in out} == {r["row_id"]: known.decode(r["ids"], skip_special_tokens=False) for r in out}
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicmill import scale
 from civicmill.functions import classify as K
 from civicmill.functions import ids as I
 
@@ -37,30 +36,6 @@ def conservation(received: DataFrame, written: DataFrame, dropped: dict[str, Dat
     return out.withColumn("residual", F.col("rows_in") - total)
 
 
-def row_group_digests(history: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Content digest per group, independent of row order."""
-    return history.groupBy(*keys).agg(*scale.multiset_digest(*columns))
-
-
-def changed_keys(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
-    """Keys whose digest is new or different, null-safe."""
-    p = previous.select(key, F.col("rows").alias("_r"), F.col("digest_lo").alias("_l"), F.col("digest_hi").alias("_h"))
-    same = F.col("rows").eqNullSafe(F.col("_r")) & F.col("digest_lo").eqNullSafe(F.col("_l")) & F.col("digest_hi").eqNullSafe(F.col("_h"))
-    return current.join(p, key, "left").filter(~same).select(key)
-
-
-def incremental(source_prev: DataFrame, source_now: DataFrame, result_prev: DataFrame, compute, key: str, columns: list[str], shared_changed: DataFrame | None = None) -> DataFrame:
-    """Recompute only keys whose own rows or shared inputs changed; reuse the rest. Equals a full run."""
-    dig = lambda df: row_group_digests(df, [key], columns)
-    changed = changed_keys(dig(source_prev), dig(source_now), key)
-    if shared_changed is not None:
-        changed = changed.unionByName(shared_changed.select(key)).distinct()
-    fresh = compute(source_now.join(changed, key, "left_semi"))
-    alive = source_now.select(key).distinct()
-    reused = result_prev.join(changed, key, "left_anti").join(alive, key, "left_semi")
-    return fresh.unionByName(reused)
-
-
 def sizing(rows: DataFrame, key: str, gate) -> DataFrame:
     """Rows and keys in scope, share that passes the gate, average per key."""
     per = rows.groupBy(key).agg(n("rows"), F.count_if(gate).alias("gated"))

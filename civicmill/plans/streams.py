@@ -26,16 +26,15 @@ def drained(t, df, label):
     return J.run(df, scratch_path(t.spark, label), scratch_path(t.spark, f"{label}-progress"))
 
 
-def keyed(t, df, step, label):
-    at = scratch_path(t.spark, label)
-    return J.run_keyed(df, step, f"{at}/events", f"{at}/state", f"{at}/progress")
+def keyed(t, df, job, label):
+    return J.run_keyed(df, job, scratch_path(t.spark, label))
 
 
 @query("J01_stream_change_feed", "calendar", """WITH p AS (SELECT date, committee, event_id AS seen, time, sort_time, status, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'Room '||user_id END AS location FROM calendar), l AS (SELECT *, lag(seen) OVER w AS pe, lag(time) OVER w AS pt, lag(sort_time) OVER w AS ps, lag(status) OVER w AS pst, lag(location) OVER w AS pl FROM p WINDOW w AS (PARTITION BY date, committee ORDER BY seen))
  SELECT * FROM (SELECT date, committee, seen, CASE WHEN pe IS NULL THEN 'ADDED' WHEN time=pt AND sort_time=ps AND status=pst AND location<>pl AND pl='' THEN 'BACKFILL' WHEN time<>pt OR sort_time<>ps OR status<>pst OR location<>pl THEN 'CHANGED' END AS event_type, time, sort_time, status, location FROM l) WHERE event_type IS NOT NULL""")
 def _(t):
     polls = stream(t, "calendar").select("date", "committee", F.col("event_id").alias("seen"), "time", "sort_time", "status", F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("Room "), F.col("user_id").cast("string"))).alias("location"))
-    return keyed(t, polls, J.change_feed, "feed").drop("batch")
+    return keyed(t, polls, J.CHANGE_FEED, "feed")
 
 
 @query("J02_stream_outages", "runlog", """WITH s AS (SELECT user_id, ts, event_id, kind<>'error' AS ok FROM runlog WHERE kind IN ('error','view')), p AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM s), g AS (SELECT user_id, k, count(*) FILTER (WHERE NOT ok) AS f, min(ts) FILTER (WHERE NOT ok) AS st, min(ts) FILTER (WHERE ok) AS ps FROM p GROUP BY 1,2)
@@ -44,7 +43,7 @@ def _(t):
     s = stream(t, "runlog").filter("kind IN ('error', 'view')")
     signals = s.select(F.lit("accuracy").alias("cls"), F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("detector"), "ts", "event_id", (F.col("kind") != "error").alias("ok"))
     stamp = lambda c, out: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(out)
-    return keyed(t, signals, J.outages, "outages").select("detector", stamp("start", "start"), stamp("end", "finish"), "failures")
+    return keyed(t, signals, J.OUTAGES, "outages").select("detector", stamp("start", "start"), stamp("end", "finish"), "failures")
 
 
 @query("J03_stream_alert_dedupe", "runlog", "SELECT concat_ws('::', origin, user_id) AS dedup_key, count(*) AS n FROM (SELECT DISTINCT origin, user_id FROM runlog WHERE kind='error') GROUP BY 1")

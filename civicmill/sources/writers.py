@@ -71,14 +71,22 @@ def split_valid(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame,
     return checked.filter("violations = ''").drop("violations"), checked.filter("violations <> ''")
 
 
+def readable(stamp: str) -> Column:
+    """The timestamp of a log's stamp, or null: full precision, or a bare date."""
+    text = I.blank(stamp)
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
+
+
+def is_blank(stamp: str) -> Column:
+    return (I.blank(stamp) == "") | I.is_null_word(stamp)
+
+
 def prune_plan(log: DataFrame, order: str, stamp: str, now: str, days: int) -> DataFrame:
     """Where the expired prefix of the log ends. A blank cell or a live row stops it; an unreadable stamp inside it aborts.
 
     One aggregation: the prefix is everything before the first stopping row.
     """
-    text = I.blank(stamp)
-    ts = F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
-    empty = (text == "") | I.is_null_word(stamp)
+    ts, empty = readable(stamp), is_blank(stamp)
     live = ts >= F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(days))
     stop = empty | F.coalesce(live, F.lit(False))
     unreadable = ~empty & ts.isNull()

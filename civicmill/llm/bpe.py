@@ -14,8 +14,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicmill.llm.packing import Generations
-
 TEXTS_AT_ONCE, BYTES_AT_ONCE = 512, 4_000_000  # of a batch, whose new pieces are merged together
 PIECES_KEPT = 250_000  # pieces of a generation whose ids a worker remembers
 TOGETHER = 256  # pieces of at most so many symbols are merged side by side, longer ones each in a tree of its own
@@ -220,6 +218,23 @@ def merge_alone(vocabulary: Vocabulary, piece: bytes) -> bytes:
     return out[out >= 0].astype("<i4").tobytes()
 
 
+class Generations(dict):
+    """A dict of bounded size: when full, its entries become the older generation, from which those in use return."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, keys: set) -> list:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        keys = keys.difference(self)
+        back = keys & self.older.keys()
+        self.update((k, self.older[k]) for k in back)
+        return list(keys - back)
+
+
 class Encoder:
     """Ids of whole texts. Ids of pieces are remembered in two generations of bounded size; new pieces are merged together."""
 

@@ -2,115 +2,46 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civicmill.llm.bpe import encoder, slices
 from civicmill.llm.common import ranked
 from civicmill.session import cut_lineage
 
 PIECE = "row_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-PIECES_KEPT = 250_000  # pieces of a generation whose ids a worker remembers
-# How the vocabulary cuts a lower-cased text, for the letters, digits and white space of Latin-1.
-LETTER, DIGIT, SPACE = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
 Plan = list[tuple[tuple[int, ...], int]]  # lengths of a sequence in order, number of such sequences
 
 
-class Generations(dict):
-    """A dict of bounded size: when full, its entries become the older generation, from which those in use return."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.older = most, {}
-
-    def missing(self, keys: set) -> list:
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        keys = keys.difference(self)
-        back = keys & self.older.keys()
-        self.update((k, self.older[k]) for k in back)
-        return list(keys - back)
-
-
-class WordEncoder:
-    """Ids of whole texts. The vocabulary lower-cases, never joins across its own cuts, and each cut piece has its ids.
-
-    So ids of pieces can be remembered: two generations of them are, so that pieces in use stay and memory is bounded.
-    Pieces not yet known are encoded together, as one text. Texts of Latin-1 letters are cut here, by the vocabulary's
-    own pattern; any other text is encoded whole by the vocabulary. Not for vocabularies with other cuts.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known = Generations(PIECES_KEPT)
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [PIECES.findall(t.lower()) if plain(t) else None for t in texts]
-        new = self.known.missing(set().union(*(c for c in cut if c)))
-        for lo in range(0, len(new), 5000):
-            self._learn(new[lo : lo + 5000])
-        get = self.known.__getitem__
-        return [self._whole(t) if c is None else np.frombuffer(b"".join(map(get, c)), dtype="<u4") for t, c in zip(texts, cut, strict=True)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        coded = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(w) + 1 for w in pieces)])
-        at = np.fromiter((o[0] for o in coded.offsets), dtype=np.int64, count=len(coded.ids))
-        ids, cuts = np.array(coded.ids, dtype="<u4").tobytes(), (4 * np.searchsorted(at, starts)).tolist()
-        self.known.update((w, ids[a:b]) for w, a, b in zip(pieces, cuts[:-1], cuts[1:], strict=True))
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-
-def plain(text: str) -> bool:
-    """Latin-1, so that case and composition leave each character alone, and nothing that may be a special token."""
-    if "<|" in text:
-        return False
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
-@lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
-    """One per Python worker: what one task has learnt serves the next."""
-    return WordEncoder(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Pieces of each text's ids followed by ``end_id``: only longer ones are cut, every ``capacity`` ids."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo : lo + 256]
-                rows = []
-                for key, ids in zip(part["row_id"], encode([t or "" for t in part["body"]]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for i, at in enumerate(range(0, len(ids), capacity)):
-                        piece = ids[at : at + capacity]
-                        rows.append((key, i, at, len(piece), zlib.crc32(piece.tobytes())))
-                out = pd.DataFrame(rows, columns=["row_id", "piece", "start", "length", "ids_crc32"])
-                yield out.astype({"row_id": "Int64"})
-
-    return docs.select(F.col(row_id).cast("bigint").alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("body")).mapInPandas(cut, PIECE)
+            at = 0
+            for texts in slices(batch.column("body")):
+                coded = [ids + end for ids in encoder(tokenizer)(texts.to_pylist())]
+                size = np.fromiter((len(c) // 4 for c in coded), dtype=np.int64, count=len(coded))
+                many = -(-size // capacity)
+                row = np.repeat(np.arange(len(coded)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                crc = [zlib.crc32(coded[r][4 * s : 4 * (s + n)]) for r, s, n in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
+                key = batch.column("row_id").slice(at, len(texts)).take(pa.array(row))
+                columns = [key, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["row_id", "piece", "start", "length", "ids_crc32"])
+                at += len(texts)
+
+    return docs.select(F.col(row_id).cast("bigint").alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("body")).mapInArrow(cut, PIECE)
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> Plan:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from civicmill.functions import classify as K
@@ -36,6 +36,27 @@ def conservation(received: DataFrame, written: DataFrame, dropped: dict[str, Dat
     return out.withColumn("residual", F.col("rows_in") - total)
 
 
+def conserved_write(received: DataFrame, keys: list[str], order: str, drops: dict[str, Column], path: str) -> DataFrame:
+    """Writes the first row of each key of what no drop takes, and accounts for every row: one job, one scan.
+
+    A row goes by the first condition of ``drops`` that holds. Each stage counts its rows while it runs, so the figures
+    are of the rows that were written and cannot come from a second reading of a source that has changed.
+    """
+    why = F.lit(None).cast("string")
+    for name, condition in reversed(drops.items()):
+        why = F.when(condition, name).otherwise(why)
+    taken, kept = Observation(), Observation()
+    marked = received.withColumn("_why", why)
+    seen = marked.observe(taken, n("rows_in"), *[F.count_if(F.col("_why") == name).alias(name) for name in drops])
+    rest = [c for c in received.columns if c not in keys]
+    first = seen.filter("_why IS NULL").groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r"), n("_copies"))
+    counted = first.observe(kept, n("rows_written"), F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"))
+    counted.select(*keys, *[F.col("_r")[c].alias(c) for c in rest]).write.mode("overwrite").parquet(path)
+    figures = taken.get | kept.get
+    figures["residual"] = figures["rows_in"] - sum(v for k, v in figures.items() if k != "rows_in")
+    return received.sparkSession.createDataFrame([tuple(figures.values())], ", ".join(f"{k} bigint" for k in figures))
+
+
 def sizing(rows: DataFrame, key: str, gate) -> DataFrame:
     """Rows and keys in scope, share that passes the gate, average per key."""
     per = rows.groupBy(key).agg(n("rows"), F.count_if(gate).alias("gated"))

@@ -8,7 +8,7 @@ from civicmill.functions import classify as K
 from civicmill.functions import ids as I
 from civicmill.functions import times as C
 from civicmill.operators import diffs as G
-from civicmill.operators import merkle
+from civicmill.operators import merkle, names
 from civicmill.operators import quality as Q
 from civicmill.operators import routing
 from civicmill.operators.recompute import RESULTS, recompute
@@ -131,6 +131,29 @@ def _(t):
     return G.fuzzy_names(t.history.select(raw.alias("raw")), "raw", _DICT)
 
 
+_RATIO = f"""n0 AS (SELECT CASE WHEN line=3 THEN committee||'s' WHEN line=4 THEN upper(committee) WHEN line=5 THEN committee||' Panel' WHEN line=6 THEN replace(committee,'and','adn') ELSE committee END AS name, count(*) AS n FROM history GROUP BY 1),
+ d AS (SELECT unnest({[x for x in _DICT]}) AS e, unnest(range({len(_DICT)})) AS place),
+ r AS (SELECT name, e, place, lower(name) AS a, lower(e) AS b, 0 AS a0, length(name) AS a1, 0 AS b0, length(e) AS b1, 0 AS k FROM n0, d
+  UNION ALL SELECT name, e, place, a, b, CASE WHEN side=0 THEN a0 ELSE m.i+m.k END, CASE WHEN side=0 THEN m.i ELSE a1 END, CASE WHEN side=0 THEN b0 ELSE m.j+m.k END, CASE WHEN side=0 THEN m.j ELSE b1 END, CASE WHEN side=0 THEN m.k ELSE 0 END
+  FROM (SELECT *, list_max(list_transform(list_filter(flatten(list_transform(range(a0, a1), lambda i: list_transform(range(1, least(a1 - i, b1 - b0) + 1), lambda l: {{'k': l, 'i': -i, 'j': -instr(substr(b, b0 + 1, b1 - b0), substr(a, i + 1, l))}}))), lambda x: x.j < 0), lambda x: x)) AS x FROM r WHERE a0 < a1 AND b0 < b1) q,
+   LATERAL (SELECT {{'k': q.x.k, 'i': -q.x.i, 'j': -q.x.j - 1 + q.b0}} AS m) z, (VALUES (0), (1)) s(side) WHERE q.x IS NOT NULL),
+ t AS (SELECT name, e, place, 2.0 * sum(k) / any_value(length(a) + length(b)) AS ratio FROM r GROUP BY 1, 2, 3), best AS (SELECT name, arg_max(e, (ratio, -place)) AS e, max(ratio) AS ratio FROM t GROUP BY 1)"""
+
+
+@query("C23_block_ratio", "history", f"""WITH RECURSIVE {_RATIO} SELECT name, n, CASE WHEN ratio >= 0.95 THEN e ELSE name END AS matched, CASE WHEN ratio >= 0.95 THEN round(ratio, 6) END AS ratio FROM n0 JOIN best USING (name)""")
+def _(t):
+    c = F.col("committee")
+    raw = F.when(F.col("line") == 3, F.concat(c, F.lit("s"))).when(F.col("line") == 4, F.upper(c)).when(F.col("line") == 5, F.concat(c, F.lit(" Panel"))).when(F.col("line") == 6, F.replace(c, F.lit("and"), F.lit("adn"))).otherwise(c)
+    return names.matched_names(t.history.select(raw.alias("raw")), "raw", _DICT)
+
+
+@query("D38_conserved_write", "history", "SELECT count(*) AS rows_in, count(*) FILTER (WHERE NOT inside) AS out_of_window, count(*) FILTER (WHERE inside AND blank) AS no_refid, count(DISTINCT (bill, date, action)) FILTER (WHERE inside AND NOT blank) AS rows_written, count(*) FILTER (WHERE inside AND NOT blank) - count(DISTINCT (bill, date, action)) FILTER (WHERE inside AND NOT blank) AS duplicates, 0 AS residual FROM (SELECT bill, date, trim(action) AS action, date BETWEEN '1996-01-01' AND '2000-12-31' AS inside, trim(refid) = '' AS blank FROM history)")
+def _(t):
+    h = t.history.select("bill", "date", F.trim("action").alias("action"), "seq", "refid")
+    drops = {"out_of_window": ~F.col("date").between("1996-01-01", "2000-12-31"), "no_refid": F.trim("refid") == ""}
+    return Q.conserved_write(h, ["bill", "date", "action"], "seq", drops, scratch_path(t.spark, "conserved"))
+
+
 @query("D38_conservation", "history", "SELECT count(*) AS rows_in, count(DISTINCT bill||date||trim(action)) FILTER (WHERE date BETWEEN '1996-01-01' AND '2000-12-31') AS rows_written, count(*) FILTER (WHERE date BETWEEN '1996-01-01' AND '2000-12-31') - count(DISTINCT bill||date||trim(action)) FILTER (WHERE date BETWEEN '1996-01-01' AND '2000-12-31') AS duplicates, count(*) FILTER (WHERE date NOT BETWEEN '1996-01-01' AND '2000-12-31') AS out_of_window, 0 AS residual FROM history")
 def _(t):
     h = t.history.select("bill", "date", F.trim("action").alias("action"), "seq")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from civicmill.functions import classify as K
 from civicmill.functions import text as T
 from civicmill.functions.ids import spelling_key
+from civicmill.operators import alignment
 from civicmill.operators import labels as L
 from civicmill.operators import similarity as Sim
 from civicmill.plans import sqltext as S
@@ -197,6 +198,14 @@ def _(t):
     return p.select("bill", "kind", "from_label", "to_label", F.when((F.size("a") > 0) & (F.size("b") > 0), changed).alias("pct"))
 
 
+@query("I06_version_alignment", "versions")
+def _(t):
+    """Percentage of words that an order-keeping alignment of two versions leaves out; SQL has no longest rising run."""
+    p = Sim.version_pairs(t.versions)
+    p = p.select("bill", "kind", "from_label", "to_label", T.normalize_text("text_a").alias("a"), T.normalize_text("text_b").alias("b"))
+    return alignment.difference_pct(p, "a", "b").drop("a", "b")
+
+
 # --- token trust ---------------------------------------------------------------------------------------------------------
 _PST = "[" + ",".join(f"'{w}'" for w in T.PROCEDURE_STOP_WORDS) + "]"
 _DT = f"dt AS (SELECT bill AS doc, session AS label, ('0x'||substr(md5(bill),1,4))::BIGINT % 5 = 0 AS held, unnest(list_filter(list_distinct(regexp_extract_all(lower(text),'[a-z0-9]+')), lambda w: length(w)>=3 AND NOT list_contains({_PST}, w))) AS tok FROM texts)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from civicmill.functions import classify as K
 from civicmill.functions import text as T
 from civicmill.functions.ids import spelling_key
-from civicmill.operators import alignment
+from civicmill.operators import alignment, folds
 from civicmill.operators import labels as L
 from civicmill.operators import similarity as Sim
 from civicmill.plans import sqltext as S
@@ -347,6 +347,28 @@ def _(t):
     return L.fold_groups(records(t), 4)
 
 
+_EDGES = f"""{_TB}, m AS (SELECT a.bill, b.bill AS other, b.pos FROM tw a JOIN tw b ON a.session=b.session AND a.head=b.head AND a.bill[1]<>b.bill[1] WHERE a.title=b.title OR len(list_intersect(a.w,b.w))/(len(a.w)+len(b.w)-len(list_intersect(a.w,b.w))) >= 0.6),
+ e AS (SELECT bill AS src, max_by(other, pos) AS dst FROM m GROUP BY 1), two AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), reach(bill, grp) AS (SELECT DISTINCT bill, bill FROM titles UNION SELECT r.bill, two.dst FROM reach r JOIN two ON two.src = r.grp),
+ g AS (SELECT bill, min(grp) AS grp FROM reach GROUP BY 1)"""
+
+
+def companion_edges(t):
+    return Sim.companions(title_bills(t)).select(F.col("bill").alias("src"), F.col("companion").alias("dst"))
+
+
+@query("I16_companion_groups", "titles", f"WITH RECURSIVE {_EDGES} SELECT bill, grp FROM g")
+def _(t):
+    """Bills that companion links join, however long the chain, under their smallest bill."""
+    return folds.companion_groups(t.titles, companion_edges(t), "bill")
+
+
+@query("I16_companion_folds", "titles", f"WITH RECURSIVE {_EDGES}, s AS (SELECT grp, count(*) AS n FROM g GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS records, count(*) AS groups, max(n) AS largest, CAST(0 AS BIGINT) AS crossing, TRUE AS balanced FROM s")
+def _(t):
+    """Folds of whole companion groups: no link crosses them, and they differ by at most the largest group."""
+    edges = cut_lineage(companion_edges(t))
+    return folds.fold_report(folds.balanced_folds(folds.companion_groups(t.titles, edges, "bill"), 4, "bill"), edges, "bill")
+
+
 def evaluation(t, held):
     """Predictions for labelled records of one part, from the labels of the other parts; ``held`` marks the part."""
     r = records(t).withColumn("held", held)

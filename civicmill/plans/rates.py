@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from civicmill.functions import classify as K
 from civicmill.functions import text as T
+from civicmill.operators import permutation
 from civicmill.operators import rates as R
 from civicmill.plans import sqltext as S
 from civicmill.plans.registry import query
@@ -143,6 +144,18 @@ def _(t):
     return R.permutation_null(rows(t), "committee", "standing")
 
 
+@query("I10_permutation_spread", "bills", f"""WITH {ROWS}, b AS (SELECT committee, standing, sum(y) AS k, count(*) AS n FROM rw WHERE y IS NOT NULL GROUP BY 1,2)
+ SELECT committee, CAST(sum(n) AS BIGINT) AS cases, CAST(sum(k) AS BIGINT) AS hits, count(*) FILTER (WHERE n>=25) AS buckets, CASE WHEN count(*) FILTER (WHERE n>=25) >= 2 THEN round(max(k/n) FILTER (WHERE n>=25) - min(k/n) FILTER (WHERE n>=25), 6) ELSE 0 END AS spread FROM b GROUP BY 1""")
+def _(t):
+    """What the permutation test observes; the shares of shuffles that reach it are in the query beside."""
+    return permutation.permutation_spread(rows(t), "committee", "standing").select("committee", "cases", "hits", "buckets", "spread")
+
+
+@query("I10_permutation_tree")
+def _(t):
+    return permutation.permutation_spread(rows(t), "committee", "standing")
+
+
 @query("I11_base_drift", "bills", f"WITH {ROWS} SELECT round((SELECT avg(y) FROM rw WHERE year<1998),6) AS before, round((SELECT avg(y) FROM rw WHERE year>=1998),6) AS after, abs(round((SELECT avg(y) FROM rw WHERE year<1998),6)-round((SELECT avg(y) FROM rw WHERE year>=1998),6))>=0.05 AS drifted")
 def _(t):
     return R.base_drift(*periods(t))

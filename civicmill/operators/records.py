@@ -17,6 +17,7 @@ from civicmill.functions import classify as K
 from civicmill.functions import ids as I
 
 BILL_TYPE = r"^[HS]B"
+BILL_ID = r"^[A-Z]{2,3}\d+$"
 
 
 def committee_code(refid) -> Column:
@@ -73,8 +74,7 @@ def referrals(history: DataFrame, committees: DataFrame) -> DataFrame:
     """Number of successive distinct known committees a bill was referred to."""
     referred = history.select("bill", "seq", committee_code("refid").alias("code")).filter(is_referral("refid"))
     referred = referred.join(committees.select("code").distinct(), "code", "left_semi")
-    steps = scale.running(referred, ["bill"], ["seq"], lags={"prev": F.col("code")})
-    return steps.groupBy("bill").agg(F.count_if(F.col("prev").isNull() | (F.col("prev") != F.col("code"))).alias("referral_count"))
+    return scale.run_counts(referred, ["bill"], ["seq"], "code", "referral_count")
 
 
 def positions(history: DataFrame, committees: DataFrame) -> DataFrame:
@@ -108,11 +108,15 @@ def upcoming(docket: DataFrame, today: str) -> DataFrame:
         "bill", "upcoming", F.col("n.date").alias("next_date"), F.col("n.committee").alias("next_committee"))
 
 
-def bill_records(universe: DataFrame, history: DataFrame, docket: DataFrame, committees: DataFrame, today: str) -> DataFrame:
-    """Universe joined with its four reduced sides; one row per bill, whether or not it has a history."""
+def bill_records(universe: DataFrame, history: DataFrame, docket: DataFrame, committees: DataFrame, today: str, count_referrals: bool = True) -> DataFrame:
+    """Universe joined with its four reduced sides; one row per bill, whether or not it has a history.
+
+    The referral count is the one side that needs written rows; without it the count is 0 and the plan stays lazy.
+    """
     names = committees.select("code", "name")
     out = K.with_outcome(universe)
-    for side in (history_state(history, committees), referrals(history, committees), upcoming(docket, today)):
+    none = history.select("bill", F.lit(0).cast("bigint").alias("referral_count")).limit(0)
+    for side in (history_state(history, committees), referrals(history, committees) if count_referrals else none, upcoming(docket, today)):
         out = out.join(side, "bill", "left")
     out = out.join(names.select(F.col("code").alias("last_code"), F.col("name").alias("last_committee")), "last_code", "left")
     out = out.join(names.select(F.col("code").alias("vote_code"), F.col("name").alias("vote_place")), "vote_code", "left")
@@ -175,6 +179,49 @@ def completeness(records: DataFrame) -> DataFrame:
         K.safe_rate("floor_both_missing", "floor_both_expected").alias("floor_reconcile_rate"))
 
 
+def completeness_report(counts: DataFrame, universe: DataFrame, history: DataFrame, docket: DataFrame, bulk: DataFrame, patrons: DataFrame, k: int = 10) -> DataFrame:
+    """The completeness counters with the coverage of every source around them, as one row.
+
+    ``universe``: raw_bill as listed. ``history``: bill. ``docket``: raw_day as it came. ``bulk``: raw_bill. ``patrons``:
+    chief_origin a bill. Bills on one side only are counted both ways, those without a universe row with the first ``k``;
+    unreadable rows stand beside the number of rows they come from. Fully passed bills without both floor passages raise
+    ``reconcile_alert`` above one in a hundred. Each source is reduced to one row before they meet.
+    """
+    usable = lambda c: I.clean_bill(c).rlike(BILL_ID)
+    rows = F.count(F.lit(1))
+    tag = lambda df, c, side: df.select(c.alias("bill"), F.lit(side).alias("_s")).distinct()
+    listed = universe.filter(usable("raw_bill"))
+    sides = tag(listed, I.clean_bill("raw_bill"), 1).unionByName(tag(history, F.col("bill"), 2)).groupBy("bill").agg(F.sum("_s").alias("s"))
+    only = F.col("s") == 2
+    gaps = sides.agg(
+        F.count_if(F.col("s") != 2).alias("universe_count"),
+        F.count_if(F.col("s") != 1).alias("history_bills"),
+        F.count_if(F.col("s") == 1).alias("universe_without_history"),
+        F.count_if(only).alias("in_history_not_in_universe"),
+    )
+    sample = scale.global_top_k(sides.filter(only).select("bill"), [F.col("bill")], k).agg(F.array_join(F.sort_array(F.collect_list("bill")), "|").alias("in_history_not_in_universe_sample"))
+    day = F.coalesce(F.try_to_timestamp("raw_day", F.lit("M/d/yyyy")), F.try_to_timestamp("raw_day", F.lit("yyyy-MM-dd")))
+    sources = [
+        gaps,
+        sample,
+        universe.agg(F.count_if(~F.coalesce(usable("raw_bill"), F.lit(False))).alias("skipped_malformed_universe")),
+        docket.agg(F.count_if(day.isNull()).alias("docket_unparseable_dates"), rows.alias("docket_rows_total")),
+        bulk.agg(rows.alias("bulk_rows"), F.count_if(I.blank("raw_bill") == "").alias("bulk_skipped_no_bill")),
+        patrons.agg(F.count_if(F.col("chief_origin") == "universe").alias("patron_fullname_universe")),
+    ]
+    out = counts
+    for one in sources:
+        for c in one.columns:
+            out = out.withColumn(c, one.select(c).scalar())
+    return out.select(
+        "*",
+        K.safe_rate("docket_unparseable_dates", "docket_rows_total").alias("docket_unparseable_rate"),
+        K.safe_rate("patron_present", "records_written").alias("patron_present_rate"),
+        K.safe_rate("patron_fullname_universe", "records_written").alias("patron_fullname_universe_rate"),
+        F.coalesce(F.col("floor_both_missing") / F.nullif("floor_both_expected", F.lit(0)) > 0.01, F.lit(False)).alias("reconcile_alert"),
+    )
+
+
 def completeness_samples(records: DataFrame, k: int = 10) -> DataFrame:
     """First k bills per finding, without collecting the findings."""
     tags = F.array_compact(F.array(

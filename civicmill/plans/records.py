@@ -21,8 +21,8 @@ def committees(t):
     return t.spark.createDataFrame(rows, "code string, name string")
 
 
-def bill_records(t):
-    return R.bill_records(t.bills, t.history, t.history, committees(t), TODAY)
+def bill_records(t, **how):
+    return R.bill_records(t.bills, t.history, t.history, committees(t), TODAY, **how)
 
 
 _NAMES = "cm AS (SELECT DISTINCT committee_code AS code, committee AS name FROM history UNION SELECT DISTINCT committee_code, committee FROM bills)"
@@ -104,7 +104,27 @@ def _(t):
  SELECT *, outcome_unverified-outcome_unverified_terminal AS outcome_unverified_absent, round(outcome_keyword_mismatches/outcome_structural,4) AS outcome_keyword_mismatch_rate, round(outcome_unverified/records_written,4) AS outcome_unverified_rate,
  round(floor_both_missing/floor_both_expected,4) AS floor_reconcile_rate FROM z""")
 def _(t):
-    return R.completeness(bill_records(t))
+    return R.completeness(bill_records(t, count_referrals=False))
+
+
+_REPORT = """un AS (SELECT CASE WHEN num % 89 = 0 THEN 'n/a' WHEN num % 53 = 0 THEN 'X'||bill ELSE bill END AS bill, num % 89 = 0 AS bad FROM bills),
+ sd AS (SELECT bill, sum(s) AS s FROM (SELECT DISTINCT bill, 1 AS s FROM un WHERE NOT bad UNION ALL SELECT DISTINCT bill, 2 FROM history) GROUP BY 1)"""
+
+
+@query("D03_report", "bills history", f"""WITH {RECORD}, {_REPORT} SELECT (SELECT count(*) FROM rec) AS records_written, (SELECT count(*) FILTER (WHERE s<>2) FROM sd) AS universe_count, (SELECT count(*) FILTER (WHERE s<>1) FROM sd) AS history_bills,
+ (SELECT count(*) FILTER (WHERE s=1) FROM sd) AS universe_without_history, (SELECT count(*) FILTER (WHERE s=2) FROM sd) AS in_history_not_in_universe, (SELECT coalesce(string_agg(bill, '|' ORDER BY bill), '') FROM (SELECT bill FROM sd WHERE s=2 ORDER BY bill LIMIT 10)) AS in_history_not_in_universe_sample,
+ (SELECT count(*) FILTER (WHERE bad) FROM un) AS skipped_malformed_universe, (SELECT count(*) FILTER (WHERE line = 6) FROM history) AS docket_unparseable_dates, (SELECT count(*) FROM history) AS docket_rows_total, (SELECT count(*) FROM bills) AS bulk_rows, (SELECT count(*) FILTER (WHERE num % 71 = 0) FROM bills) AS bulk_skipped_no_bill,
+ (SELECT count(*) FILTER (WHERE num % 6 IN (3,4)) FROM bills) AS patron_fullname_universe, round((SELECT count(*) FILTER (WHERE line = 6) / count(*) FROM history), 4) AS docket_unparseable_rate, round((SELECT count(*) FILTER (WHERE patron<>'') / count(*) FROM rec), 4) AS patron_present_rate,
+ round((SELECT count(*) FILTER (WHERE num % 6 IN (3,4)) FROM bills) / (SELECT count(*) FROM rec), 4) AS patron_fullname_universe_rate, (SELECT count(*) FILTER (WHERE NOT (floor_house='passed' AND floor_senate='passed')) / count(*) > 0.01 FROM rec WHERE outcome IN ('awaiting_governor','signed','vetoed')) AS reconcile_alert""")
+def _(t):
+    """The coverage part of the report: malformed and missing rows on every side, each with its denominator."""
+    raw = F.when(F.col("num") % 89 == 0, "n/a").when(F.col("num") % 53 == 0, F.concat(F.lit("X"), "bill")).otherwise(F.lower("bill"))
+    day = F.when(F.col("line") == 6, "soon").when(F.col("line") == 5, F.date_format(F.to_date("date"), "M/d/yyyy")).otherwise(F.col("date"))
+    bulk = t.bills.select(F.when(F.col("num") % 71 == 0, " ").otherwise(F.col("bill")).alias("raw_bill"))
+    counts = R.completeness(bill_records(t, count_referrals=False))
+    out = R.completeness_report(counts, t.bills.select(raw.alias("raw_bill")), t.history.select("bill"), t.history.select(day.alias("raw_day")), bulk, chiefs(t).select("chief_origin"))
+    own = ["records_written", *out.columns[len(counts.columns):]]
+    return out.select(*own)
 
 
 @query("D03_completeness_samples", "bills", f"""WITH f AS (SELECT 'outcome_mismatch' AS finding, bill FROM ({S.OUTCOME}) WHERE fo<>wo UNION ALL SELECT 'outcome_unverified', bill FROM ({S.OUTCOME}) WHERE fo IS NULL

@@ -129,6 +129,21 @@ def running(
     )
 
 
+def run_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, rows: int | None = None) -> DataFrame:
+    """(keys, out): how many runs of equal values each key's rows form in order.
+
+    Runs are counted inside buckets of a bounded number of rows; of each bucket only its count and its first and last
+    value meet the key's other buckets, where a run that goes on is counted once less. No row is joined.
+    """
+    work = bucketed(df.select(*keys, *order, F.struct(value).alias("_v")), keys, order, "_b", rows)
+    seq = F.struct(*[F.col(c) for c in order])
+    before = F.lag("_v").over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    new = F.coalesce(~F.col("_v").eqNullSafe(F.col("_p")), F.lit(True))
+    parts = work.withColumn("_p", before).groupBy(*keys, "_b").agg(F.count_if(new).alias("_n"), F.min_by("_v", seq).alias("_first"), F.max_by("_v", seq).alias("_last"))
+    goes_on = F.col("_first").eqNullSafe(F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b"))).cast("int")
+    return parts.withColumn("_on", goes_on).groupBy(*keys).agg((F.sum("_n") - F.sum("_on")).alias(out))
+
+
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, rows: int | None = None) -> DataFrame:
     """Exact row numbers per key without gathering the key in one task."""
     return running(df, keys, order, sums={out: F.lit(1).cast("bigint")}, rows=rows)

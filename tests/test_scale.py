@@ -222,3 +222,16 @@ def test_linkage_of_many_copies(spark):
     events = spark.range(3000).selectExpr("id + 10 AS event_id", "'HB1' AS bill", "'2026-01-05' AS date", "'H' AS chamber", "'H1' AS event_code", "'finance report' AS description", "'2026-01-05T09:00:00' AS event_date")
     got = O.linkage(rows, events).groupBy("linkage", "matched", "overlap", "best_event").count().collect()
     assert [tuple(r) for r in got] == [("B", 3000, 1, 10, 3000)]
+
+
+def test_run_counts_equal_a_walk_across_buckets(spark):
+    rng = random.Random(23)
+    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}", i, rng.choice([None, "a", "a", "a", "b"])) for i in range(2000)]
+    want, last = {}, {}
+    for k, _, v in rows:
+        if k not in last or last[k] != v:
+            want[k] = want.get(k, 0) + 1
+        last[k] = v
+    df = spark.createDataFrame(rows, "k string, t int, v string")
+    for size in (100, 10_000):
+        assert {r["k"]: r["n"] for r in scale.run_counts(df, ["k"], ["t"], "v", "n", rows=size).collect()} == want

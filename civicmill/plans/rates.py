@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from civicmill.functions import classify as K
 from civicmill.functions import text as T
-from civicmill.operators import permutation
+from civicmill.operators import features, permutation
 from civicmill.operators import rates as R
 from civicmill.plans import sqltext as S
 from civicmill.plans.registry import query
@@ -144,6 +144,45 @@ def _(t):
     return R.permutation_null(rows(t), "committee", "standing")
 
 
+_MEMBERS = 60
+_FB = f"""fb AS (SELECT year AS session, bill, num, bill[1] AS chamber, CASE WHEN num % 17 = 0 THEN '' ELSE 'M'||(patron_id % {_MEMBERS}) END AS chief, committee, CASE WHEN num % 13 = 0 THEN '' ELSE title END AS subject, num % 6 AS versions,
+  CASE WHEN right(last_actid,2) IN {S.lst(K.DEAD_IN_COMMITTEE)} THEN 0 ELSE 1 END AS y FROM bills),
+ ms AS (SELECT session, i, 'M'||i AS member, CASE WHEN i % 2 = 0 THEN 'H' ELSE 'S' END AS chamber, CASE i % 5 WHEN 0 THEN NULL WHEN 1 THEN 'D' WHEN 2 THEN 'D' ELSE 'R' END AS party, CASE WHEN i % 7 = 0 THEN NULL ELSE i * 2 END AS district,
+  CASE WHEN i % 9 <> 0 THEN (i % 10) / 10 + 0.05 END AS loyalty, (i % 8) / 8 AS win_rate FROM (SELECT DISTINCT session FROM fb), range({_MEMBERS}) r(i)),
+ mj AS (SELECT session, chamber, party AS majority FROM (SELECT session, chamber, party, row_number() OVER (PARTITION BY session, chamber ORDER BY count(*) DESC, party) AS rn FROM ms WHERE party IS NOT NULL GROUP BY 1,2,3) WHERE rn=1),
+ sp AS (SELECT fb.session, fb.bill, fb.chief, fb.committee, fb.chamber, 'M'||(supp % {_MEMBERS}) AS member, (supp % {_MEMBERS}) AS i, line = 2 AS pair, line FROM history JOIN fb USING (bill) WHERE 'M'||(supp % {_MEMBERS}) <> fb.chief),
+ co AS (SELECT sp.session, sp.bill, count(*) FILTER (WHERE pair) AS pairs, min_by(coalesce(ms.party,''), (line, sp.member)) FILTER (WHERE pair) AS pp, count(DISTINCT ms.district) AS districts, count(ms.party) AS known, count(*) FILTER (WHERE ms.party = mj.majority) AS inm,
+  bool_or((sp.i + length(sp.committee)) % 5 = 0) AS seated FROM sp LEFT JOIN ms ON ms.session=sp.session AND ms.member=sp.member LEFT JOIN mj ON mj.session=sp.session AND mj.chamber=sp.chamber GROUP BY 1,2),
+ ge AS (SELECT session, member, count(*) AS generosity, count(DISTINCT chief) FILTER (WHERE chief<>'') AS network FROM sp GROUP BY 1,2), ld AS (SELECT session, committee, count(*) AS load FROM fb GROUP BY 1,2),
+ us AS (SELECT session, subject, committee AS usual FROM (SELECT session, subject, committee, sum(count(*)) OVER (PARTITION BY session, subject) AS total, row_number() OVER (PARTITION BY session, subject ORDER BY count(*) DESC, committee) AS rn FROM fb WHERE subject<>'' GROUP BY 1,2,3) WHERE rn=1 AND total>=5),
+ nt AS (SELECT session, bill, row_number() OVER (PARTITION BY session, chief ORDER BY num, bill) AS nth FROM fb WHERE chief<>''), pr AS (SELECT session+1 AS session, chief, subject, avg(y) AS prior FROM fb WHERE chief<>'' AND subject<>'' GROUP BY 1,2,3 HAVING count(*)>=3)"""
+
+
+@query("B31_feature_table", "bills history", f"""WITH {_FB} SELECT fb.session, fb.bill, fb.y, CASE WHEN coalesce(pairs,0)=0 THEN 'no chief co-patron' WHEN pp<>'' AND c.party IS NOT NULL AND pp<>c.party THEN 'cross-party' ELSE 'same-party' END AS bipartisan_chief_pair,
+ CASE WHEN c.district IS NULL THEN 'unknown' WHEN c.district<=25 THEN '1-25' WHEN c.district<=50 THEN '26-50' WHEN c.district<=75 THEN '51-75' ELSE '76+' END AS patron_district_band,
+ CASE WHEN coalesce(districts,0)=0 THEN 'none' WHEN districts<=2 THEN '1-2' WHEN districts<=9 THEN '3-9' ELSE '10+' END AS copatron_district_spread, CASE WHEN coalesce(known,0)=0 THEN 'none' WHEN inm=known THEN 'all-majority' WHEN inm>0 THEN 'mixed' ELSE 'none-majority' END AS majority_copatron_share,
+ CASE WHEN seated THEN 'Y' ELSE 'N' END AS cmte_member_copatrons, CASE WHEN coalesce(generosity,0)=0 THEN '0' WHEN generosity<=20 THEN '1-20' WHEN generosity<=60 THEN '21-60' ELSE '61+' END AS patron_generosity, CASE WHEN coalesce(network,0)<=5 THEN '0-5' WHEN network<=20 THEN '6-20' ELSE '21+' END AS patron_network_breadth,
+ CASE WHEN c.loyalty IS NULL THEN 'unknown' WHEN c.loyalty<0.8 THEN '<80%' WHEN c.loyalty<0.92 THEN '80-92%' ELSE '92%+' END AS patron_party_loyalty, CASE WHEN c.win_rate IS NULL THEN 'unknown' WHEN c.win_rate<0.6 THEN '<60%' WHEN c.win_rate<0.8 THEN '60-80%' ELSE '80%+' END AS patron_floor_win_rate,
+ CASE WHEN usual IS NULL THEN 'unknown' WHEN usual=fb.committee THEN 'usual' ELSE 'unusual' END AS subject_cmte_match, CASE WHEN load<=60 THEN 'light' WHEN load<=140 THEN 'medium' ELSE 'heavy' END AS cmte_load, CASE WHEN coalesce(nth,99)<=3 THEN '1-3' WHEN coalesce(nth,99)<=10 THEN '4-10' WHEN coalesce(nth,99)<=25 THEN '11-25' ELSE '26+' END AS patron_bill_rank,
+ CAST(least(versions,4) AS VARCHAR) AS text_versions, CASE WHEN prior IS NULL THEN 'unknown' WHEN prior<0.5 THEN 'poor' ELSE 'good' END AS patron_prior_on_this_subject
+ FROM fb LEFT JOIN co USING (session, bill) LEFT JOIN ms c ON c.session=fb.session AND c.member=fb.chief LEFT JOIN ge ON ge.session=fb.session AND ge.member=fb.chief LEFT JOIN ld ON ld.session=fb.session AND ld.committee=fb.committee
+ LEFT JOIN us ON us.session=fb.session AND us.subject=fb.subject LEFT JOIN nt ON nt.session=fb.session AND nt.bill=fb.bill LEFT JOIN pr ON pr.session=fb.session AND pr.chief=fb.chief AND pr.subject=fb.subject""")
+def _(t):
+    """The whole feature table, outcomes of the session before only."""
+    num, name = F.col("num"), lambda c: F.concat(F.lit("M"), (c % _MEMBERS).cast("string"))
+    b = t.bills.withColumn("y", K.survived_committee("last_actid")).select(
+        F.col("year").alias("session"), "bill", "num", F.substring("bill", 1, 1).alias("chamber"), F.when(num % 17 == 0, "").otherwise(name(F.col("patron_id"))).alias("chief"), "committee",
+        F.when(num % 13 == 0, "").otherwise(F.col("title")).alias("subject"), (num % 6).cast("int").alias("versions"), "y")
+    s = t.history.select("bill", name(F.col("supp")).alias("member"), (F.col("line") == 2).alias("chief_pair"), F.col("line").alias("place"))
+    s = s.join(b.select("session", "bill", "chief"), "bill").filter("member <> chief").drop("chief")
+    i = F.col("i")
+    m = b.select("session").distinct().select("session", F.explode(F.sequence(F.lit(0), F.lit(_MEMBERS - 1))).alias("i")).select(
+        "session", "i", F.concat(F.lit("M"), i.cast("string")).alias("member"), F.when(i % 2 == 0, "H").otherwise("S").alias("chamber"), F.when(i % 5 == 0, "").when(i % 5 <= 2, "D").otherwise("R").alias("party"),
+        F.when(i % 7 == 0, "x").otherwise((i * 2).cast("string")).alias("district"), F.when(i % 9 != 0, (i % 10) / 10 + 0.05).alias("loyalty"), ((i % 8) / 8).alias("win_rate"))
+    seats = b.select("session", "committee").distinct().join(m.select("session", "i", "member"), "session").filter((i + F.length("committee")) % 5 == 0)
+    return features.assemble(b, s, m, seats, m)
+
+
 @query("I10_permutation_spread", "bills", f"""WITH {ROWS}, b AS (SELECT committee, standing, sum(y) AS k, count(*) AS n FROM rw WHERE y IS NOT NULL GROUP BY 1,2)
  SELECT committee, CAST(sum(n) AS BIGINT) AS cases, CAST(sum(k) AS BIGINT) AS hits, count(*) FILTER (WHERE n>=25) AS buckets, CASE WHEN count(*) FILTER (WHERE n>=25) >= 2 THEN round(max(k/n) FILTER (WHERE n>=25) - min(k/n) FILTER (WHERE n>=25), 6) ELSE 0 END AS spread FROM b GROUP BY 1""")
 def _(t):

@@ -187,6 +187,13 @@ def _(t):
     return V.climb(organisations(t))
 
 
+@query("C14_root", "", f"""WITH RECURSIVE {_ORGS}, up AS (SELECT id, id AS cur, 0 AS d FROM orgs UNION ALL SELECT up.id, o.parent, d+1 FROM up JOIN orgs o ON o.id=up.cur WHERE o.parent IS NOT NULL AND d<12)
+ SELECT up.id, max(CASE WHEN o.parent IS NULL THEN up.cur END) AS root FROM up LEFT JOIN orgs o ON o.id=up.cur GROUP BY 1""")
+def _(t):
+    """Topmost ancestor of each organisation; null in the cycle."""
+    return V.root_of(organisations(t).select("id", "parent"))
+
+
 @query("C15_vote_facts", "votes members", f"WITH {_ORGS}, up AS (SELECT o.id, coalesce(o.value, n.value, r.value) AS value FROM orgs o LEFT JOIN orgs n ON o.parent=n.id AND o.value IS NULL LEFT JOIN orgs r ON n.parent=r.id AND n.value IS NULL), ev AS (SELECT CASE WHEN year >= 2001 THEN 'X'||vote_id ELSE vote_id END AS vote_id, 'S'||min(org) AS org_id FROM votes GROUP BY 1), f AS (SELECT v.*, ev.org_id, up.value AS venue, m.member AS mm FROM votes v LEFT JOIN ev USING (vote_id) LEFT JOIN up ON up.id=ev.org_id LEFT JOIN (SELECT member FROM members WHERE status='Active') m ON m.member=v.member) SELECT CASE WHEN org_id IS NULL THEN 'no_event' WHEN venue IS NULL THEN 'no_venue' WHEN mm IS NULL THEN 'no_member' ELSE 'matched' END AS match, coalesce(venue,'?') AS venue, count(*) AS n FROM f GROUP BY 1,2")
 def _(t):
     events = t.votes.groupBy(F.expr("if(year >= 2001, concat('X', vote_id), vote_id)").alias("vote_id")).agg(F.concat(F.lit("S"), F.min("org").cast("string")).alias("org_id"))

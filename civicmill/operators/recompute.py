@@ -10,7 +10,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicmill.operators import merkle
 from civicmill.session import cut_lineage
 from civicmill.sources.store import PART, Snapshot, Store, hash_part
 
@@ -25,14 +24,26 @@ class Run:
     parts: list[str]  # parts written
 
 
-def key_digests(rows: DataFrame, key: str, content: Sequence[str], shared: DataFrame | None, depth: int) -> DataFrame:
-    """(key, rows, digest) over a key's rows and over the rows of ``shared`` with that key, in any order."""
-    own = merkle.roots(rows, [key], content, depth)
+def key_digests(rows: DataFrame, key: str, content: Sequence[str], shared: DataFrame | None = None) -> DataFrame:
+    """(key, rows, digest) over a key's rows and over the rows of ``shared`` with that key, in any order.
+
+    Sums of the halves of two independent 64-bit hashes of each row: they combine before the only shuffle. Where rows
+    differ inside a key is what ``merkle`` tells.
+    """
+
+    def summed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        told = [x for c in columns for x in (F.col(c), F.col(c).isNull())]  # a hash passes over nulls
+        hashed = df.select(key, *[F.xxhash64(F.lit(seed), *told).alias(f"_h{seed}") for seed in (1, 2)])
+        halves = [half for h in ("_h1", "_h2") for half in (F.shiftrightunsigned(h, 32), F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)))]
+        sums = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(half).alias(f"_{i}") for i, half in enumerate(halves)])
+        return sums.select(key, "rows", F.concat_ws("-", *[F.col(c).cast("string") for c in ("rows", "_0", "_1", "_2", "_3")]).alias("digest"))
+
+    own = summed(rows, content)
     if shared is None:
         return own
-    theirs = merkle.roots(shared, [key], [c for c in shared.columns if c != key], depth).select(F.col(key).alias("_k"), F.col("digest").alias("_d"))
+    theirs = summed(shared, [c for c in shared.columns if c != key]).select(F.col(key).alias("_k"), F.col("digest").alias("_d"))
     both = own.join(theirs, F.col(key).eqNullSafe(F.col("_k")), "left")
-    return both.select(key, "rows", F.sha2(F.concat("digest", F.coalesce("_d", F.lit("-"))), 256).alias("digest"))
+    return both.select(key, "rows", F.concat_ws("/", "digest", "_d").alias("digest"))
 
 
 def must_compute_all(store: Store, at: Snapshot | None, signature: str, full_every: int) -> str:
@@ -63,7 +74,6 @@ def recompute(
     signature: str = "",
     full_every: int = 8,
     buckets: int = 256,
-    depth: int = 0,
 ) -> Run:
     """Publishes ``compute(rows)`` as the store's next version and says what it took; read it with ``store.read(RESULTS)``.
 
@@ -81,7 +91,7 @@ def recompute(
     why = must_compute_all(store, at, signature, full_every)
     many = buckets if at is None else int(at.notes.get("buckets", buckets))
     placed = lambda df: df.withColumn(PART, hash_part([key], many))
-    now = placed(key_digests(rows, key, content, shared, depth))
+    now = placed(key_digests(rows, key, content, shared))
     if why:
         now = cut_lineage(now)
         version = store.commit({RESULTS: placed(compute(rows)), DIGESTS: now}, None, based_on=at, notes={"buckets": many, "signature": signature, "reused": 0})

@@ -315,20 +315,89 @@ def test_base_scores_equal_brute_force_and_the_tree_predicts_better(spark, given
     assert sum(r["score"] - r["base_score"] for r in got.values() if r["held_out"]) > 0
 
 
-def test_tree_distributions_sum_to_one(spark):
+def brute_tree_scores(tokens, held):
+    """Scores by a suffix tree of plain dictionaries: nodes are tuples of words, the end before a text included."""
+    train = [t for t, h in zip(tokens, held, strict=True) if not h]
+    words = collections.Counter(w for t in train for w in t)
+    unit = sum(words.values()) + len(words) + 1
+    retained = {(): {w: (n + 1) / unit for w, n in words.items() if n >= lm_score.MIN_COUNT}}
+    rest = {(): 0.0}  # share that a node leaves to its suffix, and its own suffix's share of the same symbols
+    candidates = {(w,): n for w, n in words.items() if n >= lm_score.MIN_CONTEXT}
+    length = 1
+    while candidates:
+        follow = collections.defaultdict(collections.Counter)
+        for t in train:
+            padded = [None] * length + t
+            for i, w in enumerate(t):
+                follow[tuple(padded[i : i + length])][w] += 1
+        grown = {}
+        for node, total in candidates.items():
+            q = retained[node[1:]]
+            listed = {w: n for w, n in follow[node].items() if n >= lm_score.MIN_COUNT}
+            if not listed:
+                continue
+            left, before = max(1 - sum(listed.values()) / total, 0), max(1 - sum(q[w] for w in listed), 1e-12)
+            each = sum(n / total * math.log(n / total / q[w]) for w, n in listed.items())
+            if 2 * total * (each + (left * math.log(left / before) if left > 0 else 0)) > len(listed) + 3 * math.sqrt(2 * len(listed)) + 10:
+                grown[node] = {w: (n + lm_score.SMOOTHING * q[w]) / (total + lm_score.SMOOTHING) for w, n in listed.items()}
+                rest[node] = math.log10(max(1 - sum(grown[node].values()), 1e-12) / before)
+        more = {(*x, w): n for x in candidates for w, n in follow[x].items() if w is not None and n >= lm_score.MIN_CONTEXT and (*x, w)[1:] in grown}
+        retained |= grown
+        candidates, length = more, length + 1
+
+    def log_p(node, w):
+        if w in retained[node]:
+            return math.log10(retained[node][w])
+        return log_p(node[1:], w) + rest[node] if node else math.log10((words[w] + 1) / unit)
+
+    out = []
+    for t in tokens:
+        score = 0.0
+        for i, w in enumerate(t):
+            node = ()
+            while len(node) <= i:
+                longer = ((None, *t)[i - len(node)], *node)
+                if longer not in retained:
+                    break
+                node = longer
+            score += log_p(node, w)
+        out.append(score)
+    return out, max(map(len, retained)), len(retained)
+
+
+@pytest.mark.parametrize(("local_words", "local_entries"), [(300_000, 1_000_000), (3, 5)])
+def test_scores_equal_a_brute_force_tree_of_any_depth(spark, monkeypatch, local_words, local_entries):
+    monkeypatch.setattr(lm_score, "LOCAL_WORDS", local_words)
+    monkeypatch.setattr(lm_score, "LOCAL_ENTRIES", local_entries)
     rng = np.random.default_rng(3)
-    chain = "a b c a b c a b d ".split()
-    texts = [(i, " ".join(chain[j % len(chain)] if rng.random() < 0.9 else "e" for j in range(300))) for i in range(40)]
-    docs = spark.createDataFrame(texts, "doc_id bigint, text string").select(F.lit(False).alias("held_out"), "doc_id", F.col("text").alias("body"))
-    ids = {w: k for k, w in enumerate([b"a", b"b", b"c", b"d", b"e"], 2)}
-    coded = lm_score.encoded(docs.select("doc_id", "held_out", "body"), ids)
-    tree = lm_score.SuffixTree(7, np.log10(np.full(7, 1 / 7)))
-    more = lm_score.grow(coded, tree, np.arange(1, 7), 1, 20)
-    lm_score.grow(coded, tree, more, 2, 20)
-    assert len(tree.levels[0].keys) and len(tree.levels[1].keys)
-    for context in ([2, 3], [4, 2], [6, 6], [1, 2]):
-        total = sum(10 ** tree.log_probabilities(np.array([*context, s]), np.zeros(3, dtype=np.int64))[-1] for s in range(7))
-        assert total == pytest.approx(1.0, abs=1e-6)
+    chain = "a b c a b d a c b d d a".split()  # three words tell the next one
+    texts = [(i, " ".join(chain[j % 12] if rng.random() < 0.95 else f"e{rng.integers(40)}" for j in range(int(rng.integers(1, 200))))) for i in range(120)]
+    texts += [(200 + i, "same text of several copies with an end") for i in range(80)] + [(300, "x " * 400), (301, ""), (302, "never seen")]
+    tokens, held = [[*words(t), None] for _, t in texts], [i % 10 == 0 for i, _ in texts]
+    want, deep, many = brute_tree_scores(tokens, held)
+    assert deep >= 3 and many > 20
+    got = {r["doc_id"]: r for r in lm_score.score_documents(spark.createDataFrame(texts, "doc_id bigint, text string"), F.col("doc_id") % 10 == 0).collect()}
+    for (i, _), w in zip(texts, want, strict=True):
+        assert got[i]["score"] == pytest.approx(w, rel=1e-9)
+
+
+def test_lists_and_rest_of_each_node_sum_to_one(spark):
+    rng = np.random.default_rng(4)
+    chain = "a b c a b d a c b d d a".split()
+    texts = [(i, False, " ".join(chain[j % 12] if rng.random() < 0.9 else "e" for j in range(300))) for i in range(40)]
+    coded = lm_score.encoded(spark.createDataFrame(texts, "doc_id bigint, held_out boolean, body string"), {w: k for k, w in enumerate([b"a", b"b", b"c", b"d", b"e"], 1)})
+    words = spark.createDataFrame([(s, 3000, p) for s, p in enumerate((0.05, 0.3, 0.2, 0.15, 0.2, 0.05))], "symbol bigint, n bigint, p double")  # 0.05 is left for unseen ones
+    before = words.select(F.lit(0).cast("bigint").alias("node"), "symbol", "p")
+    total = collections.Counter(w for _, _, t in texts for w in t.split())
+    total = [len(texts), *(total[w] for w in "abcde")]
+    first = [(int(x), 0, s, total[s]) for s, x in enumerate((lm_score.spread(np.arange(6)) + lm_score.level(1)).view(np.int64))]
+    nodes, pairs, _ = lm_score.grow(coded, spark.createDataFrame(first, "node bigint, parent bigint, oldest bigint, total bigint"), before, 1)
+    p = {r["symbol"]: r["p"] for r in before.collect()}
+    assert nodes.count() >= 4
+    for r in nodes.collect():
+        listed = {x["symbol"]: x["p"] for x in pairs.filter(F.col("node") == r["node"]).collect()}
+        others = 1 - sum(p[s] for s in listed)
+        assert sum(listed.values()) + 10 ** r["back_off"] * others == pytest.approx(1.0, abs=1e-9)
 
 
 def test_scores_of_odd_rows(odd, none):

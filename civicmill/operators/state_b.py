@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType, VariantType
 
+from civicmill.session import cut_lineage
+
 # The source's chamber codes, and the names the product gives its chambers.
 CHAMBERS = {"SENATE": "Senate", "SEN": "Senate", "ASSEMBLY": "Assembly", "ASM": "Assembly", "ASSEM": "Assembly"}
 PRODUCT = {"Assembly": "House", "Senate": "Senate"}
@@ -259,8 +261,10 @@ def unseen_paths(documents: DataFrame, column: str = "doc", known: Sequence[str]
     """(path, n): paths in the documents that nobody reads, with the number of documents that hold them.
 
     One aggregate finds the schema of all documents, one more each place where types disagree, and a last one counts the
-    paths found; all combine before the shuffle. What lies below an unseen path is part of it.
+    paths found; all combine before the shuffle. What lies below an unseen path is part of it. All of them read the
+    documents as one written table, so these are built and parsed once.
     """
+    documents = cut_lineage(documents.select(column))
     odd: list[str] = []
     for general in sorted(_all_paths(documents, column, maps) - set(known)):
         if general and not any(general.startswith(f"{o}.") for o in odd):

@@ -40,7 +40,10 @@ def documents(t):
         "committeeAgendas": agenda,
         "novelty": F.when(num % 40 == 0, '{"deep":[1]}').otherwise("null"),
     }
-    return t.bills.select("num", F.parse_json(obj(**fields)).alias("doc"))
+    # a bill is a short row and its document takes long: the rows are dealt to all cores, however few files hold them
+    bills = t.bills
+    tasks = max(bills.rdd.getNumPartitions(), 2 * t.spark.sparkContext.defaultParallelism)
+    return bills.repartition(tasks).select("num", F.parse_json(obj(**fields)).alias("doc"))
 
 
 _OWN = "CASE WHEN num % 2 = 0 THEN 'Assembly' ELSE 'Senate' END"

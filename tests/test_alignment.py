@@ -86,3 +86,16 @@ def test_rising_is_longest():
             best[k] = 1 + max((best[m] for m in range(k) if places[m] < places[k]), default=0)
         got = [places[i] for i in A.rising(places)]
         assert got == sorted(got) and len(got) == max(best, default=0)
+
+
+def test_rounds_shuffle_nothing(spark, monkeypatch):
+    written = []
+    keep = A.cut_lineage
+    monkeypatch.setattr(A, "cut_lineage", lambda df: (written.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    a = [f"w{i}" for i in range(200)]
+    b = [w for w in a[:90] + a[100:60:-1] + a[100:] if w != "w7"]
+    rows = [(" ".join(a), " ".join(b)), ("x a b x", "y b a x")]
+    got = [r["aligned"] for r in A.aligned_words(spark.createDataFrame(rows, "a string, b string"), "a", "b").orderBy("words_a").collect()]
+    assert got == [plain(x.split(), y.split()) for x, y in reversed(rows)]
+    assert len(written) > 2
+    assert sum("Exchange" in p for p in written) == 1  # equal pairs meet once, before the rounds

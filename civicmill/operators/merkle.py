@@ -24,6 +24,16 @@ def row_hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
 
 
+def packed(digest) -> Column:
+    """A hex digest as its bytes, in the same order: half as much to shuffle and write."""
+    return F.unhex(digest)
+
+
+def spelled(digest) -> Column:
+    """Bytes as lower-case hex."""
+    return F.lower(F.hex(digest))
+
+
 def leaf_of(identity: Sequence[str], depth: int) -> Column:
     return F.substring(row_hash(identity), 1, depth) if depth else F.lit("")
 
@@ -39,21 +49,22 @@ def depth_for(rows: DataFrame, keys: Sequence[str], leaf_rows: int = LEAF_ROWS)
 
 def leaves(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], depth: int, identity: Sequence[str] | None = None) -> DataFrame:
     """(keys, prefix, rows, digest): equal rows are counted before they meet, so a leaf gathers distinct rows only."""
-    one = rows.select(*keys, leaf_of(identity or columns, depth).alias("prefix"), row_hash(columns).alias("_h"))
+    one = rows.select(*keys, leaf_of(identity or columns, depth).alias("prefix"), packed(row_hash(columns)).alias("_h"))
     counted = one.groupBy(*keys, "prefix", "_h").agg(F.count(F.lit(1)).alias("_n"))
-    told = F.array_join(F.array_sort(F.collect_list(F.concat("_h", F.lit("*"), F.col("_n").cast("string")))), ",")
+    told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_h", "_n"))), lambda r: F.concat(spelled(r["_h"]), F.lit("*"), r["_n"].cast("string"))), ",")
     return counted.groupBy(*keys, "prefix").agg(F.sum("_n").alias("rows"), F.sha2(told, 256).alias("digest"))
 
 
 def _above(level: DataFrame, keys: Sequence[str], length: int) -> DataFrame:
-    told = F.array_join(F.array_sort(F.collect_list(F.concat("prefix", F.lit("="), "digest"))), ",")
+    told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("prefix", packed("digest").alias("d")))), lambda x: F.concat(x["prefix"], F.lit("="), spelled(x["d"]))), ",")
     up = level.groupBy(*keys, F.substring("prefix", 1, length).alias("_p") if length else F.lit("").alias("_p"))
     return up.agg(F.sum("rows").alias("rows"), F.sha2(told, 256).alias("digest")).withColumnRenamed("_p", "prefix")
 
 
 def tree(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], depth: int, identity: Sequence[str] | None = None) -> list[DataFrame]:
     """The levels of every group's tree, the root first: (keys, prefix, rows, digest). Rows are hashed once, leaves written."""
-    levels = [cut_lineage(leaves(rows, keys, columns, depth, identity)) if depth else leaves(rows, keys, columns, depth, identity)]
+    lowest = leaves(rows, keys, columns, depth, identity)
+    levels = [cut_lineage(lowest.withColumn("digest", packed("digest"))).withColumn("digest", spelled("digest")) if depth else lowest]
     for length in reversed(range(depth)):
         levels.insert(0, _above(levels[0], keys, length))
     return levels
@@ -72,9 +83,10 @@ def differing_leaves(before: Sequence[DataFrame], after: Sequence[DataFrame], ke
     """(keys, prefix, rows_before, rows_after) of the leaves that differ: from the roots down, only below nodes that differ."""
     assert len(before) == len(after), "trees of one depth"
     at: DataFrame | None = None
-    for length, (old, new) in enumerate(zip(before, after, strict=True)):
+    short = lambda level: level.withColumn("digest", packed("digest"))
+    for length, (old, new) in enumerate(zip(map(short, before), map(short, after), strict=True)):
         if at is not None:
-            up = at.select(*keys, F.col("prefix").alias("_up")).alias("u")
+            up = cut_lineage(at.select(*keys, "prefix")).select(*keys, F.col("prefix").alias("_up")).alias("u")
             below = lambda level, up=up, n=length: level.alias("l").join(
                 up, _same(keys, "l", "u") & (F.substring("l.prefix", 1, n - 1) == F.col("u._up") if n > 1 else F.lit(True)), "left_semi"
             )

@@ -218,3 +218,15 @@ def test_one_changed_row_of_a_hot_group_is_found_in_one_part(spark, tmp_path):
     assert merkle.differing_leaves(old, old, ["g"]).count() == 0
     gone = merkle.tree(base.filter("g <> 'k10'"), ["g"], ["i", "v"], depth, ["i"])
     assert {(r["g"], r["rows_after"]) for r in merkle.differing_leaves(old, gone, ["g"]).collect()} == {("k10", 0)}
+
+
+def test_trees_travel_as_bytes(spark, monkeypatch):
+    written = []
+    keep = merkle.cut_lineage
+    monkeypatch.setattr(merkle, "cut_lineage", lambda df: (written.append(df), keep(df))[1])
+    rows = [(g, str(i), "é" * i) for g in ("a", None) for i in range(40)] * 2
+    old, new = (merkle.tree(spark.createDataFrame(r, "g string, i string, v string"), ["g"], ["i", "v"], 1, ["i"]) for r in (rows, rows[1:]))
+    assert all(dict(df.dtypes)["digest"] == "binary" for df in written[:2])  # half of what hex takes
+    assert {r["g"]: r["digest"] for r in old[0].collect()} == {g: brute_root([((i,), (i, v)) for k, i, v in rows if k == g], 1) for g in ("a", None)}
+    leaf = [(r["g"], r["rows_before"] - r["rows_after"]) for r in merkle.differing_leaves(old, new, ["g"]).collect()]
+    assert leaf == [("a", 1)]

@@ -157,3 +157,10 @@ def test_lexical_match_prefers_length_then_place(spark):
     tax = spark.createDataFrame([("death penalty", "DP"), ("appeals", "AP"), ("naloxone", "NX")], "name string, label string")
     got = {r["nt"]: (r["label"], r["conf"]) for r in L.lexical_match(titles, tax, 3).collect()}
     assert got == {"death penalty appeals": ("DP", 0.89), "appeals after naloxone": ("AP", 0.81), "naloxone kits": ("NX", 0.81)}
+
+
+def test_normal_form_travels_in_small_batches(spark):
+    plan = spark.createDataFrame([("ﬁn É",)], "t string").select(T.normalize_text("t"))
+    assert plan.first()[0] == "fin é"
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in text and "ArrowEvalPython" not in text  # Arrow batches hold up to 10,000 whole texts

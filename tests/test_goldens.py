@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from civicmill.functions import classify as K
@@ -159,8 +160,7 @@ def test_lexical_match_prefers_length_then_place(spark):
     assert got == {"death penalty appeals": ("DP", 0.89), "appeals after naloxone": ("AP", 0.81), "naloxone kits": ("NX", 0.81)}
 
 
-def test_normal_form_travels_in_small_batches(spark):
-    plan = spark.createDataFrame([("ﬁn É",)], "t string").select(T.normalize_text("t"))
-    assert plan.first()[0] == "fin é"
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "BatchEvalPython" in text and "ArrowEvalPython" not in text  # Arrow batches hold up to 10,000 whole texts
+def test_normal_form_of_a_batch_is_made_part_by_part():
+    got = T.nfkc.func(pa.array(["ﬁn", None, "É", ""] * 130))
+    assert got.to_pylist() == ["fin", None, "É", ""] * 130
+    assert T.nfkc.func(pa.array([], pa.string())).to_pylist() == []

@@ -74,7 +74,8 @@ def referrals(history: DataFrame, committees: DataFrame) -> DataFrame:
     """Number of successive distinct known committees a bill was referred to."""
     referred = history.select("bill", "seq", committee_code("refid").alias("code")).filter(is_referral("refid"))
     referred = referred.join(committees.select("code").distinct(), "code", "left_semi")
-    return scale.run_counts(referred, ["bill"], ["seq"], "code", "referral_count")
+    # equal or null positions stand in order of their codes, not of arrival
+    return scale.run_counts(referred, ["bill"], ["seq", "code"], "code", "referral_count")
 
 
 def positions(history: DataFrame, committees: DataFrame) -> DataFrame:

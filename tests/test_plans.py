@@ -30,3 +30,15 @@ def test_plan_has_no_product_and_no_row_python(spark, name):
     # a nested-loop join is right only beside a side of one row: a whole-table aggregate
     for join in re.findall(r"BroadcastNestedLoopJoin[^\n]*", plan):
         assert "Aggregate" in plan, (name, join)
+
+
+def test_history_meets_the_committees_without_a_shuffle(spark):
+    from civicmill.operators import records as R
+    from civicmill.plans.records import committees
+    from civicmill.plans.standins import Tables
+
+    t = Tables(spark, DATA)
+    coded = R._coded(t.history, committees(t))
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # null codes, most rows, would meet in one task
+    assert committees(t).count() == 24 and coded.count() == t.history.count()

@@ -27,19 +27,22 @@ def key_set_summary(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
                      F.count_if(F.col("s") == 1).alias("only_left"), F.count_if(F.col("s") == 2).alias("only_right"))
 
 
-def _history_index(rows: DataFrame) -> DataFrame:
-    """Last row per identity: by refid where there is one, else by the action text itself."""
+def _history_rows(rows: DataFrame) -> DataFrame:
+    """Rows with their identity: by refid where there is one, else by the action text itself."""
     refid, action = I.blank("refid"), I.blank("action")
-    keyed = rows.select(I.blank("bill").alias("bill"), I.blank("date").alias("date"), F.when(refid != "", "refid").otherwise("action").alias("by"),
-                        F.when(refid != "", refid).otherwise(action).alias("ident"), action.alias("action"), "seq")
-    return keyed.groupBy("bill", "date", "by", "ident").agg(F.max_by("action", "seq").alias("action"))
+    return rows.select(I.blank("bill").alias("bill"), I.blank("date").alias("date"), F.when(refid != "", "refid").otherwise("action").alias("by"),
+                       F.when(refid != "", refid).otherwise(action).alias("ident"), action.alias("action"), "seq")
 
 
 def diff_history(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """history_added, history_edited, history_removed with the verbatim old and new text."""
+    """history_added, history_edited, history_removed with the verbatim old and new text.
+
+    The last row of either state per identity comes from one aggregation over both: no join, one shuffle.
+    """
     keys = ["bill", "date", "by", "ident"]
-    p, c = _history_index(previous).withColumnRenamed("action", "old"), _history_index(current).withColumnRenamed("action", "new")
-    j = p.join(c, keys, "full")
+    both = _history_rows(previous).withColumn("now", F.lit(False)).unionByName(_history_rows(current).withColumn("now", F.lit(True)))
+    last = lambda now: F.max_by("action", F.when(F.col("now") == now, F.col("seq")))
+    j = both.groupBy(*keys).agg(last(False).alias("old"), last(True).alias("new"))
     kind = F.when(F.col("old").isNull(), "history_added").when(F.col("new").isNull(), "history_removed").when(F.col("old") != F.col("new"), "history_edited")
     return j.withColumn("kind", kind).filter("kind IS NOT NULL").select(
         "kind", "bill", "date", F.when(F.col("by") == "refid", F.col("ident")).otherwise("").alias("refid"), F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new"))

@@ -27,8 +27,8 @@ class Run:
 def key_digests(rows: DataFrame, key: str, content: Sequence[str], shared: DataFrame | None = None) -> DataFrame:
     """(key, rows, digest) over a key's rows and over the rows of ``shared`` with that key, in any order.
 
-    Sums of the halves of two independent 64-bit hashes of each row: they combine before the only shuffle. Where rows
-    differ inside a key is what ``merkle`` tells.
+    Sums of the halves of two independent 64-bit hashes of each row: they combine before the only shuffle. A digest is the
+    128-bit hash of the sums, in 24 letters. Where rows differ inside a key is what ``merkle`` tells.
     """
 
     def summed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -36,7 +36,8 @@ def key_digests(rows: DataFrame, key: str, content: Sequence[str], shared: DataF
         hashed = df.select(key, *[F.xxhash64(F.lit(seed), *told).alias(f"_h{seed}") for seed in (1, 2)])
         halves = [half for h in ("_h1", "_h2") for half in (F.shiftrightunsigned(h, 32), F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)))]
         sums = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(half).alias(f"_{i}") for i, half in enumerate(halves)])
-        return sums.select(key, "rows", F.concat_ws("-", *[F.col(c).cast("string") for c in ("rows", "_0", "_1", "_2", "_3")]).alias("digest"))
+        told = F.concat_ws("-", *[F.col(c).cast("string") for c in ("rows", "_0", "_1", "_2", "_3")])
+        return sums.select(key, "rows", F.base64(F.unhex(F.md5(told))).alias("digest"))
 
     own = summed(rows, content)
     if shared is None:
@@ -93,9 +94,9 @@ def recompute(
     placed = lambda df: df.withColumn(PART, hash_part([key], many))
     now = placed(key_digests(rows, key, content, shared))
     if why:
-        now = cut_lineage(now)
         version = store.commit({RESULTS: placed(compute(rows)), DIGESTS: now}, None, based_on=at, notes={"buckets": many, "signature": signature, "reused": 0})
-        return Run(version, why, now.count(), sorted(store.snapshot(version).parts(DIGESTS)))
+        written = store.snapshot(version).parts(DIGESTS)
+        return Run(version, why, sum(p["zone"]["rows"] for p in written.values()), sorted(written))
     held = store.read(DIGESTS, at=at).select(F.col(key).alias("_k"), F.col("digest").alias("_d"), F.col(PART).alias("_p"))
     both = now.join(held, F.col(key).eqNullSafe(F.col("_k")) & (F.col(PART) == F.col("_p")), "full")
     differ = both.filter(~F.col("digest").eqNullSafe(F.col("_d")))

@@ -15,7 +15,7 @@ from civicmill.operators.recompute import RESULTS, recompute
 from civicmill.plans import sqltext as S
 from civicmill.plans.registry import query
 from civicmill.plans.scalars import vote_keys
-from civicmill.session import cut_lineage, scratch_path
+from civicmill.session import scratch_path
 from civicmill.sources.store import Store
 
 
@@ -255,7 +255,6 @@ def _(t):
     compute = lambda h: h.groupBy("bill").agg(N(), F.max_by("action", "seq").alias("last"))
     store = Store(t.spark, scratch_path(t.spark, "results"))
     for state in (prev, now):
-        rows = cut_lineage(state.select("bill", "seq", "action", "refid"))  # a state as it is received: a table, read twice
-        run = recompute(store, rows, "bill", ["seq", "action", "refid"], compute, buckets=16)
+        run = recompute(store, state.select("bill", "seq", "action", "refid"), "bill", ["seq", "action", "refid"], compute, buckets=16)
     assert run.full == "", run
     return store.read(RESULTS).drop("part")

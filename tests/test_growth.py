@@ -1,6 +1,9 @@
 """Steps that must not grow faster than their input: fewer shuffles, no copies, the same rows."""
 
+from pyspark.sql import functions as F
+
 from civicmill.operators import diffs as G
+from civicmill.operators import recompute as Re
 from civicmill.plans.standins import Tables
 from tests.conftest import DATA
 from tests.test_plans import formatted
@@ -19,3 +22,17 @@ def test_views_ask_for_methods_that_are_compiled(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     Tables(spark, DATA)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+
+
+def test_a_run_writes_results_and_digests_once(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(Re, "cut_lineage", lambda df: written.append(df.columns) or df.localCheckpoint())
+    rows = lambda v: spark.createDataFrame([(k, i, v if k == 3 else 0) for k in (1, 2, 3, None) for i in range(3)], "k int, i int, v int")
+    compute = lambda df: df.groupBy("k").agg(F.sum("v").alias("s"))
+    store = Store(spark, str(tmp_path))
+    first = Re.recompute(store, rows(1), "k", ["i", "v"], compute, buckets=4)
+    assert written == [] and (first.full, first.changed) == ("first run", 4)
+    assert all(len(r.digest) == 24 for r in store.read(Re.DIGESTS).collect())
+    second = Re.recompute(store, rows(2), "k", ["i", "v"], compute, buckets=4)
+    assert (second.full, second.changed) == ("", 1)
+    assert sorted((str(r.k), r.s) for r in store.read(Re.RESULTS).collect()) == [("1", 0), ("2", 0), ("3", 6), ("None", 0)]

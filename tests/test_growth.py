@@ -1,14 +1,41 @@
 """Steps that must not grow faster than their input: fewer shuffles, no copies, the same rows."""
 
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
+from civicmill.functions import text as T
 from civicmill.operators import diffs as G
 from civicmill.operators import recompute as Re
 from civicmill.plans.standins import Tables
+from civicmill.sources.store import Store
 from tests.conftest import DATA
 from tests.test_plans import formatted
 
 
+def test_only_text_that_the_normal_form_changes_reaches_python(spark):
+    same = re.compile(f"[{re.sub(r'x{([0-9A-F]+)}', lambda m: 'U' + m[1].zfill(8), T.UNCHANGED)}]")
+    stays = [chr(c) for c in range(0x110000) if same.match(chr(c))]
+    joined = {c for d in (unicodedata.decomposition(chr(x)) for x in range(0x110000)) if d and "<" not in d for c in (chr(int(p, 16)) for p in d.split()[1:])}
+    assert len(stays) > 30_000 and not joined & set(stays)
+    assert all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in stays)
+    texts = ["plain", "Élan für Bäume, ½", "Élan für Bäume", "Café", "ﬁn", "日本語", "한국어 Жук", "a b", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.n for r in df.select("i", T.normalize_text("t").alias("n")).collect()}
+    assert got == {0: "plain", 1: "élan für bäume 1 2", 2: "élan für bäume", 3: "café", 4: "fin", 5: "日本語", 6: "한국어 жук", 7: "a b", 8: "", 9: ""}
+    assert r"\x{4E00}" in formatted(df.select(T.normalize_text("t")))
+
+
+def test_shingles_are_hashed_without_strings(spark):
+    texts = ["", "a", "a b c", "a b c d e f g h", "a b c d e f g h i", "a b " * 20, "b a " * 20, "a b c d e f g i", "a b a b a b a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert "array_join" not in formatted(df.select(T.shingle_hashes("t", 8)))
+    rows = {r.i: (set(r.s), r.h) for r in df.select("i", T.shingles("t", 8).alias("s"), T.shingle_hashes("t", 8).alias("h")).collect()}
+    assert all(len(h) == len(set(h)) for _, h in rows.values())
+    assert all(len(rows[i][0] & rows[j][0]) == len(set(rows[i][1]) & set(rows[j][1])) for i in rows for j in rows)
+
+
 def test_history_diff_is_one_aggregation(spark):
     schema = "bill string, date string, refid string, action string, seq string"
     old = spark.createDataFrame([("a", "d", "r", "x", "1"), ("a", "d", "r", "y", "2"), ("a", "d", "", "gone", "1"), ("b", "d", None, "same", "1"), ("b", "d", None, "same", "1")], schema)

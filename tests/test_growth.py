@@ -3,11 +3,13 @@
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from civicmill.functions import text as T
 from civicmill.operators import diffs as G
 from civicmill.operators import recompute as Re
+from civicmill.operators import similarity as Sim
 from civicmill.plans.standins import Tables
 from civicmill.sources.store import Store
 from tests.conftest import DATA
@@ -36,6 +38,18 @@ def test_shingles_are_hashed_without_strings(spark):
     assert all(len(rows[i][0] & rows[j][0]) == len(set(rows[i][1]) & set(rows[j][1])) for i in rows for j in rows)
 
 
+@pytest.mark.parametrize("frequent", [100_000, 3, 0])
+def test_rarest_tokens_whatever_is_looked_up(spark, monkeypatch, frequent):
+    monkeypatch.setattr(Sim, "FREQUENT_TOKENS", frequent)
+    texts = [(1, "apple pear apple fig the"), (2, "apple pear plum"), (2, "apple kiwi"), (None, "pear lime"), (4, None), (5, "of the"), (6, "apple pear fig plum")]
+    docs = spark.createDataFrame(texts, "k long, t string")
+    out = Sim.rarest_tokens(docs, "k", "t", 2)
+    if frequent > 10:
+        assert "SortMergeJoin" not in formatted(out)  # tokens are not shuffled to meet their counts
+    assert sorted(map(str, out.collect())) == sorted(f"Row(k={k}, tok='{t}', df={n})" for k, t, n in [
+        (1, "apple", 4), (1, "fig", 2), (2, "kiwi", 1), (2, "plum", 2), (None, "lime", 1), (None, "pear", 4), (6, "fig", 2), (6, "plum", 2)])
+
+
 def test_history_diff_is_one_aggregation(spark):
     schema = "bill string, date string, refid string, action string, seq string"
     old = spark.createDataFrame([("a", "d", "r", "x", "1"), ("a", "d", "r", "y", "2"), ("a", "d", "", "gone", "1"), ("b", "d", None, "same", "1"), ("b", "d", None, "same", "1")], schema)

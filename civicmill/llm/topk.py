@@ -34,8 +34,20 @@ def segment_features(rows: np.ndarray, segments: int) -> np.ndarray:
     return np.stack([m * mean for m, mean, _ in parts] + [m * dev for m, _, dev in parts], axis=1)
 
 
+def best_of(a: np.ndarray, b: np.ndarray, score: np.ndarray, item_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best pairs (query row, item row, score) of each query row, sorted; ties to the smaller id."""
+    order = np.lexsort((item_ids[b], -score, a))
+    a, b, score = a[order], b[order], score[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], score[keep]
+
+
 def block_top_k(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, item_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, item row, score) of each query's k best items of one block, ties at the k-th score included."""
+    """(query row, item row, score) of each query's k best items of one block; ties to the smaller id.
+
+    The bounds' threshold may let most pairs through. Exact scores raise it to a query's k-th best of its block, so
+    only about k pairs a query are sorted.
+    """
     found = []
     exact_items = items.astype(np.float64)
     norms = np.linalg.norm(exact_items, axis=1)
@@ -61,24 +73,21 @@ def block_top_k(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, i
         some = np.nonzero(near.any(axis=0))[0]  # items that survive for some query of the chunk
         if safe:
             score = np.where(near[:, some], wide @ exact_items[some].T, -np.inf)
+            if len(some) > k:
+                threshold = np.maximum(threshold, np.partition(score, len(some) - k, axis=1)[:, len(some) - k])
             qi, xi = np.nonzero(score >= threshold[:, None])
-            found.append((qi + start, some[xi], score[qi, xi].astype(np.int64)))
+            found.append(best_of(qi + start, some[xi], score[qi, xi].astype(np.int64), item_ids, k))
             continue
         qi, xi = np.nonzero(near)
         for lo in range(0, len(qi), 200_000):  # bounded memory for the exact step
             a, b = qi[lo : lo + 200_000], xi[lo : lo + 200_000]
             score = np.einsum("pd,pd->p", q[a], items[b])
             keep = score >= threshold[a]
-            found.append((a[keep] + start, b[keep], score[keep]))
+            found.append(best_of(a[keep] + start, b[keep], score[keep], item_ids, k))
     if not found:
         empty = np.empty(0, dtype=np.int64)
         return empty, empty, empty
-    a, b, score = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((item_ids[b], -score, a))
-    a, b, score = a[order], b[order], score[order]
-    place = np.arange(len(a)) - np.searchsorted(a, a)
-    keep = place < k
-    return a[keep], b[keep], score[keep]
+    return best_of(*(np.concatenate(x) for x in zip(*found, strict=True)), item_ids, k)
 
 
 def exact_top_k(vectors: DataFrame, k: int, is_query: Column, row_id: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:

@@ -119,6 +119,21 @@ def test_bounds_never_lose_the_best():
         assert [(-int(x), int(j)) for j, x in zip(b[a == i], score[a == i], strict=True)] == want
 
 
+def test_top_k_sorts_few_pairs(monkeypatch):
+    """Where the bounds rule nothing out, exact scores do: only about k pairs a query are sorted."""
+    rng = np.random.default_rng(2)
+    items = np.floor(8 * rng.normal(size=(4000, 64))).astype(np.int64)
+    items[3000:] = items[0]  # many copies of one vector
+    q, ids, longest, sort = items[:300], np.arange(4000), [], np.lexsort
+    monkeypatch.setattr(topk.np, "lexsort", lambda keys: longest.append(len(keys[0])) or sort(keys))
+    a, b, score = topk.block_top_k(q, ids[:300], items, ids, 20)
+    assert max(longest) < 300 * 40
+    for i in (0, 1, 299):
+        s = items @ q[i]
+        want = sorted((-int(s[j]), j) for j in range(4000) if j != i)[:20]
+        assert [(-int(x), int(j)) for j, x in zip(b[a == i], score[a == i], strict=True)] == want
+
+
 # --- 3 urls
 def test_verdicts_propagate_over_aliases(spark):
     link = '<html><head><link rel="canonical" href="{}"></head>'

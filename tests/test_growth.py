@@ -50,6 +50,23 @@ def test_rarest_tokens_whatever_is_looked_up(spark, monkeypatch, frequent):
         (1, "apple", 4), (1, "fig", 2), (2, "kiwi", 1), (2, "plum", 2), (None, "lime", 1), (None, "pear", 4), (6, "fig", 2), (6, "plum", 2)])
 
 
+def test_rarest_tokens_leave_common_ones_unsorted(spark, monkeypatch):
+    """Documents with enough rarer tokens sort none of the common ones; the others, and repeated keys, keep all."""
+    monkeypatch.setattr(Sim, "COMMON_TOKENS", 20, raising=False)
+    word = lambda i: "w" + "".join(chr(97 + int(d)) for d in f"{i:03d}")
+    common = [word(i) for i in range(20)]
+    docs = [(i % 90, " ".join([*common, word(100 + i), word(101 + i), word(102 + i // 2)])) for i in range(100)]
+    docs += [(200, " ".join(common[3:9])), (201, f"{common[0]} {word(100)}"), (None, " ".join([*common, word(100), word(300)])), (202, None)]
+    sorted_rows, top_k = [], Sim.scale.top_k
+    monkeypatch.setattr(Sim.scale, "top_k", lambda df, *a: sorted_rows.append(df.count()) or top_k(df, *a))
+    got = Sim.rarest_tokens(spark.createDataFrame(docs, "k long, t string"), "k", "t", 2).collect()
+    sets = [(k, set((t or "").split())) for k, t in docs]
+    df = {w: sum(w in s for _, s in sets) for w in set().union(*(s for _, s in sets))}
+    want = [(k, w, n) for k in {k for k, _ in sets} for n, w in sorted((df[w], w) for j, s in sets if j == k for w in s)[:2]]
+    assert sorted(map(str, got)) == sorted(f"Row(k={k}, tok='{w}', df={n})" for k, w, n in want)
+    assert sorted_rows[0] < 400
+
+
 def test_history_diff_is_one_aggregation(spark):
     schema = "bill string, date string, refid string, action string, seq string"
     old = spark.createDataFrame([("a", "d", "r", "x", "1"), ("a", "d", "r", "y", "2"), ("a", "d", "", "gone", "1"), ("b", "d", None, "same", "1"), ("b", "d", None, "same", "1")], schema)

@@ -69,23 +69,24 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others: dict[bytes, int] = {}
 
-        def code(word: bytes) -> int:
-            found = ranks.get(word)
+        def other(word: bytes) -> int:
+            found = others.get(word)
             if found is None:
-                found = others.get(word)
-                if found is None:
-                    if len(others) > CACHED_WORDS:
-                        others.clear()
-                    found = others[word] = hashed(word)
+                if len(others) > CACHED_WORDS:
+                    others.clear()
+                found = others[word] = hashed(word)
             return found
 
+        def codes(words: list[bytes]) -> list[int]:
+            found = list(map(ranks.get, words))
+            return [other(w) if c is None else c for w, c in zip(words, found, strict=True)] if None in found else found
+
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
                 coded = []
                 for text in batch.column("body"):
-                    words = words_of(text.as_py())
-                    coded.append(np.append(np.fromiter(map(code, words), dtype=np.int64, count=len(words)), np.int64(END)))
+                    coded.append(np.array([*codes(words_of(text.as_py())), END], dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(coded, pa.list_(pa.int64()))], ["doc_id", "held_out", "ids"])
 
     return docs.mapInArrow(encode, "doc_id bigint, held_out boolean, ids array<bigint>")
@@ -111,21 +112,25 @@ def level(length: int) -> np.uint64:
     return np.uint64(int(LEVEL) * length % (1 << 64))
 
 
-def nodes_before(ids: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """The node of the ``length`` symbols before each place: their polynomial, newest first, and the level's number.
-    END stands before a text."""
-    codes, end = spread(ids), spread(np.array([END]))[0]
-    out = np.full(len(ids), level(length), dtype=np.uint64)
-    for back in range(1, length + 1):
-        inside = place >= back
-        before = np.full(len(ids), end, dtype=np.uint64)
-        before[inside] = codes[np.nonzero(inside)[0] - back]
-        out += before * power(back - 1)
-    return out
+END_CODE = spread(np.array([END]))[0]
+
+
+def one_longer(node: np.ndarray, codes: np.ndarray, place: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The nodes of the ``length`` symbols before the places ``at``, from those of one symbol less (of none: ROOT).
+
+    A node is the polynomial of its symbols' ``codes``, newest first, and the level's number. END stands before a text.
+    """
+    before = codes[np.maximum(at - length, 0)]
+    before[place[at] < length] = END_CODE
+    return node + LEVEL + before * power(length - 1)
+
+
+def coded_pairs(node: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return mix(node * PAIR + codes)
 
 
 def pair_keys(node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(node * PAIR + spread(symbol))
+    return coded_pairs(node, spread(symbol))
 
 
 def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,12 +185,28 @@ def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (first & second).astype(bool)
 
 
-def lookup(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the sorted ``table``, and whether each is the wanted value."""
-    if not len(table):
-        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
-    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-    return at, table[at] == wanted
+class Lookup:
+    """Places of 64-bit numbers in a sorted table, by the few rows that share their first bits."""
+
+    def __init__(self, table: np.ndarray):
+        bits = len(table).bit_length() + 2
+        self.table, self.shift = table, np.uint64(64 - bits)
+        self.start = np.zeros((1 << bits) + 1, dtype=np.int32)
+        np.cumsum(np.bincount((table >> self.shift).astype(np.int64), minlength=1 << bits), out=self.start[1:])
+
+    def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places, and whether each holds the wanted number."""
+        bucket = (wanted >> self.shift).astype(np.int64)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        found = np.zeros(len(wanted), dtype=bool)
+        left = np.nonzero(at < end)[0]
+        while len(left):
+            hit = self.table[at[left]] == wanted[left]
+            found[left[hit]] = True
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return at, found
 
 
 def transitions(coded: DataFrame, candidates: DataFrame, pairs: DataFrame, length: int) -> DataFrame:
@@ -210,10 +231,12 @@ def transitions(coded: DataFrame, candidates: DataFrame, pairs: DataFrame, lengt
 
         for batch in slices(batches):
             ids, place, _ = flat(batch)
-            node = nodes_before(ids, place, length)
+            codes, every = spread(ids), np.arange(len(ids))
+            parent = node = np.full(len(ids), ROOT, dtype=np.uint64)
+            for symbols in range(1, length + 1):
+                parent, node = node, one_longer(node, codes, place, every, symbols)
             at = np.nonzero(passes(near, node))[0]
-            parent = nodes_before(ids, place, length - 1)[at] if length > 1 else np.full(len(at), ROOT, dtype=np.uint64)
-            at = at[passes(listed, pair_keys(parent, ids[at]))]
+            at = at[passes(listed, coded_pairs(parent[at], codes[at]))]
             held.append((node[at], ids[at]))
             size += len(at)
             if size > SYMBOLS_AT_ONCE:
@@ -342,17 +365,19 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, text: str =
     word_known = (known > 0).astype(np.int64)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local_place = Lookup(local_keys)
         for batch in slices(batches):
             ids, place, lengths = flat(batch)
+            codes = spread(ids)
             row = np.repeat(np.arange(len(lengths)), lengths)
             near = ids < HASHED
             rank = np.where(near, ids, 0)
             base, words_known, gains = np.where(near, word_base[rank], 0.0), np.where(near, word_known[rank], 0), np.zeros(len(ids))
-            others = [(row[~near], pair_keys(np.full(int((~near).sum()), ROOT, dtype=np.uint64), ids[~near]))]
+            others = [(row[~near], coded_pairs(np.full(int((~near).sum()), ROOT, dtype=np.uint64), codes[~near]))]
 
             def meet(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
                 """Adds the values of the local keys, puts the others aside, and says which may be known at all."""
-                found_at, found = lookup(local_keys, keys)
+                found_at, found = local_place(keys)
                 gains[at[found]] += local_values[found_at[found]]
                 maybe = np.zeros(len(keys), dtype=bool)
                 maybe[~found] = passes(far, keys[~found])
@@ -360,11 +385,12 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, text: str =
                 return found | maybe
 
             live = np.arange(len(ids))  # a tree: a context is retained only below its own suffix
+            node = np.full(len(ids), ROOT, dtype=np.uint64)
             for length in range(1, depth + 1):
-                node = nodes_before(ids, place, length)[live]
+                node = one_longer(node, codes, place, live, length)
                 known_node = meet(node, live)
                 node, live = node[known_node], live[known_node]
-                meet(pair_keys(node, ids[live]), live)
+                meet(coded_pairs(node, codes[live]), live)
             where, keys = (np.concatenate([o[i] for o in others]) for i in (0, 1))
             order = np.lexsort((keys, where))
             where, keys = where[order], keys[order]

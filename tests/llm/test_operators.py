@@ -415,6 +415,30 @@ def test_lists_and_rest_of_each_node_sum_to_one(spark):
         assert sum(listed.values()) + 10 ** r["back_off"] * others == pytest.approx(1.0, abs=1e-9)
 
 
+def test_contexts_grow_by_one_symbol():
+    rng, wrap = np.random.default_rng(5), 1 << 64
+    lengths = np.array([1, 3, 9, 2])
+    ids = rng.integers(0, 50, lengths.sum())
+    place = np.concatenate([np.arange(n) for n in lengths])
+    codes, at, node = lm_score.spread(ids), np.arange(len(ids)), np.zeros(len(ids), dtype=np.uint64)
+    for length in range(1, 6):
+        at, node = at[at % 7 != length], node[at % 7 != length]  # only some places stay
+        node = lm_score.one_longer(node, codes, place, at, length)
+        for i, got in zip(at, node, strict=True):
+            before = [int(codes[i - b]) if place[i] >= b else int(lm_score.END_CODE) for b in range(1, length + 1)]
+            assert int(got) == (sum(c * pow(int(lm_score.STEP), b, wrap) for b, c in enumerate(before)) + int(lm_score.level(length))) % wrap
+
+
+@pytest.mark.parametrize("many", [0, 1, 5, 5000])
+def test_places_in_a_sorted_table(many):
+    rng = np.random.default_rng(6)
+    table = np.unique(np.concatenate([rng.integers(0, 1 << 64, many, dtype=np.uint64), rng.integers(0, 40, many, dtype=np.uint64)]))  # some crowd
+    wanted = np.concatenate([table, rng.integers(0, 1 << 64, 300, dtype=np.uint64), np.arange(60, dtype=np.uint64), [np.uint64((1 << 64) - 1)]])
+    at, found = lm_score.Lookup(table)(wanted)
+    assert found.tolist() == np.isin(wanted, table).tolist()
+    assert (table[at[found]] == wanted[found]).all()
+
+
 def test_scores_of_odd_rows(odd, none):
     rows = lm_score.score_documents(odd).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in rows)

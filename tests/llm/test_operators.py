@@ -7,6 +7,8 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -238,6 +240,40 @@ def test_joined_scores_equal_the_model_and_learn_from_all_trusted_text(spark, od
             assert r["_s"]["bits"] == pytest.approx(-model.log_probabilities(flat, fresh).sum() / np.log10(2), rel=1e-4)
 
 
+def test_tasks_hold_few_words_as_text_and_code_few_texts_at_once(spark, odd, monkeypatch):
+    texts = odd.filter("doc_id in (1, 6, 8)").select(F.col("text").alias("body")).unionByName(spark.createDataFrame([("naïve quark naïve quark the zebra the",), ("zebra the quark lone",)], "body string"))
+    asked = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(90, "the zebra naïve quark lone the zebra"), (91, "unheard quark of " * 40)], "doc_id bigint, text string"))
+
+    def scores(tables):
+        rows = quality.with_surprise(asked, tables, ["doc_id", "text"]).collect()
+        return sorted((str(r["doc_id"]), r["text"] or "", r["_s"]["n"], round(r["_s"]["bits"], 3)) for r in rows)
+
+    whole = quality.fit_tables(texts)
+    want = scores(whole)
+    monkeypatch.setattr(quality, "LOCAL_WORDS", 4)
+    few = quality.fit_tables(texts)
+    assert len(few.ids.local) <= 4 < len(few.ids.digests) and few.ids.size == whole.ids.size
+    words = [*whole.ids.local]
+    assert len({few.ids[w] for w in words} - {quality.UNKNOWN}) == len(words) and few.ids["unheard"] == quality.UNKNOWN
+    assert scores(few) == want
+    monkeypatch.setattr(quality, "LETTERS_AT_ONCE", 30)
+    column = pa.array(["a" * 10, None, "b" * 100, "", "c" * 10, "d" * 29])
+    assert [(i, len(some)) for i, some in quality.parts(column)] == [(0, 2), (2, 1), (3, 2), (5, 1)]
+
+
+def test_runs_of_large_vocabularies_are_counted_and_found():
+    size, rng = 3_000_000, np.random.default_rng(1)
+    u, v, w = rng.choice(np.array([1, 7, 2_999_999, 1_500_000]), (3, 500))
+    want = collections.Counter(zip(u.tolist(), v.tolist(), w.tolist(), strict=True))
+    got = quality.distinct_runs(u, v, w, size)
+    assert {(a, b, c): n for a, b, c, n in zip(*(x.tolist() for x in got), strict=True)} == want
+    rows = [(*k, -float(n)) for k, n in want.items()][::2]
+    hot = quality.Runs.of(pd.DataFrame(rows, columns=["u", "v", "w", "p"]), size)
+    at, found = hot(*got[:3])
+    known = {r[:3]: r[3] for r in rows}
+    assert found.sum() == len(rows) and all(hot.p[a] == known[k] for a, f, k in zip(at, found, zip(*(x.tolist() for x in got[:3]), strict=True), strict=True) if f)
+
+
 def test_quality_separates_held_out_labels(spark):
     out = quality.classify(queries.table(spark, DATA.replace("sf0.001", "sf0.01"), "documents"), queries.table(spark, DATA.replace("sf0.001", "sf0.01"), "labels"), ["doc_id", "lang"])
     labels = queries.table(spark, DATA.replace("sf0.001", "sf0.01"), "labels")

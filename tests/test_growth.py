@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from civicmill.functions import text as T
 from civicmill.operators import diffs as G
+from civicmill.operators import labels as L
 from civicmill.operators import recompute as Re
 from civicmill.operators import similarity as Sim
 from civicmill.plans.standins import Tables
@@ -94,3 +95,38 @@ def test_a_run_writes_results_and_digests_once(spark, tmp_path, monkeypatch):
     second = Re.recompute(store, rows(2), "k", ["i", "v"], compute, buckets=4)
     assert (second.full, second.changed) == ("", 1)
     assert sorted((str(r.k), r.s) for r in store.read(Re.RESULTS).collect()) == [("1", 0), ("2", 0), ("3", 6), ("None", 0)]
+
+
+def test_self_training_finds_similar_records_once(spark, monkeypatch):
+    """Rounds only pick among the similar records found before them; the result is that of rounds computed anew."""
+    rows, titles, texts = [], [], []
+    for i in range(60):
+        h = ["solar panels", "school boards", "motor vehicle", "city library", ""][i % 5]
+        rows.append((i, "s", h, f"{h} act {i % 7}" if h else None, ["a", "b", None][i % 3]))
+        titles += [(i, w) for w in (*h.split(), f"act{i % 7}")]
+        texts += [(i, f"t{i % 9}"), (i, f"t{i % 4}"), (i, f"u{i // 6}"), (i, f"u{i // 3}")]
+    records = spark.createDataFrame(rows, "key bigint, session string, h string, nt string, cm string")
+    title_tokens, text_tokens = (spark.createDataFrame([*x, (None, "lost")], "key bigint, tok string") for x in (titles, texts))
+    seed = spark.createDataFrame([(i, "good" if i % 5 < 2 else "poor") for i in range(0, 60, 4)] + [(0, "toxic"), (None, "poor"), (999, "good")], "key bigint, label string")
+    vocab = spark.createDataFrame([("city library", "good"), ("motor vehicle", "unheard")], "h string, label string")
+    taxonomy = spark.createDataFrame([("solar panels", "good"), ("motor", "poor"), ("school boards", "unheard")], "name string, label string")
+    given = (records, title_tokens, text_tokens)
+
+    targets = records.select("key").join(seed.select("key").distinct(), "key", "left_anti")
+    trusted, before, stable, promoted_at = seed, None, False, []
+    for _ in range(3):
+        out = L.decide(L.route_votes(*given, trusted, vocab, taxonomy, cmte_min=2, targets=targets)).collect()
+        promoted = [(r["key"], r["label"]) for r in out if r["conf"] >= 4.0]
+        promoted_at.append(len(promoted))
+        stable = before is not None and {k for k, _ in promoted} == before
+        if stable:
+            break
+        before, trusted = {k for k, _ in promoted}, seed.unionByName(spark.createDataFrame(promoted, "key bigint, label string"))
+    want = sorted((r["key"], r["label"], round(r["conf"], 9), r["agree"], r["routes"], stable) for r in out if r["conf"] >= 2.0)
+    assert want and 0 < promoted_at[0] < len(out)
+
+    calls, whole = [], Sim.similar_sets
+    monkeypatch.setattr(Sim, "similar_sets", lambda *a: calls.append(a) or whole(*a))
+    got = L.self_training(*given, seed, vocab, taxonomy, accept=2.0, promote=4.0, rounds=3, cmte_min=2).collect()
+    assert sorted((r["key"], r["label"], round(r["conf"], 9), r["agree"], r["routes"], r["stable"]) for r in got) == want
+    assert len(calls) == 2  # titles and texts, whatever the rounds
